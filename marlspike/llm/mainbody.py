@@ -37,8 +37,9 @@ MIN_SHARE, TEACHING_SHARE = 0.07, 0.15
 BUCKETS = 1 << 17
 #: Upper bound of the examples of each label that the model is fitted on, and passes over them.
 TRAINING_LINES = 15_000
-EPOCHS = 4
-#: The log odds a line needs: by its share of the host's pages (teaching, minimum, less) and against its container.
+EPOCHS = 6
+#: The log odds a line needs: by its share of the host's pages (teaching, minimum, less), and against its container
+#: or that of the same line on other hosts (with which it needs as much less).
 NEEDED = (-4.0, -1.0, 0.0, 3.0)
 
 _TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|</?[A-Za-z!][^<>]*>", re.S | re.I)
@@ -156,7 +157,7 @@ def features(text: str) -> list[int]:
     # what stands before a colon or a running number tells teasers and bylines from headings
     if lead := _LEAD.match(text):
         kind = "number" if lead[1] else lead[2].lower()
-        parts += [f"lead{k}\x1f{kind}" for k in range(3)]
+        parts += [f"lead{k}\x1f{kind}" for k in range(6)]
     # a checksum, as Python's own hash differs between workers
     return [crc32(p.encode()) % BUCKETS for p in parts]
 
@@ -189,10 +190,12 @@ def score(text: str, weights: np.ndarray) -> float:
 def furniture(pages: DataFrame) -> DataFrame:
     """tbl, rec, no of every line with visible text that is no part of the main body."""
     lines = staged(lines_of(pages), "page-lines")
-    shared = staged(supports(lines).filter(F.col("share") >= MIN_SHARE / 2), "line-supports")
+    # what containers of any host say of a recurring line: 1 furniture, 0 body
+    contained = lines.filter("label >= 0").groupBy("key").agg(F.max("label").alias("high"), F.min("label").alias("low")).filter("high = low").select("key", F.col("high").alias("verdict"))
+    shared = staged(supports(lines).join(contained, "key", "left"), "line-supports")
     known = lines.join(shared, ["tbl", "host", "key"], "left")
     # one example a host and line, or the most frequent lines would be all there is to learn
-    taught = known.withColumn("label", F.when(F.col("headline"), 0).when(F.col("label") >= 0, F.col("label")).when(F.col("share") >= TEACHING_SHARE, 1).when(F.col("share").isNull() & (F.length("text") > 60), 0))
+    taught = known.withColumn("label", F.when(F.col("headline"), 0).when(F.col("label") >= 0, F.col("label")).when(F.col("share") >= TEACHING_SHARE, 1).when(F.col("share").isNull() & (F.length("text") > 60) & F.col("text").rlike(r"[.!?。！？][\"”’)]*$"), 0))
     examples = taught.filter("label IS NOT NULL").groupBy("tbl", "host", "key", "label").agg(F.min("text").alias("text"))
     weights = fit(examples)
 
@@ -201,7 +204,7 @@ def furniture(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = batch.to_pydict()
             keep = []
-            for i, (text, label, headline, share) in enumerate(zip(rows["text"], rows["label"], rows["headline"], rows["share"])):
+            for i, (text, label, headline, share, verdict) in enumerate(zip(rows["text"], rows["label"], rows["headline"], rows["share"], rows["verdict"])):
                 if headline:
                     continue
                 value = seen.get(text)
@@ -210,12 +213,16 @@ def furniture(pages: DataFrame) -> DataFrame:
                     if len(text) < 80 and len(seen) < 200_000:
                         seen[text] = value
                 needed = NEEDED[2] if share is None or share < MIN_SHARE else NEEDED[1] if share < TEACHING_SHARE else NEEDED[0]
-                if value > (NEEDED[3] if label == 0 else needed):
+                if label == 0 or (verdict == 0 and share < TEACHING_SHARE):
+                    needed = NEEDED[3]
+                elif verdict == 1:
+                    needed = -NEEDED[3]
+                if value > needed:
                     keep.append(i)
             taken = batch.select(["tbl", "rec", "no"]).take(pa.array(keep, pa.int64())) if keep else batch.select(["tbl", "rec", "no"]).slice(0, 0)
             yield taken
 
-    return known.select("tbl", "rec", "no", "text", "label", "headline", "share").mapInArrow(judge, "tbl string, rec bigint, no bigint")
+    return known.select("tbl", "rec", "no", "text", "label", "headline", "share", "verdict").mapInArrow(judge, "tbl string, rec bigint, no bigint")
 
 
 def chunked(pages: DataFrame) -> DataFrame:
