@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("formatting", "repeated_lines", "batches", "tokens", "encodings", "residue", "truncation", "mainbody")
+MODULES = ("formatting", "repeated_lines", "batches", "tokens", "encodings", "residue", "truncation", "mainbody", "packing")
 
 
 def _modules():
