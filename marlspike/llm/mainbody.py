@@ -4,7 +4,7 @@ Method: the pages of a host are concatenated as a stream of line tokens and a su
 the runs that recur in distinct pages; their lines, with the share of the host's pages that hold them,
 are furniture. Hosts are split into chunks of at most `PAGES_PER_CHUNK` pages, so no host, however
 large, is one task; supports are summed over a host's chunks. What recurs on one host teaches what
-furniture reads like: a logistic model over words and their neighbours is fitted on these lines, on
+furniture reads like: a logistic model over words and line ends is fitted on these lines, on
 the containers of marked-up pages (header, footer, aside, nav against article, main) and on lines that
 never recur. The model decides lines that a host shows too rarely (bylines, teasers, counters), and
 keeps headings and list items that recur by chance.
@@ -146,27 +146,34 @@ def supports(lines: DataFrame) -> DataFrame:
     return summed.join(sizes, ["tbl", "host"]).select("tbl", "host", "key", (F.col("pages") / F.col("total")).alias("share"))
 
 
-def features(text: str) -> list[int]:
-    """Buckets of a line's words, of neighbours, of its begin and end and of its length."""
-    words = _WORD.findall(text.lower())
-    words = ["0" if w.isdigit() else w for w in words]
-    parts = ["w\x1f" + w for w in words]
-    parts += map("\x1f".join, zip(words, words[1:]))
-    parts += ["first\x1f" + words[0], "last\x1f" + words[-1]] if words else []
+def _words(text: str) -> list[str]:
+    return ["0" if w[0] in "0123456789" else w for w in _WORD.findall(text.lower())]
+
+
+def _frame(text: str, words: list[str]) -> list[str]:
+    """A line's begin, end, length and lead: what stands before a colon or a running number tells teasers
+    and bylines from headings."""
+    parts = ["first\x1f" + words[0], "last\x1f" + words[-1], "begin\x1f" + " ".join(words[:2]), "end\x1f" + " ".join(words[-2:])] if words else []
     parts.append(f"length\x1f{min(8, len(words) // 3)}")
-    # what stands before a colon or a running number tells teasers and bylines from headings
     if lead := _LEAD.match(text):
         kind = "number" if lead[1] else lead[2].lower()
         parts += [f"lead{k}\x1f{kind}" for k in range(6)]
-    # a checksum, as Python's own hash differs between workers
-    return [crc32(p.encode()) % BUCKETS for p in parts]
+    return parts
+
+
+def features(text: str) -> list[int]:
+    """Buckets of a line's words and of its frame; a checksum, as Python's own hash differs between workers."""
+    words = _words(text)
+    return [crc32(p.encode()) % BUCKETS for p in ["w\x1f" + w for w in words] + _frame(text, words)]
 
 
 def fit(examples: DataFrame, bound: int = TRAINING_LINES) -> np.ndarray:
     """Weights of a logistic model (furniture against body) per bucket, and the bias at the end, fitted on
-    at most `bound` examples (text, label) of each label, those of least hash."""
-    drawn = examples.filter("label = 1").orderBy(F.xxhash64("text"), "text").limit(bound).unionByName(examples.filter("label = 0").orderBy(F.xxhash64("text"), "text").limit(bound))
-    rows = drawn.select("text", "label").toPandas()
+    at most `bound` examples of each label, those of least hash; a host's line counts once as furniture,
+    or the most frequent lines would be all there is to learn."""
+    furniture_lines = examples.filter("label = 1").dropDuplicates(["tbl", "host", "key"])
+    drawn = [t.orderBy(F.xxhash64("tbl", "host", "key"), "text").limit(bound).select("text", "label").toPandas() for t in (furniture_lines, examples.filter("label = 0"))]
+    rows = pd.concat(drawn).drop_duplicates()
     found = [np.unique(features(t)) for t in rows["text"]]
     labels = rows["label"].to_numpy(float)
     weights, squares = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-6)
@@ -182,9 +189,35 @@ def fit(examples: DataFrame, bound: int = TRAINING_LINES) -> np.ndarray:
     return weights.astype(np.float32)
 
 
-def score(text: str, weights: np.ndarray) -> float:
-    x = np.append(np.unique(features(text)), BUCKETS)
-    return float(weights[x].sum() * len(x) ** -0.5)
+class Judge:
+    """Scores lines; the weights of words are remembered, so each is hashed once per worker."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights.tolist()
+        self.known: dict = {}
+
+    def part(self, part: str) -> float:
+        return self.weights[crc32(part.encode()) % BUCKETS]
+
+    def odds(self, text: str) -> float:
+        words = _words(text)
+        known = self.known
+        if len(known) > 400_000:
+            known.clear()
+        parts = set(words)
+        total = self.weights[-1]
+        for p in parts:
+            value = known.get(p)
+            if value is None:
+                value = known[p] = self.part("w\x1f" + p)
+            total += value
+        rest = _frame(text, words)
+        for p in rest:
+            value = known.get(("", p))
+            if value is None:
+                value = known["", p] = self.part(p)
+            total += value
+        return total * (len(parts) + len(rest) + 1) ** -0.5
 
 
 def furniture(pages: DataFrame) -> DataFrame:
@@ -194,24 +227,18 @@ def furniture(pages: DataFrame) -> DataFrame:
     contained = lines.filter("label >= 0").groupBy("key").agg(F.max("label").alias("high"), F.min("label").alias("low")).filter("high = low").select("key", F.col("high").alias("verdict"))
     shared = staged(supports(lines).join(contained, "key", "left"), "line-supports")
     known = lines.join(shared, ["tbl", "host", "key"], "left")
-    # one example a host and line, or the most frequent lines would be all there is to learn
     taught = known.withColumn("label", F.when(F.col("headline"), 0).when(F.col("label") >= 0, F.col("label")).when(F.col("share") >= TEACHING_SHARE, 1).when(F.col("share").isNull() & (F.length("text") > 60) & F.col("text").rlike(r"[.!?。！？][\"”’)]*$"), 0))
-    examples = taught.filter("label IS NOT NULL").groupBy("tbl", "host", "key", "label").agg(F.min("text").alias("text"))
-    weights = fit(examples)
+    weights = fit(taught)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, float] = {}
+        tool = Judge(weights)
         for batch in batches:
             rows = batch.to_pydict()
             keep = []
             for i, (text, label, headline, share, verdict) in enumerate(zip(rows["text"], rows["label"], rows["headline"], rows["share"], rows["verdict"])):
                 if headline:
                     continue
-                value = seen.get(text)
-                if value is None:
-                    value = score(text, weights)
-                    if len(text) < 80 and len(seen) < 200_000:
-                        seen[text] = value
+                value = tool.odds(text)
                 needed = NEEDED[2] if share is None or share < MIN_SHARE else NEEDED[1] if share < TEACHING_SHARE else NEEDED[0]
                 if label == 0 or (verdict == 0 and share < TEACHING_SHARE):
                     needed = NEEDED[3]
