@@ -90,18 +90,25 @@ def lines_of(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(10)]
-            add = [c.append for c in columns]
-            rows = batch.to_pydict()
-            for tbl, rec, host, chunk, title, content, markup in zip(*(rows[c] for c in ("tbl", "rec", "host", "chunk", "title", "content", "markup"))):
+            of, numbers, keys, labels, heads, texts = [], [], [], [], [], []
+            rows = {c: batch.column(c).to_pylist() for c in ("tbl", "rec", "title", "content", "markup")}
+            pages_of = [hash_text(f"{t}{r}") for t, r in zip(rows["tbl"], rows["rec"])]
+            for i, (title, content, markup) in enumerate(zip(rows["title"], rows["content"], rows["markup"])):
                 head = _key(title) if title and title.strip() else None
-                page = hash_text(f"{tbl}{rec}")
                 for no, text, label in page_lines(content, markup):
                     key = _key(text)
-                    for put, value in zip(add, (tbl, rec, no, page, host, chunk, key, label, key == head, text)):
-                        put(value)
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["tbl", "rec", "no", "page", "host", "chunk", "key", "label", "headline", "text"])
+                    of.append(i)
+                    numbers.append(no)
+                    keys.append(key)
+                    labels.append(label)
+                    heads.append(key == head)
+                    texts.append(text)
+            place = pa.array(of, pa.int64())
+            taken = [batch.column(c).take(place) for c in ("tbl", "rec", "host", "chunk")]
+            yield pa.RecordBatch.from_arrays(
+                [taken[0], taken[1], pa.array(numbers, pa.int64()), pa.array(pages_of, pa.int64()).take(place), taken[2], taken[3], pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(heads, pa.bool_()), pa.array(texts, pa.string())],
+                names=["tbl", "rec", "no", "page", "host", "chunk", "key", "label", "headline", "text"],
+            )
 
     return pages.mapInArrow(run, LINES)
 
@@ -213,9 +220,9 @@ class Judge:
             total += value
         rest = _frame(text, words)
         for p in rest:
-            value = known.get(("", p))
+            value = known.get(p)
             if value is None:
-                value = known["", p] = self.part(p)
+                value = known[p] = self.part(p)
             total += value
         return total * (len(parts) + len(rest) + 1) ** -0.5
 
@@ -233,7 +240,7 @@ def furniture(pages: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Judge(weights)
         for batch in batches:
-            rows = batch.to_pydict()
+            rows = {c: batch.column(c).to_pylist() for c in ("text", "label", "headline", "share", "verdict")}
             keep = []
             for i, (text, label, headline, share, verdict) in enumerate(zip(rows["text"], rows["label"], rows["headline"], rows["share"], rows["verdict"])):
                 if headline:
