@@ -98,6 +98,13 @@ SHAPES = {
 _NUMBER = r"^[+-]?\d+(?:\.\d*)?(?:[eE][+-]?\d{1,3})?$"
 
 
+def _once(column: Column) -> Column:
+    """The same value, but not deterministic in the optimiser's eyes: a later filter on the result is not
+    pushed below the step with the step's whole expression copied into it, which would grow beyond what
+    can be compiled."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def with_instants(df: DataFrame, raw: str, zone: str, month_first: str, out: str) -> DataFrame:
     """`df` with the timestamp column `out`. The columns may have any name; clashing helper names are avoided."""
     from marlspike.session import free_name
@@ -115,7 +122,7 @@ def with_instants(df: DataFrame, raw: str, zone: str, month_first: str, out: str
             swapped = _fields(pairs[0], pairs[2], pairs[1], *pairs[3:])
             fields = F.when(F.col(month_first), F.split(F.regexp_replace(t, pattern, swapped), "\x1f")).otherwise(fields)
         chosen = F.when(t.rlike(pattern), fields) if chosen is None else chosen.when(t.rlike(pattern), fields)
-    step = step.select(*keep, text, chosen.alias(parts))
+    step = step.select(*keep, text, _once(chosen).alias(parts))
 
     def field(n: int) -> Column:
         return F.get(F.col(parts), F.lit(n))
@@ -128,12 +135,12 @@ def with_instants(df: DataFrame, raw: str, zone: str, month_first: str, out: str
     offset_text = F.regexp_extract(z, r"^(?:UTC|GMT)?([+-]\d{1,2}(?::?\d{2})?)$", 1)
     step = step.select(
         *keep, text, parts,
-        F.struct(
+        _once(F.struct(
             number(0).alias("y"), month.alias("mo"), number(2).alias("d"), F.coalesce(number(3), F.lit(0)).alias("h"), F.coalesce(number(4), F.lit(0)).alias("mi"),
             F.coalesce(number(5), F.lit(0)).alias("s"), F.rpad(F.substring(field(6), 1, 6), 6, "0").alias("f"), F.lower(field(7)).alias("half"), z.alias("z"), offset_text.alias("o"),
             F.regexp_replace(offset_text, "[+:-]", "").alias("bare"), F.try_element_at(_map(ABBREVIATIONS), F.upper(z)).alias("abbreviation"),
             F.coalesce(valid_zone(z), valid_zone(field(9))).alias("named"), F.coalesce(valid_zone(F.col(zone)), F.lit("UTC")).alias("own"),
-        ).alias(got),
+        )).alias(got),
     )
 
     g = F.col(got)
@@ -143,7 +150,7 @@ def with_instants(df: DataFrame, raw: str, zone: str, month_first: str, out: str
     reading = F.unix_micros(F.from_utc_timestamp(F.to_utc_timestamp(clock.cast("timestamp"), F.current_timezone()), "UTC"))
     minutes = F.when(F.length(g["bare"]) <= 2, g["bare"].try_cast("int") * 60).otherwise(F.left(g["bare"], F.length(g["bare"]) - 2).try_cast("int") * 60 + F.right(g["bare"], F.lit(2)).try_cast("int"))
     minutes = F.when(minutes <= 18 * 60, F.when(F.startswith(g["o"], F.lit("-")), -minutes).otherwise(minutes))
-    step = step.select(*keep, text, parts, got, F.struct(reading.alias("reading"), F.when(g["o"] != "", minutes).otherwise(g["abbreviation"]).alias("offset")).alias(at))
+    step = step.select(*keep, text, parts, got, _once(F.struct(reading.alias("reading"), F.when(g["o"] != "", minutes).otherwise(g["abbreviation"]).alias("offset"))).alias(at))
 
     a = F.col(at)
     local = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(a["reading"]), F.coalesce(g["named"], g["own"])))
@@ -151,7 +158,7 @@ def with_instants(df: DataFrame, raw: str, zone: str, month_first: str, out: str
     value = F.when(t.rlike(_NUMBER), t.try_cast("decimal(38,9)"))
     size = F.abs(value)
     counted = F.floor(F.when(size < 10**11, value * 1_000_000).when(size < 10**14, value * 1000).when(size < 10**17, value)).try_cast("bigint")
-    step = step.select(*keep, F.when(F.col(parts).isNotNull(), spelled).otherwise(counted).alias(at))
+    step = step.select(*keep, _once(F.when(F.col(parts).isNotNull(), spelled).otherwise(counted)).alias(at))
     inside = (a >= _micros(YEARS[0])) & (a < _micros(YEARS[1] + 1))
     return step.select(*keep, F.timestamp_micros(F.when(inside, a)).alias(out))
 

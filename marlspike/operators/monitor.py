@@ -70,10 +70,10 @@ def list_items(view: DataFrame, target_id: str | None = None, status: str | None
 def digest_view(view: DataFrame, per_target: int) -> DataFrame:
     """Per target the items of most value, then newest: high-value kinds, pages, others; with rank and the target's total."""
     level = F.when(U.is_high_value(F.col("kind")), 0).when(F.col("kind") == "page", 1).otherwise(2)
-    totals = view.groupBy("target_id").agg(F.count(F.lit(1)).alias("total"))
+    totals = view.groupBy(F.col("target_id").alias("_target")).agg(F.count(F.lit(1)).alias("total"))
     top = top_per_group(view.withColumn("level", level), [F.col("target_id")], [F.col("level"), F.coalesce("published_ts", "found_ts").desc_nulls_last(), F.col("seq").desc()], per_target)
     # the totals come from an aggregation, as a window over whole targets would sort a hot one in one task
-    return top.join(totals, F.col("target_id").eqNullSafe(totals["target_id"])).drop(totals["target_id"])
+    return top.join(totals, F.col("target_id").eqNullSafe(F.col("_target"))).drop("_target")
 
 
 def template_batches(view: DataFrame, min_owners: int = 5, hours: float = 24) -> DataFrame:
