@@ -105,6 +105,10 @@ def published_raw(markup: Column) -> Column:
     tags = F.regexp_extract_all(markup, F.lit(r"(?is)(<meta\b[^>]*>)"), 1)
     attribute = lambda tag, name: F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*[\"']([^\"']+)[\"']", 1)
     key = lambda tag: F.lower(F.coalesce(F.nullif(attribute(tag, "property"), F.lit("")), F.nullif(attribute(tag, "name"), F.lit("")), attribute(tag, "itemprop")))
-    metas = [F.transform(F.filter(tags, lambda t, k=k: key(t) == k), lambda t: F.struct(attribute(t, "content").alias("raw"), F.lit("meta").alias("from"))) for k in PUBLISHED_KEYS]
+
+    def of_key(wanted: str) -> Column:
+        return F.transform(F.filter(tags, lambda t: key(t) == wanted), lambda t: F.struct(attribute(t, "content").alias("raw"), F.lit("meta").alias("from")))
+
+    metas = [of_key(k) for k in PUBLISHED_KEYS]
     times = F.transform(F.regexp_extract_all(markup, F.lit(r"(?is)<time\b[^>]*\bdatetime\s*=\s*[\"']([^\"']+)[\"'][^>]*>"), 1), lambda r: F.struct(r.alias("raw"), F.lit("time-tag").alias("from")))
     return F.filter(F.concat(*metas, times), lambda x: x["raw"] != "")

@@ -146,8 +146,10 @@ def with_instants(df: DataFrame, raw: str, zone: str, month_first: str, out: str
     g = F.col(got)
     half, hour = g["half"], g["h"]
     hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
-    clock = F.when(g["s"] < 60, F.try_make_timestamp_ntz(g["y"], g["mo"], g["d"], hour, g["mi"], F.concat(g["s"].cast("string"), F.lit("."), g["f"]).cast("decimal(16,6)")))
-    reading = F.unix_micros(F.from_utc_timestamp(F.to_utc_timestamp(clock.cast("timestamp"), F.current_timezone()), "UTC"))
+    # the clock reading in microseconds, without a time zone and so without the session's
+    day = F.try_make_timestamp_ntz(g["y"], g["mo"], g["d"], F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")).cast("date")
+    clock = F.when((hour < 24) & (g["mi"] < 60) & (g["s"] < 60), ((hour * 60 + g["mi"]) * 60 + g["s"]).cast("bigint") * 1_000_000 + g["f"].cast("bigint"))
+    reading = F.unix_date(day).cast("bigint") * 86_400_000_000 + clock
     minutes = F.when(F.length(g["bare"]) <= 2, g["bare"].try_cast("int") * 60).otherwise(F.left(g["bare"], F.length(g["bare"]) - 2).try_cast("int") * 60 + F.right(g["bare"], F.lit(2)).try_cast("int"))
     minutes = F.when(minutes <= 18 * 60, F.when(F.startswith(g["o"], F.lit("-")), -minutes).otherwise(minutes))
     step = step.select(*keep, text, parts, got, _once(F.struct(reading.alias("reading"), F.when(g["o"] != "", minutes).otherwise(g["abbreviation"]).alias("offset"))).alias(at))

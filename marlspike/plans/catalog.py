@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from marlspike.operators import instants
+from marlspike.plans import monitoring, search, tpch
 
 
 def queries() -> dict:
-    return {"p2_found": instants.p2_found}
+    return {"p2_found": instants.p2_found} | search.QUERIES | monitoring.QUERIES | tpch.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return search.ORACLES | monitoring.ORACLES | tpch.ORACLES
