@@ -118,10 +118,11 @@ def containers(documents: DataFrame, specs: list[tuple[int, int]], id_col: str,
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in the containers of every capacity (the capacities are a table of settings, a few rows)."""
+    """Every document in the containers of every capacity (the capacities are a table of settings, a few rows;
+    rows without capacity or tokenizer are passed over)."""
     specs: dict[str, list[tuple[int, int]]] = {}
     for row in table(spark, sf_dir, "container_spec").collect():
-        if row["capacity"] and row["capacity"] > 0:
+        if row["tokenizer"] and row["capacity"] and row["capacity"] > 0:
             specs.setdefault(row["tokenizer"], []).append((row["spec_id"], row["capacity"]))
     documents = table(spark, sf_dir, "documents")
     parts = [containers(documents, s, "doc_id", "text", vocabulary) for vocabulary, s in sorted(specs.items())]

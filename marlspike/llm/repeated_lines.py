@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.operators.skew import join_dictionary
-from marlspike.session import staged, table
+from marlspike.session import free_name, staged, table
 
 MIN_RECORDS = 4
 MIN_SHARE = 0.2
@@ -89,10 +89,11 @@ def occurrences(records: DataFrame, id_col: str, domain_col: str, content_col: s
 
 def without_repeated(records: DataFrame, id_col: str, domain_col: str, content_col: str, out: str = "clean", **limits) -> DataFrame:
     """`records` with the column `out`: the content without its repeated lines (null stays null)."""
-    cut = occurrences(records, id_col, domain_col, content_col, **limits).groupBy(F.col("rec").alias(id_col)).agg(F.collect_set("line_no").alias("_cut"))
+    gone = free_name(records, "_cut")
+    cut = occurrences(records, id_col, domain_col, content_col, **limits).groupBy(F.col("rec").alias(id_col)).agg(F.collect_set("line_no").alias(gone))
     joined = records.join(cut, id_col, "left")
-    kept = F.filter(F.split(content_col, "\n"), lambda line, i: ~F.array_contains(F.coalesce("_cut", F.array().cast("array<bigint>")), i.cast("bigint")))
-    return joined.withColumn(out, F.array_join(kept, "\n")).drop("_cut")
+    kept = F.filter(F.split(content_col, "\n"), lambda line, i: ~F.array_contains(F.coalesce(F.col(gone), F.array().cast("array<bigint>")), i.cast("bigint")))
+    return joined.withColumn(out, F.array_join(kept, "\n")).drop(gone)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

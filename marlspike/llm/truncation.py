@@ -119,12 +119,6 @@ def line_shapes(documents: DataFrame, text_col: str) -> DataFrame:
 def cut_off(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """doc, source, reason of each document whose text was cut."""
     found = staged(ends(documents, id_col, text_col, source_col), "ends")
-    # what a source's field holds at most: its longest texts, where several have exactly that size
-    sizes = found.groupBy("source").agg(F.max("chars").alias("top_chars"), F.max("bytes").alias("top_bytes"))
-    tops = found.select("source", "chars", "bytes").join(sizes, "source").groupBy("source").agg(
-        F.first("top_chars").alias("top_chars"), F.first("top_bytes").alias("top_bytes"), F.count_if(F.col("chars") == F.col("top_chars")).alias("n_chars"), F.count_if(F.col("bytes") == F.col("top_bytes")).alias("n_bytes")
-    )
-    limits = tops.select("source", F.when(F.col("n_chars") > 1, F.col("top_chars")).alias("limit_chars"), F.when(F.col("n_bytes") > 1, F.col("top_bytes")).alias("limit_bytes"))
     shapes = staged(line_shapes(documents, text_col), "line-shapes")
     begins = strict_prefixes(shapes, "value").select("value", F.lit(True).alias("begins")).distinct()
     open_ends = found.filter("NOT sentence AND NOT marked AND NOT open_fence AND NOT broken").withColumn("value", shape(F.col("last")))
@@ -135,15 +129,20 @@ def cut_off(documents: DataFrame, id_col: str, text_col: str, source_col: str) -
     longer = copies_continue(documents, text_col).groupBy(F.col("value").alias("text")).agg(F.max((~F.col("follower").isin("\n", "\r")).cast("int")).alias("goes_on"))
     # a sentence inside the line before its open end leaves no doubt
     judged = join_dictionary(open_ends, kinds, ["value"], "n")
-    judged = judged.join(longer, "text", "left").join(limits, "source", "left")
-    at_limit = F.coalesce((F.col("chars") == F.col("limit_chars")) | (F.col("bytes") == F.col("limit_bytes")), F.lit(False))
+    judged = judged.join(longer, "text", "left")
     in_prose = F.col("last").rlike(r"\p{L}[.!?]\s+\P{Lu}*\p{Lu}|[。！？]\s*\S")
-    reason = F.when(~F.col("complete"), "open end").when(in_prose & ~F.col("last").rlike(r"^\s*[-*•—–#|]"), "inside a sentence").when(F.col("goes_on") == 1, "longer copy").when(at_limit, "at the limit")
-    plain = judged.select("doc", "source", reason.alias("reason")).filter("reason IS NOT NULL")
+    reason = F.when(~F.col("complete"), "open end").when(in_prose & ~F.col("last").rlike(r"^\s*[-*•—–#|]"), "inside a sentence").when(F.col("goes_on") == 1, "longer copy")
+    judged = staged(judged.select("doc", "source", "chars", "bytes", reason.alias("reason")), "judged-ends")
+    # a source's limit is its greatest size, where a text of that size was cut beyond doubt; then other
+    # texts of that size that end openly, or in a number that looks like the end of a sentence, were cut too
+    sizes = found.groupBy("source").agg(F.max("chars").alias("top_chars"), F.max("bytes").alias("top_bytes"))
+    sure = judged.filter("reason IS NOT NULL").groupBy("source").agg(F.max("chars").alias("cut_chars"), F.max("bytes").alias("cut_bytes"))
+    limits = sizes.join(sure, "source").select("source", F.when(F.col("top_chars") == F.col("cut_chars"), F.col("top_chars")).alias("limit_chars"), F.when(F.col("top_bytes") == F.col("cut_bytes"), F.col("top_bytes")).alias("limit_bytes"))
+    numbers = found.filter(F.col("sentence") & ~F.col("marked") & ~F.col("open_fence") & F.col("last").rlike(r"(?:^|[\s(])\d+\.(?:\d+\.)?$"))
+    doubtful = judged.filter("reason IS NULL").select("doc", "source", "chars", "bytes", F.lit("at the limit").alias("reason")).unionByName(numbers.select("doc", "source", "chars", "bytes", F.lit("inside a number").alias("reason")))
+    at_limit = doubtful.join(limits, "source").filter((F.col("chars") == F.col("limit_chars")) | (F.col("bytes") == F.col("limit_bytes")))
     others = found.filter("marked OR open_fence OR broken").select("doc", "source", F.when(F.col("marked"), "mark").when(F.col("broken"), "broken sign").otherwise("open fence").alias("reason"))
-    # a number cut after its point looks like the end of a sentence
-    numbers = found.filter(F.col("sentence") & ~F.col("marked") & ~F.col("open_fence") & F.col("last").rlike(r"(?:^|[\s(])\d+\.(?:\d+\.)?$")).join(limits, "source", "left").filter(at_limit)
-    return plain.unionByName(others).unionByName(numbers.select("doc", "source", F.lit("inside a number").alias("reason")))
+    return judged.filter("reason IS NOT NULL").select("doc", "source", "reason").unionByName(others).unionByName(at_limit.select("doc", "source", "reason"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
