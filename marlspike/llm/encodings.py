@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspike.llm.sampling import least_hashed
 from marlspike.session import table
 
 #: Upper bound of the lines the classifier is fitted on.
@@ -206,7 +207,7 @@ def _seems_sound(line: str) -> bool:
 def train(lines: DataFrame, bound: int = TRAINING_LINES) -> np.ndarray:
     """Log likelihoods, one row a class (0: sound), fitted on at most `bound` of the lines (column `line`),
     those of least hash. The model's size is fixed, whatever the corpus."""
-    sample = lines.filter(F.col("line").rlike(r"[^\x00-\x7f]") & (F.length("line") <= 2000)).select("line").distinct().orderBy(F.xxhash64("line"), "line").limit(bound)
+    sample = least_hashed(lines.filter(F.col("line").rlike(r"[^\x00-\x7f]") & (F.length("line") <= 2000)).select("line"), ["line"], bound)
 
     def sound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
