@@ -96,7 +96,8 @@ def ends(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> D
     """doc, source, text and what its end looks like: last line, mark, open fence, sentence end, sizes."""
     body = trimmed(F.col(text_col))
     base = documents.filter(F.length(body) > 0).select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), body.alias("body"))
-    base = base.withColumn("marked", F.col("body").rlike(r"(?s)[\p{L}\p{N},;:–—(\"“«'’”)\]\s]" + MARKS + "$"))
+    # marks are short, so the end of the text decides
+    base = base.withColumn("marked", F.right("body", F.lit(60)).rlike(r"(?s)[\p{L}\p{N},;:–—(\"“«'’”)\]\s]" + MARKS + "$"))
     base = base.withColumn("last", trimmed(F.element_at(F.split("body", "\n"), -1)))
     fences = F.size(F.split("body", "(?m)^\\s*```")) - 1
     return base.select(
@@ -107,7 +108,9 @@ def ends(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> D
 
 def line_shapes(documents: DataFrame, text_col: str) -> DataFrame:
     """value (shape), inside, last: of how many lines with something after them, and of how many last lines, it is the shape."""
-    lines = documents.select(F.posexplode(F.split(trimmed(F.col(text_col)), "\n")).alias("no", "line"), F.size(F.split(trimmed(F.col(text_col)), "\n")).alias("lines"))
+    # the array is a column of its own, or its size would be worked out anew for every line
+    arrays = documents.select(F.split(trimmed(F.col(text_col)), "\n").alias("all"))
+    lines = arrays.select(F.posexplode("all").alias("no", "line"), F.size("all").alias("lines"))
     lines = lines.filter(F.length(trimmed(F.col("line"))) > 0)
     inside = F.col("no") < F.col("lines") - 1
     # tags before the last of their line are complete as well
