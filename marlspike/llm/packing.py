@@ -46,8 +46,15 @@ class Index:
         self.vocabulary, self.starts = np.unique(term[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(order))
         self.size = len(ids)
+        self.known: dict[int, np.ndarray] = {}
 
     def scores(self, document: int) -> np.ndarray:
+        """Nearness of every document of the shard, remembered as most seeds serve several capacities."""
+        if document not in self.known:
+            self.known[document] = self._scores(document).astype(np.float32)
+        return self.known[document]
+
+    def _scores(self, document: int) -> np.ndarray:
         at = np.searchsorted(self.vocabulary, self.own[document])
         starts, lengths = self.starts[at], self.ends[at] - self.starts[at]
         # all postings of the query's terms in one gather
