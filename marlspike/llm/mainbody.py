@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlspike.llm.sampling import least_hashed
 from marlspike.llm.suffix import common_prefixes, suffix_array
 from marlspike.session import staged, table
 
@@ -48,7 +49,7 @@ _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W\d_]+|[一-鿿]|\d+|[^\w\s]")
 _LEAD = re.compile(r"\s*(?:(\d{1,4})[.)]\s|([^\d\W][^:：.|]{0,30}?)\s*[:：])")
 _FURNITURE, _BODY = ("header", "footer", "aside", "nav"), ("article", "main")
-LINES = "tbl string, rec bigint, no bigint, page bigint, host string, chunk int, key bigint, label int, headline boolean, text string"
+LINES = "tbl string, rec bigint, no bigint, page bigint, host string, key bigint, label int, headline boolean, text string"
 
 
 def _key(text: str) -> int:
@@ -86,7 +87,7 @@ def page_lines(content: str, markup: bool) -> Iterator[tuple[int, str, int]]:
 
 
 def lines_of(pages: DataFrame) -> DataFrame:
-    """The lines with visible text of pages (tbl, rec, host, chunk, title, content, markup)."""
+    """The lines with visible text of pages (tbl, rec, host, title, content, markup)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,10 +105,10 @@ def lines_of(pages: DataFrame) -> DataFrame:
                     heads.append(key == head)
                     texts.append(text)
             place = pa.array(of, pa.int64())
-            taken = [batch.column(c).take(place) for c in ("tbl", "rec", "host", "chunk")]
+            taken = [batch.column(c).take(place) for c in ("tbl", "rec", "host")]
             yield pa.RecordBatch.from_arrays(
-                [taken[0], taken[1], pa.array(numbers, pa.int64()), pa.array(pages_of, pa.int64()).take(place), taken[2], taken[3], pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(heads, pa.bool_()), pa.array(texts, pa.string())],
-                names=["tbl", "rec", "no", "page", "host", "chunk", "key", "label", "headline", "text"],
+                [taken[0], taken[1], pa.array(numbers, pa.int64()), pa.array(pages_of, pa.int64()).take(place), taken[2], pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(heads, pa.bool_()), pa.array(texts, pa.string())],
+                names=["tbl", "rec", "no", "page", "host", "key", "label", "headline", "text"],
             )
 
     return pages.mapInArrow(run, LINES)
@@ -147,8 +148,11 @@ def _chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def supports(lines: DataFrame) -> DataFrame:
     """tbl, host, key, share: the recurring lines of each host and the share of its pages that hold them."""
-    runs = lines.select("tbl", "host", "chunk", "page", "no", "key").groupBy("tbl", "host", "chunk").applyInPandas(_chunk, "tbl string, host string, key bigint, pages bigint")
     sizes = lines.select("tbl", "host", "rec").distinct().groupBy("tbl", "host").agg(F.count(F.lit(1)).alias("total"))
+    # only numbers are shuffled: a host's pages go to chunks by hash, so none is one task
+    chunk = F.pmod(F.xxhash64("rec"), F.ceil(F.col("total") / PAGES_PER_CHUNK)).cast("int")
+    stream = lines.select("tbl", "host", "rec", "page", "no", "key").join(sizes, ["tbl", "host"]).select("tbl", "host", chunk.alias("chunk"), "page", "no", "key")
+    runs = stream.groupBy("tbl", "host", "chunk").applyInPandas(_chunk, "tbl string, host string, key bigint, pages bigint")
     summed = runs.groupBy("tbl", "host", "key").agg(F.sum("pages").alias("pages"))
     return summed.join(sizes, ["tbl", "host"]).select("tbl", "host", "key", (F.col("pages") / F.col("total")).alias("share"))
 
@@ -178,8 +182,7 @@ def fit(examples: DataFrame, bound: int = TRAINING_LINES) -> np.ndarray:
     """Weights of a logistic model (furniture against body) per bucket, and the bias at the end, fitted on
     at most `bound` examples of each label, those of least hash; a host's line counts once as furniture,
     or the most frequent lines would be all there is to learn."""
-    furniture_lines = examples.filter("label = 1").dropDuplicates(["tbl", "host", "key"])
-    drawn = [t.orderBy(F.xxhash64("tbl", "host", "key"), "text").limit(bound).select("text", "label").toPandas() for t in (furniture_lines, examples.filter("label = 0"))]
+    drawn = [least_hashed(examples.filter(F.col("label") == label), ["tbl", "host", "key"], bound).select("text", "label").toPandas() for label in (1, 0)]
     rows = pd.concat(drawn).drop_duplicates()
     found = [np.unique(features(t)) for t in rows["text"]]
     labels = rows["label"].to_numpy(float)
@@ -231,8 +234,9 @@ def furniture(pages: DataFrame) -> DataFrame:
     """tbl, rec, no of every line with visible text that is no part of the main body."""
     lines = staged(lines_of(pages), "page-lines")
     # what containers of any host say of a recurring line: 1 furniture, 0 body
-    contained = lines.filter("label >= 0").groupBy("key").agg(F.max("label").alias("high"), F.min("label").alias("low")).filter("high = low").select("key", F.col("high").alias("verdict"))
-    shared = staged(supports(lines).join(contained, "key", "left"), "line-supports")
+    contained = lines.filter("label >= 0").groupBy("key").agg(F.max("label").alias("high"), F.min("label").alias("low"), F.count(F.lit(1)).alias("times")).filter("high = low")
+    contained = staged(contained.select("key", F.col("high").alias("verdict"), "times"), "line-verdicts")
+    shared = staged(supports(lines).join(contained.drop("times"), "key", "left"), "line-supports")
     known = lines.join(shared, ["tbl", "host", "key"], "left")
     taught = known.withColumn("label", F.when(F.col("headline"), 0).when(F.col("label") >= 0, F.col("label")).when(F.col("share") >= TEACHING_SHARE, 1).when(F.col("share").isNull() & (F.length("text") > 60) & F.col("text").rlike(r"[.!?。！？][\"”’)]*$"), 0))
     weights = fit(taught)
@@ -241,7 +245,7 @@ def furniture(pages: DataFrame) -> DataFrame:
         tool = Judge(weights)
         for batch in batches:
             rows = {c: batch.column(c).to_pylist() for c in ("text", "label", "headline", "share", "verdict")}
-            keep = []
+            keep, firm = [], []
             for i, (text, label, headline, share, verdict) in enumerate(zip(rows["text"], rows["label"], rows["headline"], rows["share"], rows["verdict"])):
                 if headline:
                     continue
@@ -253,17 +257,16 @@ def furniture(pages: DataFrame) -> DataFrame:
                     needed = -NEEDED[3]
                 if value > needed:
                     keep.append(i)
-            taken = batch.select(["tbl", "rec", "no"]).take(pa.array(keep, pa.int64())) if keep else batch.select(["tbl", "rec", "no"]).slice(0, 0)
-            yield taken
+                    firm.append(label == 1 or verdict == 1 or (share is not None and share >= TEACHING_SHARE))
+            place = pa.array(keep, pa.int64())
+            columns = [batch.column(c).take(place) for c in ("tbl", "rec", "no", "key")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(firm, pa.bool_())], names=["tbl", "rec", "no", "key", "firm"])
 
-    return known.select("tbl", "rec", "no", "text", "label", "headline", "share", "verdict").mapInArrow(judge, "tbl string, rec bigint, no bigint")
-
-
-def chunked(pages: DataFrame) -> DataFrame:
-    """Pages with `chunk`, so that a host's chunks hold about PAGES_PER_CHUNK pages each."""
-    sizes = pages.groupBy("tbl", "host").agg(F.count(F.lit(1)).alias("n"))
-    joined = pages.join(sizes, ["tbl", "host"])
-    return joined.withColumn("chunk", F.pmod(F.xxhash64("rec"), F.ceil(F.col("n") / PAGES_PER_CHUNK)).cast("int")).drop("n")
+    judged = known.select("tbl", "rec", "no", "key", "text", "label", "headline", "share", "verdict").mapInArrow(judge, "tbl string, rec bigint, no bigint, key bigint, firm boolean")
+    judged = staged(judged, "judged-lines")
+    # a line that containers of other hosts hold as body, time and again, is none on the model's word alone
+    body = contained.filter((F.col("verdict") == 0) & (F.col("times") >= MIN_PAGES)).select("key")
+    return judged.filter("firm").select("tbl", "rec", "no").unionByName(judged.filter("NOT firm").join(body, "key", "left_anti").select("tbl", "rec", "no"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +274,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.lower(F.regexp_replace(F.coalesce(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#:]+)", 1), F.lit("")), r"^(www|m)\.", ""))
     a = fetched.select(F.lit("fetch_result").alias("tbl"), F.col("fetch_id").alias("rec"), host.alias("host"), "title", "content", F.coalesce(F.col("mode") == "raw", F.lit(False)).alias("markup"))
     b = deep.select(F.lit("deep_source").alias("tbl"), F.col("source_id").alias("rec"), F.coalesce("domain", F.lit("")).alias("host"), "title", "content", F.lit(False).alias("markup"))
-    return chunked(a.unionByName(b).filter("content IS NOT NULL AND content <> ''"))
+    return a.unionByName(b).filter("content IS NOT NULL AND content <> ''")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +283,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tbl, rec_id, body: the main body of each page."""
-    pages = _pages(spark, sf_dir).select("tbl", "rec", "title", "content", "markup", "host", "chunk")
+    pages = _pages(spark, sf_dir).select("tbl", "rec", "title", "content", "markup", "host")
     out = furniture(pages).groupBy("tbl", "rec").agg(F.collect_set("no").alias("out"))
     joined = pages.join(out, ["tbl", "rec"], "left").select("tbl", "rec", "content", "markup", "out")
 

@@ -198,7 +198,7 @@ def test_containers_and_recurrence(spark):
             content = "\n".join([furniture[0], f"Title {i}", *body, furniture[1]])
         pages.append(("t", i, "h.test", f"Title {i}", content, bool(i % 2)))
     pages += [("t", 90, "h.test", None, None, False), ("t", 91, "", None, "", True), ("t", 92, "", "x", "<p></p>\n<br>", True)]
-    df = mainbody.chunked(spark.createDataFrame(pages, "tbl string, rec bigint, host string, title string, content string, markup boolean").filter("content IS NOT NULL"))
+    df = spark.createDataFrame(pages, "tbl string, rec bigint, host string, title string, content string, markup boolean").filter("content IS NOT NULL")
     found = {(r.rec, r.no) for r in mainbody.furniture(df).collect()}
     plain = {(i, n) for i in range(0, 40, 2) for n in (0, 5)}
     marked = {(i, n) for i in range(1, 40, 2) for n in (1, 10)}
