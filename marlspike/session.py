@@ -24,8 +24,30 @@ def build_session(app: str = "marlspike", master: str = "local[8]", partitions:
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python workers import this package wherever the driver found it: Spark serves the
+    zipped sources from the driver to every executor, also to one that joins later. Once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    if package.is_dir():
+        folder = Path(tempfile.mkdtemp(prefix="marlspike-sources-"))
+        shutil.copytree(package, folder / "tree" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(str(folder / package.name), "zip", folder / "tree"))
+        shutil.rmtree(folder / "tree")
+    _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
