@@ -131,7 +131,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def collapse(rows: DataFrame, id_col: str, key: Column) -> tuple[DataFrame, DataFrame]:
     """(copies, groups): copies has keep_id, copy_id of each further copy; groups has keep_id and the
     exact number of copies of each group of two or more."""
-    keyed = rows.select(key.alias("key"), F.col(id_col).cast("bigint").alias("id"))
+    # stored, as finding the ranges reads the keys once and partitioning reads them again
+    keyed = staged(rows.select(key.alias("key"), F.col(id_col).cast("bigint").alias("id")), "canonical")
     ordered = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     scanned = staged(ordered.mapInArrow(_scan, SCAN), "runs", "kind")
     # at most two rows a partition, so the size of what is broadcast is bounded by the number of partitions
