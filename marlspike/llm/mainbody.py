@@ -49,7 +49,7 @@ _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W\d_]+|[一-鿿]|\d+|[^\w\s]")
 _LEAD = re.compile(r"\s*(?:(\d{1,4})[.)]\s|([^\d\W][^:：.|]{0,30}?)\s*[:：])")
 _FURNITURE, _BODY = ("header", "footer", "aside", "nav"), ("article", "main")
-LINES = "tbl string, rec bigint, no bigint, page bigint, host string, key bigint, label int, headline boolean, text string"
+LINES = "tbl string, rec bigint, no bigint, page bigint, host string, key bigint, label int, headline boolean, sentence boolean, text string"
 
 
 def _key(text: str) -> int:
@@ -91,7 +91,7 @@ def lines_of(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, numbers, keys, labels, heads, texts = [], [], [], [], [], []
+            of, numbers, keys, labels, heads, sentences, texts = [], [], [], [], [], [], []
             rows = {c: batch.column(c).to_pylist() for c in ("tbl", "rec", "title", "content", "markup")}
             pages_of = [hash_text(f"{t}{r}") for t, r in zip(rows["tbl"], rows["rec"])]
             for i, (title, content, markup) in enumerate(zip(rows["title"], rows["content"], rows["markup"])):
@@ -103,12 +103,13 @@ def lines_of(pages: DataFrame) -> DataFrame:
                     keys.append(key)
                     labels.append(label)
                     heads.append(key == head)
+                    sentences.append(len(text) > 60 and text.rstrip("\"”’)")[-1:] in ".!?。！？")
                     texts.append(text)
             place = pa.array(of, pa.int64())
             taken = [batch.column(c).take(place) for c in ("tbl", "rec", "host")]
             yield pa.RecordBatch.from_arrays(
-                [taken[0], taken[1], pa.array(numbers, pa.int64()), pa.array(pages_of, pa.int64()).take(place), taken[2], pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(heads, pa.bool_()), pa.array(texts, pa.string())],
-                names=["tbl", "rec", "no", "page", "host", "key", "label", "headline", "text"],
+                [taken[0], taken[1], pa.array(numbers, pa.int64()), pa.array(pages_of, pa.int64()).take(place), taken[2], pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(heads, pa.bool_()), pa.array(sentences, pa.bool_()), pa.array(texts, pa.string())],
+                names=["tbl", "rec", "no", "page", "host", "key", "label", "headline", "sentence", "text"],
             )
 
     return pages.mapInArrow(run, LINES)
@@ -182,8 +183,8 @@ def fit(examples: DataFrame, bound: int = TRAINING_LINES) -> np.ndarray:
     """Weights of a logistic model (furniture against body) per bucket, and the bias at the end, fitted on
     at most `bound` examples of each label, those of least hash; a host's line counts once as furniture,
     or the most frequent lines would be all there is to learn."""
-    drawn = [least_hashed(examples.filter(F.col("label") == label), ["tbl", "host", "key"], bound).select("text", "label").toPandas() for label in (1, 0)]
-    rows = pd.concat(drawn).drop_duplicates()
+    labelled = examples.filter("label IS NOT NULL").select("tbl", "host", "key", "label", "text")
+    rows = least_hashed(labelled, ["tbl", "host", "key"], bound, "label").select("text", "label").distinct().toPandas().sort_values(["label", "text"])
     found = [np.unique(features(t)) for t in rows["text"]]
     labels = rows["label"].to_numpy(float)
     weights, squares = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-6)
@@ -238,18 +239,25 @@ def furniture(pages: DataFrame) -> DataFrame:
     contained = staged(contained.select("key", F.col("high").alias("verdict"), "times"), "line-verdicts")
     shared = staged(supports(lines).join(contained.drop("times"), "key", "left"), "line-supports")
     known = lines.join(shared, ["tbl", "host", "key"], "left")
-    taught = known.withColumn("label", F.when(F.col("headline"), 0).when(F.col("label") >= 0, F.col("label")).when(F.col("share") >= TEACHING_SHARE, 1).when(F.col("share").isNull() & (F.length("text") > 60) & F.col("text").rlike(r"[.!?。！？][\"”’)]*$"), 0))
+    taught = known.withColumn("label", F.when(F.col("headline"), 0).when(F.col("label") >= 0, F.col("label")).when(F.col("share") >= TEACHING_SHARE, 1).when(F.col("share").isNull() & F.col("sentence"), 0))
     weights = fit(taught)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Judge(weights)
+        tool, short = Judge(weights), {}
         for batch in batches:
             rows = {c: batch.column(c).to_pylist() for c in ("text", "label", "headline", "share", "verdict")}
             keep, firm = [], []
+            if len(short) > 100_000:
+                short.clear()
             for i, (text, label, headline, share, verdict) in enumerate(zip(rows["text"], rows["label"], rows["headline"], rows["share"], rows["verdict"])):
                 if headline:
                     continue
-                value = tool.odds(text)
+                if len(text) < 64:
+                    value = short.get(text)
+                    if value is None:
+                        value = short[text] = tool.odds(text)
+                else:
+                    value = tool.odds(text)
                 needed = NEEDED[2] if share is None or share < MIN_SHARE else NEEDED[1] if share < TEACHING_SHARE else NEEDED[0]
                 if label == 0 or (verdict == 0 and share < TEACHING_SHARE):
                     needed = NEEDED[3]
