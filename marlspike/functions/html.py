@@ -84,6 +84,14 @@ def same_site_links(markup: Column, base: Column, limit: int = 200) -> Column:
     return F.slice(F.array_distinct(F.filter(urls, lambda u: U.domain_of(u) == U.domain_of(base))), 1, limit)
 
 
+def pagination_links(markup: Column, base: Column) -> Column:
+    """Distinct addresses of links whose label says next or more, or whose file is a numbered list."""
+    tags = F.regexp_extract_all(markup, F.lit(r"(?is)(<a\b[^>]*href\s*=\s*[\"'][^\"']+[\"'][^>]*>.{0,40}?</a>)"), 1)
+    reference = lambda t: F.regexp_extract(t, r"(?is)href\s*=\s*[\"']([^\"']+)[\"']", 1)
+    leads = lambda t: F.regexp_replace(t, r"<[^>]+>", "").rlike("(?i)下一页|下页|next|more|更多|»") | reference(t).rlike(r"(?i)(^|/)(list|index)\d+\.htm[^/]*$")
+    return F.array_distinct(F.filter(F.transform(F.filter(tags, leads), lambda t: resolved(reference(t), base)), lambda u: u.isNotNull()))
+
+
 def search_forms(markup: Column, limit: int = 20) -> Column:
     """array<struct<action, method, inputs>> of forms with a text input (up to ten inputs each)."""
     forms = F.regexp_extract_all(markup, F.lit(r"(?is)(<form\b.*?</form>)"), 1)

@@ -150,8 +150,31 @@ def discover_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(U.is_attachment(F.col("url"))).alias("attachments"))
 
 
+def extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "intel_item").filter("url IS NOT NULL").groupBy(U.extension(F.col("url")).alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("target_id").alias("targets"))
+
+
+def title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term, n: the Latin words of titles that are no stop words."""
+    terms = table(spark, sf_dir, "search_result").filter("title IS NOT NULL").select(F.explode(T.terms(F.col("title"))).alias("term"))
+    return terms.filter(F.col("term").rlike("^[A-Za-z]")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def shared_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains of search results by set operation: also among fetched pages, or not."""
+    found = table(spark, sf_dir, "search_result").select(U.domain_of(F.trim("url")).alias("domain")).distinct()
+    fetched = table(spark, sf_dir, "fetch_result").select(U.domain_of(F.col("url")).alias("domain"))
+    both, only = found.intersect(fetched), found.subtract(fetched)
+    return both.withColumn("fetched", F.lit(True)).unionByName(only.withColumn("fetched", F.lit(False)))
+
+
+def sources_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters by source and language, with totals (grouping sets)."""
+    return table(spark, sf_dir, "documents").cube("source", "lang").agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
+
+
 QUERIES = {f.__name__: f for f in (
-    url_canonical, url_parts, host_counts, merge_channels, rank_domain_cap, engine_contribution, cross_checked, dedupe_first, query_forms, redacted, seed_terms, html_text, html_main,
+    extension_counts, title_terms, shared_domains, sources_by_language, url_canonical, url_parts, host_counts, merge_channels, rank_domain_cap, engine_contribution, cross_checked, dedupe_first, query_forms, redacted, seed_terms, html_text, html_main,
     link_classes, challenge_classes, attempts, hit_metrics, engine_coverage, crawl_bfs, sha1_ranges, published_from_url, discovered, discover_stats,
 )}
 
@@ -193,7 +216,15 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC,
 """
 )
 _TEXT = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({c}, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '[\s\x0B ]+', ' ', 'g'))".replace('\\"', '"')
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_MAIN = r"""(CASE WHEN regexp_extract(content, '(?is)<main\b[^>]*>(.*?)</main>', 1) <> '' THEN regexp_extract(content, '(?is)<main\b[^>]*>(.*?)</main>', 1) WHEN regexp_extract(content, '(?is)<article\b[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(content, '(?is)<article\b[^>]*>(.*?)</article>', 1)
+ WHEN regexp_extract(content, '(?is)<body\b[^>]*>(.*?)</body>', 1) <> '' THEN regexp_extract(content, '(?is)<body\b[^>]*>(.*?)</body>', 1) ELSE content END)"""
 ORACLES = {
+    "html_main": f"SELECT fetch_id, trim(regexp_replace(regexp_extract(content, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\s\\x0B ]+', ' ', 'g')) AS title, CASE WHEN length(t) > 500 THEN t[1:500] || '…' ELSE t END AS main FROM (SELECT fetch_id, content, {_sql(_TEXT, c=_MAIN)} AS t FROM fetch_result WHERE mode = 'raw' AND content IS NOT NULL)",
+    "extension_counts": "SELECT lower(regexp_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '^.+\\.([A-Za-z0-9]{1,8})$', 1)) AS ext, count(*) AS n, count(DISTINCT target_id) AS targets FROM intel_item WHERE url IS NOT NULL GROUP BY 1",
+    "title_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9-]{{2,}}')) AS term FROM search_result WHERE title IS NOT NULL) WHERE lower(term) NOT IN ({_STOP}) GROUP BY 1",
+    "shared_domains": f"SELECT domain, domain IN (SELECT {_sql(_DOMAIN, u='url')} FROM fetch_result WHERE url IS NOT NULL) AS fetched FROM (SELECT DISTINCT {_sql(_DOMAIN, u='trim(url)')} AS domain FROM search_result)",
+    "sources_by_language": "SELECT source, lang, grouping_id(source, lang) AS level, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY CUBE (source, lang)",
     "url_canonical": f"SELECT result_id, {_sql(_NORMAL, u=_TRIMMED)} AS url FROM search_result",
     "url_parts": f"SELECT doc_id, {_sql(_HOST, u='url')} AS host, {_sql(_DOMAIN, u='url')} AS domain, {_sql(_SITE, u='url')} AS site, lower(regexp_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '^.+\\.([A-Za-z0-9]{{1,8}})$', 1)) AS ext FROM documents WHERE url IS NOT NULL",
     "host_counts": f"SELECT {_sql(_HOST, u='url')} AS host, count(*) AS pages, count(content) AS with_content FROM fetch_result GROUP BY 1",

@@ -297,3 +297,11 @@ def best_attempt(attempts: DataFrame) -> DataFrame:
     best = good.groupBy("url").agg(F.min_by(F.struct("channel", "content"), "rung").alias("best"))
     trail = attempts.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rung", "channel", "challenge"))), lambda a: F.concat(a["channel"], F.lit(":"), a["challenge"])), " > ").alias("trail"))
     return trail.join(best, "url", "left").select("url", F.coalesce("best.channel", F.lit("failed")).alias("channel"), "best.content", "trail")
+
+
+def silent_engines(responses: DataFrame) -> DataFrame:
+    """query, results, silent: how many results a meta search gave and which of its engines did not answer."""
+    doc = F.try_parse_json("body")
+    listed = F.coalesce(F.try_variant_get(doc, "$.unresponsive_engines", "array<variant>"), F.array().cast("array<variant>"))
+    name = lambda e: F.coalesce(F.try_variant_get(e, "$[0]", "string"), F.try_variant_get(e, "$", "string"))
+    return usable(responses).select("query", F.coalesce(F.size(F.try_variant_get(doc, "$.results", "array<variant>")), F.lit(0)).alias("results"), F.transform(listed, name).alias("silent"))
