@@ -219,7 +219,27 @@ _TEXT = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(re
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _MAIN = r"""(CASE WHEN regexp_extract(content, '(?is)<main\b[^>]*>(.*?)</main>', 1) <> '' THEN regexp_extract(content, '(?is)<main\b[^>]*>(.*?)</main>', 1) WHEN regexp_extract(content, '(?is)<article\b[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(content, '(?is)<article\b[^>]*>(.*?)</article>', 1)
  WHEN regexp_extract(content, '(?is)<body\b[^>]*>(.*?)</body>', 1) <> '' THEN regexp_extract(content, '(?is)<body\b[^>]*>(.*?)</body>', 1) ELSE content END)"""
+_LOOSE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g'), '(?i)&quot;', '\"', 'g'), '[\s\x0B ]+', ' ', 'g'))".replace('\\"', '"')
+
+
+def _tagged(tag: str) -> str:
+    return f"SELECT host, 2 AS weight, unnest(list_filter(list_transform(regexp_extract_all(content, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}>', 1), lambda x: {_sql(_LOOSE, c='x')}), lambda x: x <> '')[1:20]) AS text FROM pages"
+
+
 ORACLES = {
+    "seed_terms": f"""WITH pages AS (SELECT {_sql(_HOST, u='url')} AS host, content FROM fetch_result WHERE mode = 'raw' AND content IS NOT NULL),
+texts AS (SELECT host, 3 AS weight, trim(regexp_replace(regexp_extract(content, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\s\\x0B ]+', ' ', 'g')) AS text FROM pages UNION ALL {_tagged('h1')} UNION ALL {_tagged('h2')} UNION ALL {_tagged('h3')}
+ UNION ALL SELECT host, 1, unnest(list_filter(list_transform(regexp_extract_all(content, '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda x: {_sql(_LOOSE, c='x')}), lambda x: length(x) BETWEEN 2 AND 30)[1:60]) FROM pages),
+runs AS (SELECT host, weight, unnest(regexp_extract_all(text, '[一-龥]{{2,}}')) AS run FROM texts),
+terms AS (SELECT host, weight, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9-]{{2,}}')) AS term FROM texts
+ UNION ALL SELECT host, weight, run[i:i + n - 1] FROM (SELECT host, weight, run, n, unnest(range(1, length(run) - n + 2)) AS i FROM runs, (VALUES (2), (3), (4)) AS sizes(n))),
+scored AS (SELECT host, term, sum(weight * least(length(term), 6))::BIGINT AS score FROM terms WHERE lower(term) NOT IN ({_STOP}) GROUP BY 1, 2)
+SELECT host, term, score, row_number() OVER (PARTITION BY host ORDER BY score DESC, term)::INTEGER AS rank FROM scored QUALIFY rank <= 8""",
+    "link_classes": f"""WITH refs AS (SELECT {_sql(_HOST, u='url')} AS host, url AS base, trim(unnest(regexp_extract_all(content, '(?i)\\b(?:href|src)\\s*=\\s*["'']([^"''#][^"'']*)["'']', 1))) AS r FROM fetch_result WHERE mode = 'raw' AND content IS NOT NULL),
+found AS (SELECT host, CASE WHEN r = '' OR starts_with(r, '#') THEN NULL WHEN regexp_matches(r, '(?i)^https?://') THEN r WHEN regexp_matches(r, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(r, '//') THEN regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || r
+ WHEN starts_with(r, '/') THEN regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || r ELSE regexp_replace(regexp_replace(base, '[?#].*$', ''), '[^/]*$', '') || regexp_replace(r, '^\\./', '') END AS u FROM refs)
+SELECT host, CASE WHEN regexp_matches(u, '(?i)(rss|atom|feed)[^/]*(\\.xml)?$|/feed/?$') THEN 'feed' WHEN regexp_matches(u, '(?i)sitemap[^/]*\\.(xml|txt)') THEN 'sitemap'
+ WHEN regexp_matches(lower(regexp_replace(u, '[?#].*$', '')), '/[^/]+\\.(pdf|doc|docx|xls|xlsx|ppt|pptx|csv|txt|rtf|odt|ods|odp|zip|rar|7z|epub|wps|et|dps)$') THEN 'attachment' ELSE 'page' END AS class, count(*) AS n FROM found WHERE u IS NOT NULL GROUP BY 1, 2""",
     "html_main": f"SELECT fetch_id, trim(regexp_replace(regexp_extract(content, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\s\\x0B ]+', ' ', 'g')) AS title, CASE WHEN length(t) > 500 THEN t[1:500] || '…' ELSE t END AS main FROM (SELECT fetch_id, content, {_sql(_TEXT, c=_MAIN)} AS t FROM fetch_result WHERE mode = 'raw' AND content IS NOT NULL)",
     "extension_counts": "SELECT lower(regexp_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '^.+\\.([A-Za-z0-9]{1,8})$', 1)) AS ext, count(*) AS n, count(DISTINCT target_id) AS targets FROM intel_item WHERE url IS NOT NULL GROUP BY 1",
     "title_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9-]{{2,}}')) AS term FROM search_result WHERE title IS NOT NULL) WHERE lower(term) NOT IN ({_STOP}) GROUP BY 1",

@@ -62,7 +62,7 @@ def channel_errors(spark: SparkSession, tables: Tables) -> DataFrame:
 
 
 @tool
-def build_query(spark: SparkSession, tables: Tables) -> DataFrame:
+def search_build_query(spark: SparkSession, tables: Tables) -> DataFrame:
     q = F.col("query")
     return tables["queries"].select("query", T.query_variants(q).alias("variants"), T.fan_out(q).alias("fan_out"), T.route(q).alias("route"))
 

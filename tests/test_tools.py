@@ -18,7 +18,7 @@ def test_search_tools(spark, tmp_path):
     assert tools.channel_errors(spark, tables).first().error == "rate-limit"
     deep = tools.search_deep(spark, tables, "spark").orderBy("rank").collect()
     assert [r.url for r in deep] == ["https://a.test/1", "https://a.test/2"] and deep[0].content == "text" and sorted(deep[0].engines) == ["parallel", "searxng"]
-    assert tools.build_query(spark, tables).first().route == "code"
+    assert tools.search_build_query(spark, tables).first().route == "code"
     assert {r["source"]: r.n for r in tools.search_quota(spark, tables).collect()} == {"searxng": 1, "bing": 1, "parallel": 1}
     site = {"pages": spark.createDataFrame([("https://a.test/", '<a href="/p/page.htm">x</a><a href="x.png">i</a>'), ("https://a.test/p/page.htm", '<a href="f.pdf#z">d</a>')], "url string, html string"), "seeds": spark.createDataFrame([("https://a.test/",)], "node string")}
     assert {(r.url, r.depth, r.attachment) for r in tools.discover_site(spark, site).collect()} == {("https://a.test/", 0, False), ("https://a.test/p/page.htm", 1, False), ("https://a.test/p/f.pdf", 2, True)}
