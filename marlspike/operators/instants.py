@@ -67,10 +67,12 @@ def json_path(dotted: Column) -> Column:
 
 def json_scalar(payload: Column, path: Column) -> Column:
     """The string or number at `path` as text; null for other kinds, missing members and JSON that is not whole."""
-    whole = F.try_parse_json(payload)
-    kind = F.schema_of_variant(F.try_variant_get(whole, path, "variant"))
-    usable = kind.rlike(r"^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    return F.when(usable, F.try_variant_get(whole, path, "string"))
+    # as the only element of a list: the parser alone would pass what follows a complete value
+    whole = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
+    inner = F.concat(F.lit("$[0]"), F.substr(path, F.lit(2)))
+    kind = F.schema_of_variant(F.try_variant_get(whole, inner, "variant"))
+    usable = kind.rlike(r"^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)") & F.try_variant_get(whole, "$[1]", "variant").isNull()
+    return F.when(usable, F.try_variant_get(whole, inner, "string"))
 
 
 def raw_times(spark: SparkSession, sf_dir: str) -> DataFrame:

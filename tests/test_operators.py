@@ -28,8 +28,8 @@ def test_dictionary_grows(spark):
 
 
 def test_json_values(spark):
-    rows = spark.createDataFrame([('{"a":[{"b":1740718029334}]}', "a.0.b"), ('{"a":"x', "a"), ('{"a":true}', "a"), ('{"a":null}', "a"), ('{"a":{}}', "a"), ('{"a":"t"}', "a"), ('{"a":1.5}', "a"), ("", "a"), (None, "a"), ('{"a":1}', None)], "p string, path string")
-    assert [r[0] for r in rows.select(instants.json_scalar(F.col("p"), instants.json_path(F.col("path")))).collect()] == ["1740718029334", None, None, None, None, "t", "1.5", None, None, None]
+    rows = spark.createDataFrame([('{"a":[{"b":1740718029334}]}', "a.0.b"), ('{"a":"x', "a"), ('{"a":true}', "a"), ('{"a":null}', "a"), ('{"a":{}}', "a"), ('{"a":"t"}', "a"), ('{"a":1.5}', "a"), ("", "a"), (None, "a"), ('{"a":1}', None), ('{"a":"t"}}', "a"), ('{"a":"t"} x', "a"), ('{"a":"t"},{}', "a"), (' {"a":"t"}\n', "a")], "p string, path string")
+    assert [r[0] for r in rows.select(instants.json_scalar(F.col("p"), instants.json_path(F.col("path")))).collect()] == ["1740718029334", None, None, None, None, "t", "1.5", None, None, None, None, None, None, "t"]
 
 
 def results(spark, *rows):
