@@ -103,7 +103,7 @@ def lines_of(pages: DataFrame) -> DataFrame:
                     keys.append(key)
                     labels.append(label)
                     heads.append(key == head)
-                    sentences.append(len(text) > 60 and text.rstrip("\"”’)")[-1:] in ".!?。！？")
+                    sentences.append(len(text) > 30 and text.rstrip("\"”’)")[-1:] in ".!?。！？")
                     texts.append(text)
             place = pa.array(of, pa.int64())
             taken = [batch.column(c).take(place) for c in ("tbl", "rec", "host")]
@@ -169,7 +169,7 @@ def _frame(text: str, words: list[str]) -> list[str]:
     parts.append(f"length\x1f{min(8, len(words) // 3)}")
     if lead := _LEAD.match(text):
         kind = "number" if lead[1] else lead[2].lower()
-        parts += [f"lead{k}\x1f{kind}" for k in range(6)]
+        parts += [f"lead{k}\x1f{kind}" for k in range(12)]
     return parts
 
 
