@@ -81,7 +81,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "fetch_result").filter("mode = 'raw' AND content IS NOT NULL")
-    return pages.select("fetch_id", H.title(F.col("content")).alias("title"), H.main_text(F.col("content"), 500).alias("main"))
+    return pages.select("fetch_id", H.title(F.col("content")).alias("title"), H.main_text(F.col("content")).alias("main"))
 
 
 def link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +124,9 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sha1_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash-range lookup: texts whose SHA-1 is in the list of their five-letter range."""
+    """Hash-range lookup: texts whose SHA-1 is that of a row with an id divisible by 50, found by its five-letter range."""
     rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.upper(F.sha1("text")).alias("sha1"))
-    wanted = rows.filter("doc_id % 7 = 0").select(F.substring("sha1", 1, 5).alias("prefix"), F.substring("sha1", 6, 35).alias("suffix")).distinct()
+    wanted = rows.filter("doc_id % 50 = 0").select(F.substring("sha1", 1, 5).alias("prefix"), F.substring("sha1", 6, 35).alias("suffix")).distinct()
     probe = rows.select("doc_id", F.substring("sha1", 1, 5).alias("prefix"), F.substring("sha1", 6, 35).alias("suffix"))
     return probe.join(wanted, ["prefix", "suffix"], "left_semi").select("doc_id", "prefix")
 
@@ -240,7 +240,7 @@ found AS (SELECT host, CASE WHEN r = '' OR starts_with(r, '#') THEN NULL WHEN re
  WHEN starts_with(r, '/') THEN regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || r ELSE regexp_replace(regexp_replace(base, '[?#].*$', ''), '[^/]*$', '') || regexp_replace(r, '^\\./', '') END AS u FROM refs)
 SELECT host, CASE WHEN regexp_matches(u, '(?i)(rss|atom|feed)[^/]*(\\.xml)?$|/feed/?$') THEN 'feed' WHEN regexp_matches(u, '(?i)sitemap[^/]*\\.(xml|txt)') THEN 'sitemap'
  WHEN regexp_matches(lower(regexp_replace(u, '[?#].*$', '')), '/[^/]+\\.(pdf|doc|docx|xls|xlsx|ppt|pptx|csv|txt|rtf|odt|ods|odp|zip|rar|7z|epub|wps|et|dps)$') THEN 'attachment' ELSE 'page' END AS class, count(*) AS n FROM found WHERE u IS NOT NULL GROUP BY 1, 2""",
-    "html_main": f"SELECT fetch_id, trim(regexp_replace(regexp_extract(content, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\s\\x0B ]+', ' ', 'g')) AS title, CASE WHEN length(t) > 500 THEN t[1:500] || '…' ELSE t END AS main FROM (SELECT fetch_id, content, {_sql(_TEXT, c=_MAIN)} AS t FROM fetch_result WHERE mode = 'raw' AND content IS NOT NULL)",
+    "html_main": f"SELECT fetch_id, trim(regexp_replace(regexp_extract(content, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\s\\x0B ]+', ' ', 'g')) AS title, CASE WHEN length(t) > 8000 THEN t[1:8000] || '…' ELSE t END AS main FROM (SELECT fetch_id, content, {_sql(_TEXT, c=_MAIN)} AS t FROM fetch_result WHERE mode = 'raw' AND content IS NOT NULL)",
     "extension_counts": "SELECT lower(regexp_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '^.+\\.([A-Za-z0-9]{1,8})$', 1)) AS ext, count(*) AS n, count(DISTINCT target_id) AS targets FROM intel_item WHERE url IS NOT NULL GROUP BY 1",
     "title_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9-]{{2,}}')) AS term FROM search_result WHERE title IS NOT NULL) WHERE lower(term) NOT IN ({_STOP}) GROUP BY 1",
     "shared_domains": f"SELECT domain, domain IN (SELECT {_sql(_DOMAIN, u='url')} FROM fetch_result WHERE url IS NOT NULL) AS fetched FROM (SELECT DISTINCT {_sql(_DOMAIN, u='trim(url)')} AS domain FROM search_result)",
@@ -289,7 +289,7 @@ WITH RECURSIVE rows_of AS (SELECT query, ord, {_sql(_SITE, u='trim(url)')} AS si
 edges AS (SELECT DISTINCT a.site AS src, b.site AS dst FROM rows_of a JOIN rows_of b ON a.query = b.query AND b.ord = a.ord + 1 WHERE a.site <> b.site),
 walk AS (SELECT min(site) AS node, 0 AS depth FROM rows_of UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 3)
 SELECT node, min(depth)::INTEGER AS depth FROM walk GROUP BY node""",
-    "sha1_ranges": "WITH h AS (SELECT doc_id, upper(sha1(text)) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, h[1:5] AS prefix FROM h WHERE h IN (SELECT h FROM h WHERE doc_id % 7 = 0)",
+    "sha1_ranges": "WITH h AS (SELECT doc_id, upper(sha1(text)) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, h[1:5] AS prefix FROM h WHERE h IN (SELECT h FROM h WHERE doc_id % 50 = 0)",
     "published_from_url": r"SELECT seq, day FROM (SELECT seq, try_strptime(regexp_extract(regexp_replace(url, '[?#].*$', ''), '/(\d{4})[-/]?(\d{2})[-/]?(\d{2})(?:/|$|\.)', 1) || regexp_extract(regexp_replace(url, '[?#].*$', ''), '/(\d{4})[-/]?(\d{2})[-/]?(\d{2})(?:/|$|\.)', 2) || regexp_extract(regexp_replace(url, '[?#].*$', ''), '/(\d{4})[-/]?(\d{2})[-/]?(\d{2})(?:/|$|\.)', 3), '%Y%m%d')::DATE AS day FROM intel_item) WHERE day IS NOT NULL",
     "discovered": """SELECT regexp_replace(regexp_replace(url, '#.*$', ''), '^(?i)http://', 'https://') AS key, arg_min(source, seq) AS source, coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (WHERE source IS NOT NULL)), '+'), '') AS sources,
  arg_min(meta['mime'], seq) FILTER (WHERE coalesce(meta['mime'], '') <> '') AS mime, min(seq) AS ord FROM intel_item WHERE url IS NOT NULL GROUP BY 1""",
