@@ -11,7 +11,7 @@ from marlspike.operators.merge import keep_first, top_per_group
 
 
 def latest_view(log: DataFrame) -> DataFrame:
-    """The last row of each id. An aggregation with map-side combine: an id that holds a third of the log is no single task."""
+    """The last row of each id; select the columns that are wanted before, as rows travel whole. An aggregation with map-side combine: an id that holds a third of the log is no single task."""
     columns = [c for c in log.columns if c != "id"]
     packed = log.groupBy("id").agg(F.max_by(F.struct(*columns), "seq").alias("row"))
     return packed.select("id", *[F.col(f"row.{c}").alias(c) for c in columns]).select(*log.columns)

@@ -31,7 +31,7 @@ def item_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.latest_view(table(spark, sf_dir, "intel_item").drop("meta")).select("id", "seq", "status", "triaged", "title")
+    return monitor.latest_view(table(spark, sf_dir, "intel_item").select("id", "seq", "status", "triaged", "title"))
 
 
 def delta_new(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,32 +47,32 @@ def second_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = monitor.latest_view(_log(spark, sf_dir).drop("meta"))
+    view = monitor.latest_view(_log(spark, sf_dir).select("id", "seq", "target_id", "status", "triaged", "found_ts"))
     return monitor.list_items(view, status="new", since=F.to_timestamp(F.lit("2026-01-01 00:00:00")), limit=50).select("id", "seq", "filtered")
 
 
 def item_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.stats(monitor.latest_view(table(spark, sf_dir, "intel_item").drop("meta")))
+    return monitor.stats(monitor.latest_view(table(spark, sf_dir, "intel_item").select("id", "seq", "target_id", "kind", "status", "triaged")))
 
 
 def unread_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.unread_breakdown(monitor.latest_view(table(spark, sf_dir, "intel_item").drop("meta")))
+    return monitor.unread_breakdown(monitor.latest_view(table(spark, sf_dir, "intel_item").select("id", "seq", "kind", "status", "triaged")))
 
 
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = monitor.latest_view(_log(spark, sf_dir).drop("meta"))
+    view = monitor.latest_view(_log(spark, sf_dir).select("id", "seq", "target_id", "kind", "found_ts", "published_ts"))
     return monitor.digest_view(view, 10).select("target_id", "id", "rank", "level", "total")
 
 
 def template_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On this log bursts of five owners are rare, so two owners within ninety days count here."""
-    view = monitor.latest_view(_log(spark, sf_dir).drop("meta"))
+    view = monitor.latest_view(_log(spark, sf_dir).select("id", "seq", "target_id", "url", "title", "status", "found_ts", "published_ts"))
     found = monitor.template_batches(view, min_owners=2, hours=24 * 90)
     return found.select("target_id", "repo", F.array_join("owners", ",").alias("owners"), F.size("ids").alias("items"), "span_hours")
 
 
 def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = monitor.latest_view(_log(spark, sf_dir).drop("meta"))
+    view = monitor.latest_view(_log(spark, sf_dir).select("id", "seq", "target_id", "url", "title", "status", "found_ts", "published_ts"))
     kept, out = monitor.suppress(view, monitor.template_batches(view, min_owners=2, hours=24 * 90))
     return kept.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(True)).unionByName(out.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(False)))
 
