@@ -142,7 +142,8 @@ def test_page_keys(spark):
     assert len(set(keys[:4])) == 1 and len(set(keys)) == 5
 
 
-def test_batches_against_brute_force(spark):
+@pytest.mark.parametrize("mounted", [True, False])
+def test_batches_against_brute_force(spark, mounted):
     draw = random.Random(3)
     rows = []
     for seq in range(1, 900):
@@ -150,7 +151,7 @@ def test_batches_against_brute_force(spark):
         url = draw.choice([f"https://a.test/{page}", f"http://www.a.test/{page}/", f"https://a.test/{page}?utm_x=1", None])
         rows.append((0 if seq < 400 else 1 + (seq - 400) // 100, seq, f"https://a.test/{page}" if url is None or draw.random() < 0.5 else url, url))
     df = spark.createDataFrame(rows, "batch_no int, seq bigint, id string, url string")
-    found = {(r.first_seq, r.dup_seq) for r in batches.against_history(df, keys_per_shard=100).collect()}
+    found = {(r.first_seq, r.dup_seq) for r in batches.against_history(df, keys_per_shard=100, mounted=mounted).collect()}
     first, wanted = {}, set()
     for r in df.select("batch_no", "seq", batches.page_key(F.coalesce("url", "id")).alias("k")).orderBy("seq").collect():
         if r.k in first and r.batch_no > 0:
