@@ -113,9 +113,12 @@ def line_shapes(documents: DataFrame, text_col: str) -> DataFrame:
     lines = arrays.select(F.posexplode("all").alias("no", "line"), F.size("all").alias("lines"))
     lines = lines.filter(F.length(trimmed(F.col("line"))) > 0)
     inside = F.col("no") < F.col("lines") - 1
+    # of a line that ends whole the first sentence is enough: an open end that holds no sentence end can only begin that
+    first = F.regexp_replace("line", r"(?s)(?<=[\p{L}\p{N})\]”»][.!?])\s.*$|(?<=[。！？]).*$", "")
+    head = F.when(ends_sentence(trimmed(F.col("line"))), first).otherwise(F.col("line"))
     # tags before the last of their line are complete as well
     tags = F.when(F.col("line").rlike(r"^\s*#[\p{L}\p{N}_]+(\s+#[\p{L}\p{N}_]+)+\s*$"), F.slice(F.split(F.trim("line"), r"\s+"), F.lit(1), F.size(F.split(F.trim("line"), r"\s+")) - 1)).otherwise(F.array().cast("array<string>"))
-    seen = F.concat(F.array(F.struct(shape(F.col("line")).alias("value"), inside.cast("int").alias("inside"), (~inside).cast("int").alias("last"))), F.transform(tags, lambda t: F.struct(t.alias("value"), F.lit(1).alias("inside"), F.lit(0).alias("last"))))
+    seen = F.concat(F.array(F.struct(shape(head).alias("value"), inside.cast("int").alias("inside"), (~inside).cast("int").alias("last"))), F.transform(tags, lambda t: F.struct(t.alias("value"), F.lit(1).alias("inside"), F.lit(0).alias("last"))))
     return lines.select(F.explode(seen).alias("x")).select("x.*").groupBy("value").agg(F.sum("inside").alias("inside"), F.sum("last").alias("last"))
 
 
