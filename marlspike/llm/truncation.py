@@ -32,8 +32,12 @@ TERMINAL = r"[.!?。！？؟।]"
 CLOSERS = r"[\"'”’»›)\]）」』】*_]"
 
 
+#: White space and invisible signs that may follow a text's end.
+BLANKS = " \t\n\x0b\f\r\x85\xa0\xad\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, [*range(0x2000, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065)]))
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\s\p{Z}\p{Cf}]+$", "")
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def ends_sentence(line: Column) -> Column:
