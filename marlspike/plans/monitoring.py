@@ -10,14 +10,15 @@ from marlspike.functions.instants import with_instants
 from marlspike.functions.text import repo_key
 from marlspike.operators import monitor
 from marlspike.operators.instants import json_path, json_scalar
-from marlspike.session import table
+from marlspike.session import staged, table
 
 #: The time against which queries measure age; a parameter of the operators.
 NOW = "2026-09-01 00:00:00"
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The item log with `found_ts` and `published_ts`: only texts in plain ISO form, which both engines read alike."""
+    """The item log with `found_ts` and `published_ts`: only texts in plain ISO form, which both engines read alike.
+    The queries on it are the part that SQL can repeat; `whole_...` are the same over every text that names an instant."""
     iso = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$"
     log = table(spark, sf_dir, "intel_item")
     for field, out in (("found_at", "found_ts"), ("published_at", "published_ts")):
@@ -25,6 +26,23 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log
 
 
+def _timed(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The latest view with `found_ts` and `published_ts` of every text that names an instant, read as p2 does: in the
+    target's zone and order of the date's parts. SQL cannot repeat this, so the queries on it (`whole_...`) have none."""
+    return _instants(monitor.latest_view(table(spark, sf_dir, "intel_item").select("id", "seq", "target_id", "found_at", "published_at", *columns)), _targets(spark, sf_dir)).transform(staged, "timed-view")
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "intel_target").select(F.col("id").alias("target_id"), "zone", F.coalesce(F.col("locale").rlike(r"[-_]US$"), F.lit(False)).alias("month_first"))
+
+
+def _instants(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    rows = rows.join(targets, "target_id", "left").withColumn("month_first", F.coalesce("month_first", F.lit(False)))
+    for field, out in (("found_at", "found_ts"), ("published_at", "published_ts")):
+        rows = with_instants(rows, field, "zone", "month_first", out)
+    return rows.drop("zone", "month_first", "found_at", "published_at")
+
+
 def item_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.coalesce("url", "id")
     return table(spark, sf_dir, "intel_item").select("seq", U.item_kind(u, None, F.col("source")).alias("kind"), U.is_structural(u).alias("structural"), U.is_worthy(u, F.coalesce("source", F.lit("")), F.col("batch_no") == 0).alias("worthy"), U.fingerprint(u).alias("fingerprint"))
@@ -74,6 +92,10 @@ def template_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = monitor.latest_view(_log(spark, sf_dir).select("id", "seq", "target_id", "url", "title", "status", "found_ts", "published_ts"))
     kept, out = monitor.suppress(view, monitor.template_batches(view, min_owners=2, hours=24 * 90))
+    return _kept_and_out(kept, out)
+
+
+def _kept_and_out(kept: DataFrame, out: DataFrame) -> DataFrame:
     return kept.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(True)).unionByName(out.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(False)))
 
 
@@ -125,14 +147,40 @@ def repo_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def age_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per target: youngest and oldest item in hours, and how many name no time."""
-    log = _log(spark, sf_dir)
+    return _ages(_log(spark, sf_dir))
+
+
+def _ages(log: DataFrame) -> DataFrame:
     age = (F.unix_micros(F.to_timestamp(F.lit(NOW))) - F.unix_micros(F.coalesce("published_ts", "found_ts"))) / 3_600_000_000
     return log.select("target_id", age.alias("age")).groupBy("target_id").agg(F.min("age").alias("youngest"), F.max("age").alias("oldest"), F.count_if(F.col("age").isNull()).alias("unknown"))
 
 
+def whole_list_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = _timed(spark, sf_dir, "status", "triaged")
+    return monitor.list_items(view, status="new", since=F.to_timestamp(F.lit("2026-01-01 00:00:00")), limit=50).select("id", "seq", "filtered")
+
+
+def whole_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.digest_view(_timed(spark, sf_dir, "kind"), 10).select("target_id", "id", "rank", "level", "total")
+
+
+def whole_template_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = monitor.template_batches(_timed(spark, sf_dir, "url", "title", "status"), min_owners=2, hours=24 * 90)
+    return found.select("target_id", "repo", F.array_join("owners", ",").alias("owners"), F.size("ids").alias("items"), "span_hours")
+
+
+def whole_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = _timed(spark, sf_dir, "url", "title", "status")
+    return _kept_and_out(*monitor.suppress(view, monitor.template_batches(view, min_owners=2, hours=24 * 90)))
+
+
+def whole_age_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ages(_instants(table(spark, sf_dir, "intel_item").select("target_id", "found_at", "published_at"), _targets(spark, sf_dir)))
+
+
 QUERIES = {f.__name__: f for f in (
     item_kinds, latest_view, delta_new, second_scan, list_recent, item_stats, unread_breakdown, digest, template_batches, suppressed, due_targets, backfill, scan_outcomes, auto_count, api_items, api_epochs,
-    iso_instants, repo_words, age_stats,
+    iso_instants, repo_words, age_stats, whole_list_recent, whole_digest, whole_template_batches, whole_suppressed, whole_age_stats,
 )}
 
 _U = "coalesce(url, id)"
