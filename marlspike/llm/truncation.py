@@ -24,7 +24,7 @@ from marlspike.operators.skew import join_dictionary
 from marlspike.session import staged, table
 
 PREFIX = 64
-#: So many other lines of the same shape show that a line is complete.
+#: So many other texts with a line of the same shape show that a line is complete.
 MIN_COMPLETE = 2
 #: Marks that a cutting field adds (fixed values).
 MARKS = r"(?:\.\.\.|…|\[\.\.\.\]|\[…\]|\(…\)|\(\.\.\.\)|\(more\)|>>|»»|(?:…|\.\.\.)? ?Read (?:on|more)|(?:…|\.\.\.) ?(?:more|continued|mehr|weiterlesen|suite|lire la suite|más|leer más|далее|читать далее|全文|阅读全文))"
@@ -102,19 +102,21 @@ def ends(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> D
     base = documents.filter(F.length(body) > 0).select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), body.alias("body"))
     # marks are short, so the end of the text decides
     base = base.withColumn("marked", F.right("body", F.lit(60)).rlike(r"(?s)[\p{L}\p{N},;:–—(\"“«'’”)\]\s]" + MARKS + "$"))
-    base = base.withColumn("last", trimmed(F.element_at(F.split("body", "\n"), -1)))
+    base = base.withColumn("whole", F.xxhash64("body")).withColumn("last", trimmed(F.element_at(F.split("body", "\n"), -1)))
     fences = F.size(F.split("body", "(?m)^\\s*```")) - 1
     return base.select(
-        "doc", "source", "text", "marked", "last", (fences % 2 == 1).alias("open_fence"), ends_sentence(F.col("last")).alias("sentence"),
+        "doc", "source", "text", "whole", "marked", "last", (fences % 2 == 1).alias("open_fence"), ends_sentence(F.col("last")).alias("sentence"),
         F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.endswith("body", F.lit("�")).alias("broken"),
     )
 
 
 def line_shapes(documents: DataFrame, text_col: str) -> DataFrame:
-    """value (shape), inside, last: of how many lines with something after them, and of how many last lines, it is the shape."""
+    """value (shape), inside, last: in how many distinct texts a line with something after it, and the last line, has the shape;
+    own_low, own_high: least and greatest hash of the texts that have it in both places."""
     # the array is a column of its own, or its size would be worked out anew for every line
-    arrays = documents.select(F.split(trimmed(F.col(text_col)), "\n").alias("all"))
-    lines = arrays.select(F.posexplode("all").alias("no", "line"), F.size("all").alias("lines"))
+    body = trimmed(F.col(text_col))
+    arrays = documents.select(F.xxhash64(body).alias("whole"), F.split(body, "\n").alias("all"))
+    lines = arrays.select("whole", F.posexplode("all").alias("no", "line"), F.size("all").alias("lines"))
     lines = lines.filter(F.length(trimmed(F.col("line"))) > 0)
     inside = F.col("no") < F.col("lines") - 1
     # of a line that ends whole the first sentence is enough: an open end that holds no sentence end can only begin that
@@ -123,7 +125,10 @@ def line_shapes(documents: DataFrame, text_col: str) -> DataFrame:
     # tags before the last of their line are complete as well
     tags = F.when(F.col("line").rlike(r"^\s*#[\p{L}\p{N}_]+(\s+#[\p{L}\p{N}_]+)+\s*$"), F.slice(F.split(F.trim("line"), r"\s+"), F.lit(1), F.size(F.split(F.trim("line"), r"\s+")) - 1)).otherwise(F.array().cast("array<string>"))
     seen = F.concat(F.array(F.struct(shape(head).alias("value"), inside.cast("int").alias("inside"), (~inside).cast("int").alias("last"))), F.transform(tags, lambda t: F.struct(t.alias("value"), F.lit(1).alias("inside"), F.lit(0).alias("last"))))
-    return lines.select(F.explode(seen).alias("x")).select("x.*").groupBy("value").agg(F.sum("inside").alias("inside"), F.sum("last").alias("last"))
+    # a text counts once, however often it comes or has the shape
+    texts = lines.select("whole", F.explode(seen).alias("x")).select("whole", "x.*").groupBy("value", "whole").agg(F.max("inside").alias("inside"), F.max("last").alias("last"))
+    own = F.when((F.col("inside") == 1) & (F.col("last") == 1), F.col("whole"))
+    return texts.groupBy("value").agg(F.sum("inside").alias("inside"), F.sum("last").alias("last"), F.min(own).alias("own_low"), F.max(own).alias("own_high"))
 
 
 def cut_off(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -134,14 +139,21 @@ def cut_off(documents: DataFrame, id_col: str, text_col: str, source_col: str) -
     open_ends = found.filter("NOT sentence AND NOT marked AND NOT open_fence AND NOT broken").withColumn("value", shape(F.col("last")))
     wanted = open_ends.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     kinds = wanted.join(shapes, "value", "left").join(begins, "value", "left")
-    kinds = kinds.select("value", "n", ((F.coalesce("inside", F.lit(0)) >= MIN_COMPLETE) | ((F.coalesce("last", F.lit(0)) >= MIN_COMPLETE) & F.col("begins").isNull())).alias("complete"))
+    kinds = kinds.select("value", "n", F.coalesce("inside", F.lit(0)).alias("inside"), (F.coalesce("last", F.lit(0)) - 1).alias("others"), F.col("begins").isNull().alias("ends"), "own_low", "own_high")
     kinds = staged(kinds, "line-kinds")
+    # what comes unaltered in more than two documents is no chance copy of a cut text
+    repeats = open_ends.groupBy("whole").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > MIN_COMPLETE)
     longer = copies_continue(documents, text_col).groupBy(F.col("value").alias("text")).agg(F.max((~F.col("follower").isin("\n", "\r")).cast("int")).alias("goes_on"))
     # a sentence inside the line before its open end leaves no doubt
-    judged = join_dictionary(open_ends, kinds, ["value"], "n")
+    judged = join_dictionary(open_ends, kinds, ["value"], "n").join(repeats, "whole", "left")
+    # a text is no evidence for itself; where MIN_COMPLETE texts have the shape inside, the two hashes name all that could be it
+    own = F.coalesce((F.col("whole") == F.col("own_low")) | (F.col("whole") == F.col("own_high")), F.lit(False))
+    complete = (F.col("inside") - own.cast("int") >= MIN_COMPLETE) | (((F.col("others") >= MIN_COMPLETE) | F.col("copies").isNotNull()) & F.col("ends"))
+    # an even fence closes its code
+    complete = complete | F.col("last").rlike(r"^\s*```$")
     judged = judged.join(longer, "text", "left")
     in_prose = F.col("last").rlike(r"\p{L}[.!?]\s+\P{Lu}*\p{Lu}|[。！？]\s*\S")
-    reason = F.when(~F.col("complete"), "open end").when(in_prose & ~F.col("last").rlike(r"^\s*[-*•—–#|]"), "inside a sentence").when(F.col("goes_on") == 1, "longer copy")
+    reason = F.when(~complete, "open end").when(in_prose & ~F.col("last").rlike(r"^\s*[-*•—–#|]"), "inside a sentence").when(F.col("goes_on") == 1, "longer copy")
     judged = staged(judged.select("doc", "source", "chars", "bytes", reason.alias("reason")), "judged-ends")
     # a source's limit is its greatest size, where a text of that size was cut beyond doubt; then other
     # texts of that size that end openly, or in a number that looks like the end of a sentence, were cut too
