@@ -31,7 +31,7 @@ from marlspike.llm.suffix import common_prefixes, suffix_array
 from marlspike.session import staged, table
 
 PAGES_PER_CHUNK = 4000
-#: A run counts once it is on so many pages of a chunk.
+#: A line recurs once it is on so many pages of a host.
 MIN_PAGES = 3
 #: Share of a host's pages from which a recurring line speaks for furniture, and from which it also teaches.
 MIN_SHARE, TEACHING_SHARE = 0.07, 0.15
@@ -115,8 +115,8 @@ def lines_of(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, LINES)
 
 
-def recurring_lines(page: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, pages): the lines of runs that recur on at least MIN_PAGES distinct pages, and on how many.
+def recurring_lines(page: np.ndarray, key: np.ndarray, least: int = MIN_PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, pages): the lines that are on at least `least` distinct pages, and on how many.
     The rows are one stream, ordered by page and line."""
     tokens, stream = np.unique(key, return_inverse=True)
     number = np.unique(page, return_inverse=True)[1]
@@ -137,25 +137,26 @@ def recurring_lines(page: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.n
     groups, pages = np.unique(pairs[0], return_counts=True)
     token_of = np.zeros(group[-1] + 1, np.int64)
     token_of[group[line]] = first[line] - 1
-    many = pages >= MIN_PAGES
+    many = pages >= least
     return tokens[token_of[groups[many]]], pages[many]
 
 
 def _chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["page", "no"], kind="stable")
-    keys, pages = recurring_lines(rows["page"].to_numpy(), rows["key"].to_numpy())
+    # every line: a host's chunks are summed before MIN_PAGES applies
+    keys, pages = recurring_lines(rows["page"].to_numpy(), rows["key"].to_numpy(), 1)
     return pd.DataFrame({"tbl": key[0], "host": key[1], "key": keys, "pages": pages})
 
 
 def supports(lines: DataFrame) -> DataFrame:
-    """tbl, host, key, share: the recurring lines of each host and the share of its pages that hold them."""
+    """tbl, host, key, share: the lines of each host and the share of its pages that hold them, null for those that do not recur."""
     sizes = lines.select("tbl", "host", "rec").distinct().groupBy("tbl", "host").agg(F.count(F.lit(1)).alias("total"))
     # only numbers are shuffled: a host's pages go to chunks by hash, so none is one task
     chunk = F.pmod(F.xxhash64("rec"), F.ceil(F.col("total") / PAGES_PER_CHUNK)).cast("int")
     stream = lines.select("tbl", "host", "rec", "page", "no", "key").join(sizes, ["tbl", "host"]).select("tbl", "host", chunk.alias("chunk"), "page", "no", "key")
     runs = stream.groupBy("tbl", "host", "chunk").applyInPandas(_chunk, "tbl string, host string, key bigint, pages bigint")
     summed = runs.groupBy("tbl", "host", "key").agg(F.sum("pages").alias("pages"))
-    return summed.join(sizes, ["tbl", "host"]).select("tbl", "host", "key", (F.col("pages") / F.col("total")).alias("share"))
+    return summed.join(sizes, ["tbl", "host"]).select("tbl", "host", "key", F.when(F.col("pages") >= MIN_PAGES, F.col("pages") / F.col("total")).alias("share"))
 
 
 def _words(text: str) -> list[str]:
@@ -237,7 +238,8 @@ def furniture(pages: DataFrame) -> DataFrame:
     # what containers of any host say of a recurring line: 1 furniture, 0 body
     contained = lines.filter("label >= 0").groupBy("key").agg(F.max("label").alias("high"), F.min("label").alias("low"), F.count(F.lit(1)).alias("times")).filter("high = low")
     contained = staged(contained.select("key", F.col("high").alias("verdict"), "times"), "line-verdicts")
-    shared = staged(supports(lines).join(contained.drop("times"), "key", "left"), "line-supports")
+    shared = supports(lines).join(contained.drop("times"), "key", "left").filter("share IS NOT NULL OR verdict IS NOT NULL")
+    shared = staged(shared, "line-supports")
     known = lines.join(shared, ["tbl", "host", "key"], "left")
     taught = known.withColumn("label", F.when(F.col("headline"), 0).when(F.col("label") >= 0, F.col("label")).when(F.col("share") >= TEACHING_SHARE, 1).when(F.col("share").isNull() & F.col("sentence"), 0))
     weights = fit(taught)
@@ -259,7 +261,7 @@ def furniture(pages: DataFrame) -> DataFrame:
                 else:
                     value = tool.odds(text)
                 needed = NEEDED[2] if share is None or share < MIN_SHARE else NEEDED[1] if share < TEACHING_SHARE else NEEDED[0]
-                if label == 0 or (verdict == 0 and share < TEACHING_SHARE):
+                if label == 0 or (verdict == 0 and (share is None or share < TEACHING_SHARE)):
                     needed = NEEDED[3]
                 elif verdict == 1:
                     needed = -NEEDED[3]

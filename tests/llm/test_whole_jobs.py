@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from marlspike.llm import truncation
+from marlspike.llm import mainbody, truncation
+
+# 7
+
+
+def test_chunks_of_a_host_change_nothing(spark, monkeypatch):
+    rows = [("t", i, "h.test", None, "\n".join(["on all pages", f"on page {chr(97 + i)}", *(["on a third"] if i % 3 == 0 else []), *(["on three"] if i in (1, 8, 20) else []), *(["on two"] if i in (2, 9) else [])]), False) for i in range(24)]
+    lines = mainbody.lines_of(spark.createDataFrame(rows, "tbl string, rec bigint, host string, title string, content string, markup boolean")).cache()
+
+    def shares():
+        return {r.key: round(r.share * 24) for r in mainbody.supports(lines).filter("share IS NOT NULL").collect()}
+
+    wanted = {mainbody._key("on all pages"): 24, mainbody._key("on a third"): 8, mainbody._key("on three"): 3}
+    assert shares() == wanted
+    monkeypatch.setattr(mainbody, "PAGES_PER_CHUNK", 2)
+    assert shares() == wanted
+
 
 # 10
 
