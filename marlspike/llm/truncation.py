@@ -1,59 +1,80 @@
 """Text cut off by field limits or during transfer (problem 10).
 
-Method: values are range-partitioned and sorted, so that a value which is a strict prefix of a longer
-one stands right before it; one scan of neighbours finds every such value. It is done twice: for whole
-texts (only those whose first `PREFIX` characters another text shares, found by hash), which shows
-texts that have a longer copy elsewhere; and for the shapes of lines, which shows whether a last line
-that ends without a full stop is only the beginning of longer lines (cut) or a kind of line that stands
-complete elsewhere (a list item, table row, tag, signature or code).
+Method: a value is cut where it is a strict prefix of a longer one elsewhere. Prefixes are sought twice.
+Whole texts: those that can have a longer copy (see `copies_continue`) are range-partitioned and sorted, so
+that a text stands right before its longer copies, and one scan of neighbours finds every such text. Most
+cut texts have no copy; for these the windows that end the text (its last words, names and numbers replaced
+by their kind) are hashed by all but their last word, every text's windows with the same hash are counted,
+and the last words are sorted and scanned in the same way: a window that goes on elsewhere, or whose last
+word is the strict prefix of a word that stands there elsewhere, was cut; one that ends other lines was not.
+
+What has no prefix elsewhere is no case, unless the text shows the cut itself: a mark added at its end, half
+a character, a code fence that is never closed, or a size that is its source's limit.
 
 Defined cases: null, empty and blank texts are none; a text that equals another is no strict prefix of
-it; texts of any length are compared whole; a null source is reported as null.
+it and no evidence for or against it; texts are compared whole; a null source is a source of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlspike.operators.skew import join_dictionary
 from marlspike.session import staged, table
 
-PREFIX = 64
-#: So many other texts with a line of the same shape show that a line is complete.
-MIN_COMPLETE = 2
+#: Texts under this length are compared by prefixes of 1, 2, 4, ... characters, others by one of this length.
+SHORT = 64
+#: Words of the windows, longest first; the last counts as the word that may be cut.
+WINDOWS = (6, 4, 2)
+#: So many other texts whose line or window ends alike, and one in so many that go on, show that it is complete.
+MIN_COMPLETE, COMPLETE_SHARE = 2, 20
+#: Size of the bitmap of window hashes that decides which windows are counted at all; it is fixed, and exact
+#: joins follow, so a fuller bitmap only lets more rows through.
+BITS = 1 << 25
 #: Marks that a cutting field adds (fixed values).
 MARKS = r"(?:\.\.\.|…|\[\.\.\.\]|\[…\]|\(…\)|\(\.\.\.\)|\(more\)|>>|»»|(?:…|\.\.\.)? ?Read (?:on|more)|(?:…|\.\.\.) ?(?:more|continued|mehr|weiterlesen|suite|lire la suite|más|leer más|далее|читать далее|全文|阅读全文))"
-TERMINAL = r"[.!?。！？؟।]"
-CLOSERS = r"[\"'”’»›)\]）」』】*_]"
-
-
 #: White space and invisible signs that may follow a text's end.
-BLANKS = " \t\n\x0b\f\r\x85\xa0\xad\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, [*range(0x2000, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065)]))
+BLANKS = " \t\n\x0b\f\r\x85\xa0\xad     　﻿" + "".join(map(chr, [*range(0x2000, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065)]))
+
+_MARKED = regex.compile(r"[\p{L}\p{N},;:–—(\"“«'’”)\]\s]" + MARKS + "$")
+_SENTENCE = regex.compile(r"[.!?。！？؟।][\"'”’»›)\]）」』】*_]*$")
+_NUMBER = regex.compile(r"(?:^|[\s(])\d+\.(?:\d+\.)?$")
+_FENCE = regex.compile(r"^\s*```", regex.M)
+_HAN = regex.compile(r"[\p{Han}。！？，、；：（）]")
+_IDENTIFIER = regex.compile(r"\p{N}|[\p{L}\p{N}][-_/.](?=[\p{L}\p{N}])|^/\p{L}|/$")
 
 
 def trimmed(text: Column) -> Column:
     return F.rtrim(text, F.lit(BLANKS))
 
 
-def ends_sentence(line: Column) -> Column:
-    return line.rlike(TERMINAL + CLOSERS + "*$")
+def kind(word: str) -> str:
+    """A word with names, numbers and identifiers, tags and signs replaced by their kind; a sign at its end stays."""
+    end = word[-1] if not word[-1].isalnum() and len(word) > 1 else ""
+    if word[0] == "#" and len(word) > 1:
+        return "#"
+    if _IDENTIFIER.search(word):
+        return "0" + end
+    if word[0].isupper():
+        return "A" + end
+    if not word.isascii() and not any(c.isalnum() for c in word):
+        return "*"
+    return word
 
 
-def shape(line: Column) -> Column:
-    """A line with its numbers, identifiers and names replaced, so that lines of one kind are equal.
-    A line of tags or signs is reduced to its last one, as their order is free."""
-    s = F.regexp_replace(trimmed(line), r"https?://[^\s/]+/[^\s]+", "U/")
-    s = F.regexp_replace(s, r"(?<![\p{L}\p{N}])/?[\p{L}\p{N}]*(?:\p{N}|[\p{L}\p{N}][-_/.](?=[\p{L}\p{N}]))[\p{L}\p{N}._/-]*(?<![._/-])", "0")
-    s = F.regexp_replace(s, r"\p{Lu}[\p{Ll}\p{M}]*(?:\p{Lu}[\p{Ll}\p{M}]*)*", "A")
-    s = F.regexp_replace(s, r"^(?:#[\p{L}\p{N}_]+\s+)+(?=#)", "")
-    return F.regexp_replace(s, r"^(?:[\p{So}\p{Cf}\p{M}\p{Sk}]+\s+)+(?=\p{So})", "")
+def words_of(line: str) -> list[str]:
+    """A line's words; Chinese characters and signs are words each."""
+    return (_HAN.sub(r" \g<0> ", line) if _HAN.search(line) else line).split()
 
 
+# whole texts
+
 SCAN = "kind string, part int, value string, follower string"
 
 
@@ -63,8 +84,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = last = None
     for batch in batches:
         kinds, values, followers = [], [], []
-        for cell in batch.column(0):
-            value = cell.as_py()
+        for value in batch.column(0).to_pylist():
             if last is None:
                 first = value
             elif value.startswith(last) and value != last:
@@ -89,82 +109,251 @@ def strict_prefixes(values: DataFrame, column: str) -> DataFrame:
     return scanned.filter("kind = 'prefix'").select("value", "follower").unionByName(across)
 
 
+#: Line ends sort last, so that a text's first follower goes on inside the line if any of them does.
+_LATE = ("\n\r", "\U0010ffff\U0010fffe")
+
+
 def copies_continue(documents: DataFrame, text_col: str) -> DataFrame:
-    """value (text), follower of the texts that are a strict prefix of a longer one."""
-    keyed = documents.filter(F.length(trimmed(F.col(text_col))) > 0).select(F.col(text_col).alias("text"), F.xxhash64(F.substring(text_col, 1, PREFIX)).alias("start"))
-    shared = staged(keyed.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "prefix-starts")
-    return strict_prefixes(join_dictionary(keyed, shared, ["start"], "n"), "text")
+    """whole (hash of the text), goes_on (inside its last line) of the texts that are a strict prefix of a longer one.
+
+    A text of `SHORT` characters or more can only be one if another text has the same first `SHORT`; a shorter one if
+    another has its first 2^k characters, the most it has. Only texts that share such a prefix are sorted, whole.
+    """
+    text = F.col(text_col)
+    size = F.length(text)
+    levels = [2**k for k in range(SHORT.bit_length() - 1)]
+    # every text's hashes at the levels it reaches; the key that decides for it is that of the highest
+    reached = F.filter(F.array(*[F.when(size >= n, F.xxhash64(F.lit(n), F.substring(text, 1, n))) for n in [*levels, SHORT]]), lambda h: h.isNotNull())
+    keyed = documents.filter(F.length(trimmed(text)) > 0).select(text.alias("text"), F.xxhash64(text).alias("whole"), reached.alias("starts"))
+    hashes = staged(keyed.select("whole", F.explode("starts").alias("start"), F.element_at("starts", -1).alias("top")), "text-starts")
+    # the starts that decide for one text and that another text has as well
+    shared = hashes.groupBy("start").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.max((F.col("start") == F.col("top")).cast("int")).alias("decides")).filter("a <> b AND decides = 1").select("start")
+    wanted = staged(hashes.join(shared, "start", "left_semi").select("whole").distinct(), "text-candidates")
+    texts = keyed.select("whole", F.translate("text", *_LATE).alias("late")).join(wanted, "whole", "left_semi")
+    found = strict_prefixes(texts, "late")
+    return found.groupBy(F.xxhash64(F.translate("value", *reversed(_LATE))).alias("whole")).agg(F.max((~F.col("follower").isin(*_LATE[1])).cast("int")).alias("goes_on"))
+
+
+# windows
+
+
+def _mix(values: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (the public splitmix64 constants)."""
+    z = values + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+class Lexicon(dict):
+    """word -> number of its kind; the kinds' texts and hashes."""
+
+    def __init__(self):
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.kinds: dict[str, int] = {"^": 0}
+        self.texts: list[str] = ["^"]
+        self.hashes: list[int] = [_hash("^")]
+
+    def __missing__(self, word: str) -> int:
+        k = kind(word)
+        at = self.kinds.get(k)
+        if at is None:
+            at = self.kinds[k] = len(self.texts)
+            self.texts.append(k)
+            self.hashes.append(_hash(k))
+        self[word] = at
+        return at
+
+
+def _hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def contexts(kinds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each word (hash of its kind; `starts` its line's first place, which holds `^`) a row for each of WINDOWS, the
+    hash of the words before it in that window, and a last row with the hash of all words before it in its line; 0
+    where the line has not so many."""
+    n = len(kinds)
+    place = np.arange(n)
+    out = np.zeros((len(WINDOWS) + 1, n), np.uint64)
+    for row, width in enumerate(WINDOWS):
+        value = np.full(n, width, np.uint64)
+        for back in range(1, width):
+            before = np.zeros(n, np.uint64)
+            before[back:] = kinds[:-back] if back < n else 0
+            value = _mix(value ^ before)
+        out[row] = np.where(place - width + 1 >= starts, value, np.uint64(0))
+    # sums of words mixed with their place in the line
+    summed = np.cumsum(_mix(kinds ^ _mix((place - starts).astype(np.uint64))))
+    until = np.concatenate([[np.uint64(0)], summed[:-1]])
+    line = _mix(until - np.concatenate([[np.uint64(0)], summed])[starts] + np.uint64(1))
+    out[-1] = np.where(place > starts, line, np.uint64(0))
+    return out
+
+
+def _streams(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """kind number, first place of the line, text number, end (0 goes on, 1 ends a line, 2 ends the text) of each word of the texts."""
+    numbers: list[int] = []
+    sizes: list[int] = []
+    of: list[int] = []
+    for i, text in enumerate(texts):
+        for line in text.split("\n"):
+            words = words_of(line)
+            if words:
+                numbers.append(0)
+                numbers += map(lexicon.__getitem__, words)
+                sizes.append(len(words) + 1)
+                of.append(i)
+    size, owner = np.array(sizes, np.int64), np.array(of, np.int64)
+    first = np.cumsum(size) - size
+    end = np.zeros(len(numbers), np.int8)
+    if len(size):
+        end[first + size - 1] = 1 + np.append(owner[1:] != owner[:-1], True)
+    return np.array(numbers, np.int64), np.repeat(first, size), np.repeat(owner, size), end
+
+
+ENDS = "doc bigint, source string, whole bigint, chars bigint, bytes bigint, reason string, open boolean, number boolean, word string, contexts array<bigint>"
 
 
 def ends(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc, source, text and what its end looks like: last line, mark, open fence, sentence end, sizes."""
-    body = trimmed(F.col(text_col))
-    base = documents.filter(F.length(body) > 0).select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), body.alias("body"))
-    # marks are short, so the end of the text decides
-    base = base.withColumn("marked", F.right("body", F.lit(60)).rlike(r"(?s)[\p{L}\p{N},;:–—(\"“«'’”)\]\s]" + MARKS + "$"))
-    base = base.withColumn("whole", F.xxhash64("body")).withColumn("last", trimmed(F.element_at(F.split("body", "\n"), -1)))
-    fences = F.size(F.split("body", "(?m)^\\s*```")) - 1
-    return base.select(
-        "doc", "source", "text", "whole", "marked", "last", (fences % 2 == 1).alias("open_fence"), ends_sentence(F.col("last")).alias("sentence"),
-        F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.endswith("body", F.lit("�")).alias("broken"),
-    )
-
-
-def line_shapes(documents: DataFrame, text_col: str) -> DataFrame:
-    """value (shape), inside, last: in how many distinct texts a line with something after it, and the last line, has the shape;
-    own_low, own_high: least and greatest hash of the texts that have it in both places."""
-    # the array is a column of its own, or its size would be worked out anew for every line
-    body = trimmed(F.col(text_col))
-    arrays = documents.select(F.xxhash64(body).alias("whole"), F.split(body, "\n").alias("all"))
-    lines = arrays.select("whole", F.posexplode("all").alias("no", "line"), F.size("all").alias("lines"))
-    lines = lines.filter(F.length(trimmed(F.col("line"))) > 0)
-    inside = F.col("no") < F.col("lines") - 1
-    # of a line that ends whole the first sentence is enough: an open end that holds no sentence end can only begin that
-    first = F.regexp_replace("line", r"(?s)(?<=[\p{L}\p{N})\]”»][.!?])\s.*$|(?<=[。！？]).*$", "")
-    head = F.when(ends_sentence(trimmed(F.col("line"))), first).otherwise(F.col("line"))
-    # tags before the last of their line are complete as well
-    tags = F.when(F.col("line").rlike(r"^\s*#[\p{L}\p{N}_]+(\s+#[\p{L}\p{N}_]+)+\s*$"), F.slice(F.split(F.trim("line"), r"\s+"), F.lit(1), F.size(F.split(F.trim("line"), r"\s+")) - 1)).otherwise(F.array().cast("array<string>"))
-    seen = F.concat(F.array(F.struct(shape(head).alias("value"), inside.cast("int").alias("inside"), (~inside).cast("int").alias("last"))), F.transform(tags, lambda t: F.struct(t.alias("value"), F.lit(1).alias("inside"), F.lit(0).alias("last"))))
-    # a text counts once, however often it comes or has the shape
-    texts = lines.select("whole", F.explode(seen).alias("x")).select("whole", "x.*").groupBy("value", "whole").agg(F.max("inside").alias("inside"), F.max("last").alias("last"))
-    own = F.when((F.col("inside") == 1) & (F.col("last") == 1), F.col("whole"))
-    return texts.groupBy("value").agg(F.sum("inside").alias("inside"), F.sum("last").alias("last"), F.min(own).alias("own_low"), F.max(own).alias("own_high"))
+    """What the end of each document's text looks like: what it shows itself (reason), whether it is open, its last word's
+    kind and the hashes of what stands before it."""
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("whole"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon()
+        for batch in batches:
+            keep, chars, octets, reasons, opens, numbers, lasts = [], [], [], [], [], [], []
+            for i, cell in enumerate(batch.column(2)):
+                text = cell.as_py()
+                body = text.rstrip(BLANKS) if text else ""
+                if not body:
+                    continue
+                end = body[-80:]
+                last = body[body.rfind("\n") + 1 :].strip(BLANKS)
+                reason = "mark" if _MARKED.search(end) else "broken sign" if body[-1] == "�" else "open fence" if "```" in body and len(_FENCE.findall(body)) % 2 else None
+                sentence = bool(_SENTENCE.search(end))
+                keep.append(i)
+                chars.append(len(text))
+                octets.append(len(text.encode("utf-8", "surrogatepass")))
+                reasons.append(reason)
+                # an even fence closes its code
+                opens.append(reason is None and not sentence and not last.startswith("```"))
+                numbers.append(reason is None and bool(_NUMBER.search(end)))
+                lasts.append(last if opens[-1] else "")
+            numbers_of, starts, of, end = _streams(lasts, lexicon)
+            hashes = contexts(np.array(lexicon.hashes, np.uint64)[numbers_of], starts) if len(numbers_of) else np.zeros((len(WINDOWS) + 1, 0), np.uint64)
+            words: list = [None] * len(keep)
+            before: list = [None] * len(keep)
+            for at in np.flatnonzero(end == 2).tolist():
+                words[of[at]] = lexicon.texts[numbers_of[at]]
+                before[of[at]] = hashes[:, at].view(np.int64).tolist()
+            place = pa.array(keep, pa.int64())
+            doc, source, whole = (batch.column(k).take(place) for k in (0, 1, 3))
+            yield pa.RecordBatch.from_arrays(
+                [doc, source, whole, pa.array(chars, pa.int64()), pa.array(octets, pa.int64()), pa.array(reasons, pa.string()), pa.array(opens, pa.bool_()), pa.array(numbers, pa.bool_()), pa.array(words, pa.string()), pa.array(before, pa.list_(pa.int64()))],
+                names=["doc", "source", "whole", "chars", "bytes", "reason", "open", "number", "word", "contexts"],
+            )
+            if len(lexicon) > 300_000:
+                lexicon.reset()
+
+    return rows.mapInArrow(run, ENDS)
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """One bit for each of the `BITS` values that a key's hash may have: a sketch of fixed size."""
+    bit = F.pmod(F.col("context"), F.lit(BITS))
+    words = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(context, {BITS}) & 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(BITS // 64, np.uint64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def window_counts(documents: DataFrame, text_col: str, keys: DataFrame) -> DataFrame:
+    """context, word, on, ending, inside, low, high of the windows whose context is in `keys`: in how many distinct texts the
+    window goes on, ends a line, ends a line before the last; least and greatest hash of the texts in which it goes on or ends inside."""
+    bits = documents.sparkSession.sparkContext.broadcast(_bitmap(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                numbers, starts, of, end = _streams([t.rstrip(BLANKS) for t in part.column(0).to_pylist()], lexicon)
+                if not len(numbers):
+                    continue
+                before = contexts(np.array(lexicon.hashes, np.uint64)[numbers], starts)
+                # the whole line counts where it ends
+                before[-1][end == 0] = 0
+                bit = before % np.uint64(BITS)
+                hit = ((bits.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool) & (before != 0)
+                row, at = np.nonzero(hit)
+                # a text counts once for a window, with all the ways it ends there
+                found = np.stack([before[row, at].view(np.int64), numbers[at], of[at]])
+                order = np.lexsort(found)
+                found = found[:, order]
+                ways = (1 << end[at].astype(np.int64))[order]
+                fresh = np.flatnonzero(np.append(True, (found[:, 1:] != found[:, :-1]).any(axis=0))) if len(order) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[0][fresh]), pa.array(lexicon.texts, pa.string()).take(pa.array(found[1][fresh])), part.column(1).take(pa.array(found[2][fresh])), pa.array((np.bitwise_or.reduceat(ways, fresh) if len(fresh) else fresh).astype(np.int64))],
+                    names=["context", "word", "whole", "ways"],
+                )
+                if len(lexicon) > 300_000:
+                    lexicon.reset()
+
+    texts = documents.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("whole"))
+    seen = texts.mapInArrow(run, "context bigint, word string, whole bigint, ways bigint")
+    once = seen.groupBy("context", "word", "whole").agg(F.bit_or("ways").alias("ways"))
+    other = F.when(F.expr("ways & 3") != 0, F.col("whole"))
+    return once.groupBy("context", "word").agg(
+        F.sum(F.expr("ways & 1")).alias("on"), F.sum(F.expr("int(ways > 1)")).alias("ending"), F.sum(F.expr("(ways >> 1) & 1")).alias("inside"), F.min(other).alias("low"), F.max(other).alias("high")
+    )
 
 
 def cut_off(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """doc, source, reason of each document whose text was cut."""
     found = staged(ends(documents, id_col, text_col, source_col), "ends")
-    shapes = staged(line_shapes(documents, text_col), "line-shapes")
-    begins = strict_prefixes(shapes, "value").select("value", F.lit(True).alias("begins")).distinct()
-    open_ends = found.filter("NOT sentence AND NOT marked AND NOT open_fence AND NOT broken").withColumn("value", shape(F.col("last")))
-    wanted = open_ends.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    kinds = wanted.join(shapes, "value", "left").join(begins, "value", "left")
-    kinds = kinds.select("value", "n", F.coalesce("inside", F.lit(0)).alias("inside"), (F.coalesce("last", F.lit(0)) - 1).alias("others"), F.col("begins").isNull().alias("ends"), "own_low", "own_high")
-    kinds = staged(kinds, "line-kinds")
-    # what comes unaltered in more than two documents is no chance copy of a cut text
-    repeats = open_ends.groupBy("whole").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > MIN_COMPLETE)
-    longer = copies_continue(documents, text_col).groupBy(F.col("value").alias("text")).agg(F.max((~F.col("follower").isin("\n", "\r")).cast("int")).alias("goes_on"))
-    # a sentence inside the line before its open end leaves no doubt
-    judged = join_dictionary(open_ends, kinds, ["value"], "n").join(repeats, "whole", "left")
-    # a text is no evidence for itself; where MIN_COMPLETE texts have the shape inside, the two hashes name all that could be it
-    own = F.coalesce((F.col("whole") == F.col("own_low")) | (F.col("whole") == F.col("own_high")), F.lit(False))
-    complete = (F.col("inside") - own.cast("int") >= MIN_COMPLETE) | (((F.col("others") >= MIN_COMPLETE) | F.col("copies").isNotNull()) & F.col("ends"))
-    # an even fence closes its code
-    complete = complete | F.col("last").rlike(r"^\s*```$")
-    judged = judged.join(longer, "text", "left")
-    in_prose = F.col("last").rlike(r"\p{L}[.!?]\s+\P{Lu}*\p{Lu}|[。！？]\s*\S")
-    reason = F.when(~complete, "open end").when(in_prose & ~F.col("last").rlike(r"^\s*[-*•—–#|]"), "inside a sentence").when(F.col("goes_on") == 1, "longer copy")
-    judged = staged(judged.select("doc", "source", "chars", "bytes", reason.alias("reason")), "judged-ends")
-    # a source's limit is its greatest size, where a text of that size was cut beyond doubt; then other
-    # texts of that size that end openly, or in a number that looks like the end of a sentence, were cut too
-    sizes = found.groupBy("source").agg(F.max("chars").alias("top_chars"), F.max("bytes").alias("top_bytes"))
-    sure = judged.filter("reason IS NOT NULL").groupBy("source").agg(F.max("chars").alias("cut_chars"), F.max("bytes").alias("cut_bytes"))
-    limits = sizes.join(sure, "source").select("source", F.when(F.col("top_chars") == F.col("cut_chars"), F.col("top_chars")).alias("limit_chars"), F.when(F.col("top_bytes") == F.col("cut_bytes"), F.col("top_bytes")).alias("limit_bytes"))
-    numbers = found.filter(F.col("sentence") & ~F.col("marked") & ~F.col("open_fence") & F.col("last").rlike(r"(?:^|[\s(])\d+\.(?:\d+\.)?$"))
-    doubtful = judged.filter("reason IS NULL").select("doc", "source", "chars", "bytes", F.lit("at the limit").alias("reason")).unionByName(numbers.select("doc", "source", "chars", "bytes", F.lit("inside a number").alias("reason")))
-    at_limit = doubtful.join(limits, "source").filter((F.col("chars") == F.col("limit_chars")) | (F.col("bytes") == F.col("limit_bytes")))
-    others = found.filter("marked OR open_fence OR broken").select("doc", "source", F.when(F.col("marked"), "mark").when(F.col("broken"), "broken sign").otherwise("open fence").alias("reason"))
-    return judged.filter("reason IS NOT NULL").select("doc", "source", "reason").unionByName(others).unionByName(at_limit.select("doc", "source", "reason"))
+    opened = found.filter("open AND word IS NOT NULL")
+    tails = opened.select("doc", "whole", "word", F.posexplode("contexts").alias("level", "context")).filter("context <> 0")
+    counts = staged(window_counts(documents, text_col, tails.select("context")), "windows")
+    # last words sorted below what stands before them: the strict prefixes of other words
+    spelled = counts.select(F.concat(F.lpad(F.hex("context"), 16, "0"), "word").alias("value"))
+    begins = strict_prefixes(spelled, "value").select(F.conv(F.substring("value", 1, 16), 16, -10).cast("bigint").alias("context"), F.expr("substring(value, 17)").alias("word")).distinct().withColumn("begins", F.lit(True))
+    known = staged(counts.join(begins, ["context", "word"], "left"), "window-kinds")
+    own = F.coalesce((F.col("whole") == F.col("low")) | (F.col("whole") == F.col("high")), F.lit(False)).cast("int")
+    # a text is no evidence for itself
+    weighed = tails.join(known, ["context", "word"]).select(
+        "doc", "level", F.greatest(F.col("on") - own, F.lit(0)).alias("on"), (F.col("ending") - 1).alias("ending"), (F.col("inside") - own).alias("inside"), F.coalesce("begins", F.lit(False)).alias("begins")
+    )
+    goes_on = (F.col("on") > 0) | F.col("begins")
+    line = F.lit(len(WINDOWS))
+    verdicts = weighed.groupBy("doc").agg(
+        # the longest window that any other text holds decides
+        F.min(F.when((F.col("level") < line) & (goes_on | (F.col("ending") > 0)), F.struct("level", "on", "ending", "begins"))).alias("best"),
+        F.max(F.when(F.col("level") == line, F.struct("inside", "ending"))).alias("line"),
+    )
+    best_on = (F.col("best.on") > 0) | F.col("best.begins")
+    whole_line = (F.coalesce("line.inside", F.lit(0)) >= MIN_COMPLETE) | ((F.coalesce("line.ending", F.lit(0)) >= MIN_COMPLETE) & ~best_on)
+    few = (F.col("best.ending") < MIN_COMPLETE) | (F.col("best.ending") * COMPLETE_SHARE < F.col("best.on"))
+    # true: cut; false: complete; null: nothing like it elsewhere
+    cut = F.when(F.col("best").isNull(), F.lit(None)).when(whole_line, False).when(best_on, few).when(F.col("best.ending") >= MIN_COMPLETE, False)
+    verdicts = verdicts.select("doc", cut.alias("cut"))
+    longer = copies_continue(documents, text_col).filter("goes_on = 1")
+    judged = found.join(verdicts, "doc", "left").join(longer, "whole", "left")
+    reason = F.coalesce("reason", F.when(F.col("open") & F.col("goes_on").isNotNull(), "longer copy").when(F.col("cut"), "prefix"))
+    judged = staged(judged.select("doc", "source", "chars", "bytes", reason.alias("reason"), (F.col("open") & F.col("cut").isNull()).alias("unlike"), "number"), "judged-ends")
+    # a source's limit is its greatest size, where a text of that size was cut by a prefix; then other texts of
+    # that size that end openly and like nothing else, or in a number that looks like a sentence's end, were cut too
+    sizes = judged.groupBy("source").agg(F.max("chars").alias("top_chars"), F.max("bytes").alias("top_bytes"), *[F.max(F.when(F.col("reason").isin("longer copy", "prefix"), F.col(c))).alias(f"cut_{c}") for c in ("chars", "bytes")])
+    limits = sizes.select(F.col("source").alias("of"), F.when(F.col("top_chars") == F.col("cut_chars"), F.col("top_chars")).alias("limit_chars"), F.when(F.col("top_bytes") == F.col("cut_bytes"), F.col("top_bytes")).alias("limit_bytes"))
+    doubtful = judged.filter("reason IS NULL AND (unlike OR number)")
+    at_limit = doubtful.join(limits, F.col("source").eqNullSafe(F.col("of"))).filter((F.col("chars") == F.col("limit_chars")) | (F.col("bytes") == F.col("limit_bytes")))
+    return judged.filter("reason IS NOT NULL").select("doc", "source", "reason").unionByName(at_limit.select("doc", "source", F.when(F.col("number"), "inside a number").otherwise("at the limit").alias("reason")))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
 from marlspike.llm import mainbody, truncation
 
 # 7
@@ -26,10 +30,70 @@ def test_chunks_of_a_host_change_nothing(spark, monkeypatch):
 def test_a_cut_text_is_no_evidence_for_itself(spark):
     rows = [(i, "a", f"The review desk counted {i} pages.\n- the audit trail\nIt was sent in round {i}.") for i in range(5)]
     whole = [(10, "a", "All is set.\n- the audit trail")]
-    # twice under another id, and once with the line inside as well
-    cut = [(20, "a", "It was read.\nThe desk separates a list of"), (21, "b", "It was read.\nThe desk separates a list of"), (22, "a", "A note.\nseen by the\nseen by the\nand so on.\nseen by the")]
-    # one other text with the same open end is not enough, two are
+    # what goes on elsewhere was cut, also if it comes twice under another id, or if one other text ends in the same way
+    rows += [(15, "b", "A desk separates a list of nine ports.\nIt is read again in the morning.")]
+    cut = [(20, "a", "It was read.\nThe desk separates a list of"), (21, "b", "It was read.\nThe desk separates a list of")]
     cut += [(30 + i, "a", f"Round {'one two'.split()[i]} ended.\nread again in the") for i in range(2)]
+    # what nothing else goes on from is no case, however often it comes
+    whole += [(22, "a", "A note.\nseen by the\nseen by the\nand so on.\nseen by the")]
     whole += [(40 + i, "a", f"Round {'one two three'.split()[i]} ended.\nkept on shelf") for i in range(3)]
     df = spark.createDataFrame(rows + whole + cut, "doc bigint, source string, text string")
     assert {r.doc for r in truncation.cut_off(df, "doc", "text", "source").collect()} == {d for d, *_ in cut}
+
+
+def test_complete_texts_unlike_any_other(spark):
+    ends = ["— Ann Other, editor", "Opening hours and fees", "Phone: +49 30 5550 17", "#harbour #survey", "- two spare lamps"]
+    whole = [(i, "a", f"The desk counted {i} pages.\n{e}") for i, e in enumerate(ends)]
+    rows = [(10 + i, "a", f"A reader found line {i} twice.") for i in range(5)]
+    df = spark.createDataFrame(whole + rows, "doc bigint, source string, text string")
+    assert truncation.cut_off(df, "doc", "text", "source").count() == 0
+
+
+def test_prefixes_of_every_length(spark):
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("ab \n") for _ in range(draw.choice([1, 2, 3, 5, 9, 17, 40, 63, 64, 65, 130]))) for _ in range(300)]
+    texts += [t[: draw.randrange(1, len(t) + 1)] for t in texts for _ in range(2)] + ["The desk counted", "The desk counted ten pages.", "head\nmore", "head", "head of it", None, "", " "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string").repartition(5)
+    ids = {r.h: r.text for r in df.selectExpr("xxhash64(text) AS h", "text").collect()}
+    got = {ids[r.whole]: r.goes_on for r in truncation.copies_continue(df, "text").collect()}
+    solid = {t for t in texts if t and t.rstrip(truncation.BLANKS)}
+    wanted = {t: int(any(u[len(t)] not in "\n\r" for u in solid if u.startswith(t) and u != t)) for t in solid if any(u.startswith(t) and u != t for u in solid)}
+    assert got == wanted and got["The desk counted"] == 1 and got["head"] == 1
+
+
+def test_windows_against_brute_force(spark):
+    draw = random.Random(9)
+    texts = ["\n".join(" ".join(draw.choice(["red", "re", "sea", "Ann", "7", "of", "中文"]) for _ in range(draw.randrange(1, 9))) for _ in range(draw.randrange(1, 4))) for _ in range(120)]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts + texts[:5])], "doc bigint, source string, text string").repartition(3)
+    found = truncation.ends(df, "doc", "text", "source")
+    keys = found.filter("open").select("doc", "word", F.posexplode("contexts").alias("level", "context")).filter("context <> 0")
+    got = {(r.doc, r.level): (r.on, r.ending, r.inside) for r in keys.join(truncation.window_counts(df, "text", keys.select("context")), ["context", "word"]).collect()}
+
+    def streams(text):
+        for line in text.split("\n"):
+            yield ["^", *map(truncation.kind, truncation.words_of(line))]
+
+    distinct, wanted = set(texts), {}
+    for doc, text in enumerate(texts + texts[:5]):
+        tail = list(streams(text))[-1]
+        for level, width in enumerate([*truncation.WINDOWS, len(tail)]):
+            if width > len(tail):
+                continue
+            on = ending = inside = 0
+            for other in distinct:
+                ways = set()
+                lines = list(streams(other))
+                for no, words in enumerate(lines):
+                    for i in range(len(words) - width + 1):
+                        if words[i : i + width] == tail[-width:] and (level < len(truncation.WINDOWS) or (i == 0 and width == len(words))):
+                            ways.add("on" if i + width < len(words) else "last" if no == len(lines) - 1 else "inside")
+                on, ending, inside = on + ("on" in ways), ending + bool(ways & {"last", "inside"}), inside + ("inside" in ways)
+            wanted[doc, level] = (on, ending, inside)
+    assert got == wanted
+
+
+def test_a_limit_of_the_null_source(spark):
+    rows = [(i, None, f"Page {i} of the report was counted.") for i in range(4)] + [(8, None, "A clerk sends the whole list of ports to the harbour.")]
+    cut = [(10, None, "Nothing was lost. A clerk sends the whole l"), (11, None, "It came too late. Zwei Tage danach brachten")]
+    df = spark.createDataFrame([(d, s, t) for d, s, t in rows[:4]] + [(8, "x", rows[4][2])] + cut, "doc bigint, source string, text string")
+    assert {r.doc: r.reason for r in truncation.cut_off(df, "doc", "text", "source").collect()} == {10: "prefix", 11: "at the limit"}
