@@ -37,22 +37,41 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def find(text: bytes, order: np.ndarray, pattern: bytes) -> int:
-    """The start of an occurrence of `pattern` in `text`, or -1, by binary search of the suffix array."""
-    size = len(pattern)
-    low, high = 0, len(order)
-    while low < high:
-        middle = (low + high) // 2
-        at = int(order[middle])
-        if text[at : at + size] < pattern:
-            low = middle + 1
-        else:
-            high = middle
-    if low < len(order):
-        at = int(order[low])
-        if text[at : at + size] == pattern:
-            return at
-    return -1
+def _shared(text: np.ndarray, at: np.ndarray, patterns: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many bytes text[at:] and patterns[start:end] share at their begin, for each row."""
+    out = np.zeros(len(at), np.int64)
+    limit = np.minimum(ends - starts, len(text) - at)
+    open_rows = np.flatnonzero(limit > 0)
+    step = np.arange(32)
+    while len(open_rows):
+        done = out[open_rows]
+        left = (limit[open_rows] - done)[:, None]
+        a = text[np.minimum(at[open_rows, None] + done[:, None] + step, len(text) - 1)]
+        b = patterns[np.minimum(starts[open_rows, None] + done[:, None] + step, len(patterns) - 1)]
+        same = (a == b) & (step < left)
+        run = np.where(same.all(axis=1), 32, same.argmin(axis=1))
+        out[open_rows] = done + run
+        open_rows = open_rows[(run == 32) & (out[open_rows] < limit[open_rows])]
+    return out
+
+
+def longest_matches(text: np.ndarray, order: np.ndarray, patterns: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of all patterns[start:end] at once in the suffix array `order` of `text`: (places, lengths), each with
+    two rows, of the suffix at or after the pattern's place and of the one before it; one of the two is its longest match."""
+    low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(order), np.int64)
+    while (open_rows := np.flatnonzero(low < high)).size:
+        middle = (low[open_rows] + high[open_rows]) // 2
+        at, s, e = order[middle].astype(np.int64), starts[open_rows], ends[open_rows]
+        size = _shared(text, at, patterns, s, e)
+        whole = size >= e - s
+        stops = at + size >= len(text)
+        # the suffix is less if it ends first, or by the first byte that differs
+        less = ~whole & (stops | (text[np.minimum(at + size, len(text) - 1)] < patterns[np.minimum(s + size, len(patterns) - 1)]))
+        low[open_rows[less]] = middle[less] + 1
+        high[open_rows[~less]] = middle[~less]
+    places = np.stack([order[np.minimum(low, len(order) - 1)], order[np.maximum(low - 1, 0)]]).astype(np.int64)
+    lengths = np.stack([_shared(text, places[0], patterns, starts, ends), _shared(text, places[1], patterns, starts, ends)])
+    return places, lengths
 
 
 def common_prefixes(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:

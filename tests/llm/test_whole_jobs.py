@@ -4,9 +4,71 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from marlspike.llm import mainbody, truncation
+import pytest
+
+from marlspike.llm import batches, mainbody, truncation
+from marlspike.session import scratch
+
+# 6
+
+
+def _batch(spark, *rows):
+    return batches.keyed(spark.createDataFrame([(1, seq, url, url) for seq, url in rows], "batch_no int, seq bigint, id string, url string"))
+
+
+def test_an_index_is_opened_again(spark):
+    folder = scratch(spark, "reopened")
+    first = batches.BatchIndex(spark, folder, keys_per_shard=10)
+    first.accept(_batch(spark, *[(i, f"https://a.test/paper/{i * i}") for i in range(1, 60)]))
+    # of the same session or a later one: only the folder is handed on
+    second = batches.BatchIndex(spark, folder, keys_per_shard=10)
+    got = {r.key: r.first_seq for r in second.accept(_batch(spark, (100, "http://www.a.test/paper/49/"), (101, "https://a.test/other"), (102, "https://a.test/other?utm_x=1"))).collect()}
+    assert got == {"a.test\tpaper/49\t": 7, "a.test\tother\t": 101}
+    third = batches.BatchIndex(spark, folder, keys_per_shard=10)
+    assert [r.first_seq for r in third.accept(_batch(spark, (200, "https://a.test/other#x"))).collect()] == [101]
+    name = third.segments[0][0]
+    files, _ = third._files()
+    files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
+    with pytest.raises(FileNotFoundError):
+        batches.BatchIndex(spark, folder)
+
+
+def test_near_duplicates_by_coverage(spark):
+    index = batches.BatchIndex(spark, scratch(spark, "near"), keys_per_shard=10)
+    index.accept(_batch(spark, *[(i, f"https://a.test/notices/of/the/harbour/office/2024/{i:03}-tariff-{i * 7919 % 1000}") for i in range(40)], (90, "https://b.test/x")))
+    got = {r.key.split("\t")[1][-9:]: (r.near, round(r.coverage, 2)) for r in index.accept(_batch(spark, (100, "https://a.test/notices/of/the/harbour/office/2024/007-tariff-433/print"), (101, "https://a.test/notices/of/the/harbour/office/2024/009-tariff-271.html"), (102, "https://a.test/quite/another"), (103, "https://b.test/y"))).collect()}
+    assert got["433/print"][0] == 7 and got["-271.html"][0] == 9 and got["433/print"][1] >= 0.8
+    assert got["e/another"][0] is None and got["y"] == (None, 0.0)
+
+
+def test_coverage_against_brute_force():
+    draw = random.Random(12)
+    keys = ["".join(draw.choice("ab") for _ in range(draw.randrange(1, 60))) for _ in range(40)]
+    segment = batches.Segment.of([k.encode() for k in sorted(set(keys))], list(range(len(set(keys)))))
+    new = [k[:20] + "c" + k[21:] for k in keys if len(k) > 30]
+    text = b"".join(b"\n" + k.encode() + b"\n" for k in new)
+    symbols = np.frombuffer(text, np.uint8)
+    begins, ends, owner, at = [], [], [], 0
+    for i, k in enumerate(new):
+        size = len(k) + 2
+        for b in range(max(0, size - batches.LEAST_MATCH + 1)):
+            begins.append(at + b)
+            ends.append(at + size)
+            owner.append(i)
+        at += size
+    got = dict(((int(w), int(r)), int(n)) for w, r, n in zip(*segment.covered(symbols, np.array(owner), np.array(begins), np.array(ends))))
+    whole = segment.text
+    for i in range(len(new)):
+        pattern = ("\n" + new[i] + "\n").encode()
+        longest = [max(n for n in range(len(pattern) - b + 1) if pattern[b : b + n] in whole) for b in range(len(pattern))]
+        if max(longest) >= batches.LEAST_MATCH:
+            assert max(n for (w, _), n in got.items() if w == i) >= max(longest)
+        else:
+            assert not any(w == i for w, _ in got)
+
 
 # 7
 
