@@ -274,10 +274,23 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return bits
 
 
+def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes % np.uint64(BITS)
+    return ((bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _repeated(documents: DataFrame, text_col: str) -> DataFrame:
+    """context (hash) of the texts that come more than once."""
+    return documents.filter(F.col(text_col).isNotNull()).groupBy(F.xxhash64(text_col).alias("context")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("context")
+
+
 def window_counts(documents: DataFrame, text_col: str, keys: DataFrame) -> DataFrame:
     """context, word, on, ending, inside, low, high of the windows whose context is in `keys`: in how many distinct texts the
     window goes on, ends a line, ends a line before the last; least and greatest hash of the texts in which it goes on or ends inside."""
-    bits = documents.sparkSession.sparkContext.broadcast(_bitmap(keys))
+    context = documents.sparkSession.sparkContext
+    bits = context.broadcast(_bitmap(keys))
+    # texts that may come again are told apart until they are counted, once each; all others are added up where they are read
+    again = context.broadcast(_bitmap(_repeated(documents, text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon()
@@ -290,8 +303,7 @@ def window_counts(documents: DataFrame, text_col: str, keys: DataFrame) -> DataF
                 before = contexts(np.array(lexicon.hashes, np.uint64)[numbers], starts)
                 # the whole line counts where it ends
                 before[-1][end == 0] = 0
-                bit = before % np.uint64(BITS)
-                hit = ((bits.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool) & (before != 0)
+                hit = _marked(bits.value, before) & (before != 0)
                 row, at = np.nonzero(hit)
                 # a text counts once for a window, with all the ways it ends there
                 found = np.stack([before[row, at].view(np.int64), numbers[at], of[at]])
@@ -299,20 +311,23 @@ def window_counts(documents: DataFrame, text_col: str, keys: DataFrame) -> DataF
                 found = found[:, order]
                 ways = (1 << end[at].astype(np.int64))[order]
                 fresh = np.flatnonzero(np.append(True, (found[:, 1:] != found[:, :-1]).any(axis=0))) if len(order) else np.zeros(0, np.int64)
+                wholes = part.column(1).to_numpy()
+                repeats = pa.array(wholes, mask=~_marked(again.value, wholes.view(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[0][fresh]), pa.array(lexicon.texts, pa.string()).take(pa.array(found[1][fresh])), part.column(1).take(pa.array(found[2][fresh])), pa.array((np.bitwise_or.reduceat(ways, fresh) if len(fresh) else fresh).astype(np.int64))],
-                    names=["context", "word", "whole", "ways"],
+                    [pa.array(found[0][fresh]), pa.array(lexicon.texts, pa.string()).take(pa.array(found[1][fresh])), part.column(1).take(pa.array(found[2][fresh])), repeats.take(pa.array(found[2][fresh])), pa.array((np.bitwise_or.reduceat(ways, fresh) if len(fresh) else fresh).astype(np.int64))],
+                    names=["context", "word", "whole", "again", "ways"],
                 )
                 if len(lexicon) > 300_000:
                     lexicon.reset()
 
     texts = documents.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("whole"))
-    seen = texts.mapInArrow(run, "context bigint, word string, whole bigint, ways bigint")
-    once = seen.groupBy("context", "word", "whole").agg(F.bit_or("ways").alias("ways"))
+    seen = texts.mapInArrow(run, "context bigint, word string, whole bigint, again bigint, ways bigint")
     other = F.when(F.expr("ways & 3") != 0, F.col("whole"))
-    return once.groupBy("context", "word").agg(
-        F.sum(F.expr("ways & 1")).alias("on"), F.sum(F.expr("int(ways > 1)")).alias("ending"), F.sum(F.expr("(ways >> 1) & 1")).alias("inside"), F.min(other).alias("low"), F.max(other).alias("high")
-    )
+    ways = {"on": "ways & 1", "ending": "int(ways > 1)", "inside": "(ways >> 1) & 1"}
+    edges = [F.min(other).alias("low"), F.max(other).alias("high")]
+    once = seen.groupBy("context", "word", "again").agg(*[F.sum(F.expr(e)).alias(n) for n, e in ways.items()], *edges)
+    counted = [F.sum(F.when(F.col("again").isNull(), F.col(n)).otherwise((F.col(n) > 0).cast("int"))).alias(n) for n in ways]
+    return once.groupBy("context", "word").agg(*counted, F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def cut_off(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
