@@ -1,13 +1,15 @@
 """Main body of web pages, without the furniture around and inside it (problem 7).
 
-Method: the pages of a host are concatenated as a stream of line tokens and a suffix array over it finds
-the runs that recur in distinct pages; their lines, with the share of the host's pages that hold them,
-are furniture. Hosts are split into chunks of at most `PAGES_PER_CHUNK` pages, so no host, however
-large, is one task; supports are summed over a host's chunks. What recurs on one host teaches what
-furniture reads like: a logistic model over words and line ends is fitted on these lines, on
-the containers of marked-up pages (header, footer, aside, nav against article, main) and on lines that
-never recur. The model decides lines that a host shows too rarely (bylines, teasers, counters), and
-keeps headings and list items that recur by chance.
+Method: the pages of a host are concatenated as a stream of line tokens. A suffix array over it and its common prefixes
+give every line and every run of lines that recurs in distinct pages, with its words and the share of the host's pages that
+hold it. A run of several lines that is long enough for its share, and a single line of a share that is high enough, is
+boilerplate; the lines that it covers go. Hosts are split into chunks of at most `PAGES_PER_CHUNK` pages, so no host,
+however large, is one task; the runs of a host of more than one chunk are counted in all its chunks before any threshold.
+
+That leaves what a host shows on few pages (bylines, teasers, counters), so there is a second stage: a logistic model over
+words and line ends, fitted on covered lines, on the containers of marked-up pages (header, footer, aside, nav
+against article, main) and on lines that do not recur. It decides the lines that no run covers, and keeps headings
+and list items that recur by chance.
 
 Defined cases: null and empty contents have no lines; lines without visible text count neither way; a
 line equal to the page's title is its headline; a null url or domain is a host of its own.
@@ -35,6 +37,11 @@ PAGES_PER_CHUNK = 4000
 MIN_PAGES = 3
 #: Share of a host's pages from which a recurring line speaks for furniture, and from which it also teaches.
 MIN_SHARE, TEACHING_SHARE = 0.07, 0.15
+#: A run of several lines covers them from so many words on, and from this product of its words and the share of pages
+#: that hold it: the longer a run, the fewer pages prove it.
+LEAST_WORDS, RUN_WEIGHT = 6, 0.12
+#: and from this share of the pages, whatever its length; more than one page in half a chunk.
+RUN_SHARE = 0.001
 BUCKETS = 1 << 17
 #: Upper bound of the examples of each label that the model is fitted on, and passes over them.
 TRAINING_LINES = 15_000
@@ -49,7 +56,7 @@ _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W\d_]+|[一-鿿]|\d+|[^\w\s]")
 _LEAD = re.compile(r"\s*(?:(\d{1,4})[.)]\s|([^\d\W][^:：.|]{0,30}?)\s*[:：])")
 _FURNITURE, _BODY = ("header", "footer", "aside", "nav"), ("article", "main")
-LINES = "tbl string, rec bigint, no bigint, page bigint, host string, key bigint, label int, headline boolean, sentence boolean, text string"
+LINES = "tbl string, rec bigint, no bigint, page bigint, host string, key bigint, exact bigint, label int, headline boolean, sentence boolean, words int, text string"
 
 
 def _key(text: str) -> int:
@@ -91,72 +98,200 @@ def lines_of(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, numbers, keys, labels, heads, sentences, texts = [], [], [], [], [], [], []
+            of, numbers, keys, exacts, labels, heads, sentences, sizes, texts = [], [], [], [], [], [], [], [], []
             rows = {c: batch.column(c).to_pylist() for c in ("tbl", "rec", "title", "content", "markup")}
-            pages_of = [hash_text(f"{t}{r}") for t, r in zip(rows["tbl"], rows["rec"])]
+            # copies of a page count once
+            pages_of = [hash_text(c) for c in rows["content"]]
             for i, (title, content, markup) in enumerate(zip(rows["title"], rows["content"], rows["markup"])):
                 head = _key(title) if title and title.strip() else None
                 for no, text, label in page_lines(content, markup):
-                    key = _key(text)
+                    plain = "".join(text.lower().split())
+                    masked = _DIGITS.sub("0", plain)
+                    key = hash_text(masked)
+                    exacts.append(key if masked == plain else hash_text(plain))
                     of.append(i)
                     numbers.append(no)
                     keys.append(key)
                     labels.append(label)
                     heads.append(key == head)
                     sentences.append(len(text) > 30 and text.rstrip("\"”’)")[-1:] in ".!?。！？")
+                    sizes.append(len(text.split()) if text.isascii() else len(_WORD.findall(text)))
                     texts.append(text)
             place = pa.array(of, pa.int64())
             taken = [batch.column(c).take(place) for c in ("tbl", "rec", "host")]
             yield pa.RecordBatch.from_arrays(
-                [taken[0], taken[1], pa.array(numbers, pa.int64()), pa.array(pages_of, pa.int64()).take(place), taken[2], pa.array(keys, pa.int64()), pa.array(labels, pa.int32()), pa.array(heads, pa.bool_()), pa.array(sentences, pa.bool_()), pa.array(texts, pa.string())],
-                names=["tbl", "rec", "no", "page", "host", "key", "label", "headline", "sentence", "text"],
+                [taken[0], taken[1], pa.array(numbers, pa.int64()), pa.array(pages_of, pa.int64()).take(place), taken[2], pa.array(keys, pa.int64()), pa.array(exacts, pa.int64()), pa.array(labels, pa.int32()), pa.array(heads, pa.bool_()), pa.array(sentences, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(texts, pa.string())],
+                names=["tbl", "rec", "no", "page", "host", "key", "exact", "label", "headline", "sentence", "words", "text"],
             )
 
     return pages.mapInArrow(run, LINES)
 
 
-def recurring_lines(page: np.ndarray, key: np.ndarray, least: int = MIN_PAGES) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, pages): the lines that are on at least `least` distinct pages, and on how many.
-    The rows are one stream, ordered by page and line."""
-    tokens, stream = np.unique(key, return_inverse=True)
-    number = np.unique(page, return_inverse=True)[1]
-    # a token of its own ends each page, so no run crosses pages
-    ends = np.flatnonzero(np.diff(number) != 0) + 1
-    symbols = np.insert(stream + 1, np.append(ends, len(stream)), 0)
-    owner = np.insert(number, np.append(ends, len(number)), -1)
-    stops = np.flatnonzero(symbols == 0)
-    symbols = symbols.astype(np.int64)
-    symbols[stops] = len(tokens) + 1 + np.arange(len(stops))
-    order = suffix_array(symbols)
-    lcp = common_prefixes(symbols, order)
-    # suffixes that share their first line lie together; a group's distinct pages are its support
-    group = np.cumsum(lcp < 1)
-    first = symbols[order]
-    line = first <= len(tokens)
-    pairs = np.unique(np.stack([group[line], owner[order[line]]]), axis=1)
-    groups, pages = np.unique(pairs[0], return_counts=True)
-    token_of = np.zeros(group[-1] + 1, np.int64)
-    token_of[group[line]] = first[line] - 1
-    many = pages >= least
-    return tokens[token_of[groups[many]]], pages[many]
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Stream:
+    """A chunk's pages as one stream of line tokens, each page ended by a token of its own, so that no run crosses pages."""
+
+    def __init__(self, page: np.ndarray, key: np.ndarray, words: np.ndarray):
+        """The rows are ordered by page and line."""
+        number = np.unique(page, return_inverse=True)[1]
+        stops = np.append(np.flatnonzero(np.diff(number) != 0) + 1, len(number))
+        self.tokens, symbols = np.unique(key, return_inverse=True)
+        self.place = np.arange(len(key)) + number  # of each row in the stream
+        size = len(key) + len(stops)
+        self.symbols = np.zeros(size, np.int64)
+        self.symbols[self.place] = symbols + 1
+        ends = stops + np.arange(len(stops))
+        self.symbols[ends] = len(self.tokens) + 1 + np.arange(len(stops))
+        self.owner = np.repeat(np.arange(len(stops)), np.diff(np.append(-1, ends)))
+        self.room = np.repeat(ends, np.diff(np.append(-1, ends))) - np.arange(size)  # lines to the page's end
+        self.words = np.zeros(size + 1, np.int64)
+        self.words[1:][self.place] = words
+        self.words = np.cumsum(self.words)
+        hashed = np.zeros(size + 1, np.uint64)
+        hashed[1:][self.place] = key.view(np.uint64) | np.uint64(1)
+        self.sums = np.cumsum(hashed * _powers(_BASE, size + 1))
+        self.back = _powers(_INVERSE, size + 1)
+
+    def hashes(self, at: np.ndarray, lines: np.ndarray | int) -> np.ndarray:
+        """A hash of the run of `lines` lines at each place, the same wherever the run stands."""
+        return ((self.sums[at + lines] - self.sums[at]) * self.back[at]).view(np.int64)
+
+    def repeated(self) -> list[tuple[int, int, int, int, int]]:
+        """(key or 0, hash, lines, words, distinct pages) of each line, and of each run of lines that no further line could
+        lengthen without loss of an occurrence, that is on two pages or more."""
+        order = suffix_array(self.symbols)
+        shared = common_prefixes(self.symbols, order)
+        owner = self.owner[order]
+        # the place in the order where the same page stood last: a page counts in an interval if that lies before it
+        by_page = np.lexsort((np.arange(len(owner)), owner))
+        before = np.full(len(owner), -1, np.int64)
+        again = owner[by_page[1:]] == owner[by_page[:-1]]
+        before[by_page[1:][again]] = by_page[:-1][again]
+        out, open_runs = [], []
+        for i, size in enumerate(np.append(shared[1:], 0).tolist()):
+            start = i
+            while open_runs and open_runs[-1][0] > size:
+                lines, start = open_runs.pop()
+                pages = int(np.count_nonzero(before[start : i + 1] < start))
+                if pages > 1:
+                    at = int(order[start])
+                    outer = max(size, open_runs[-1][0] if open_runs else 0)
+                    for n in {lines, 1} if outer == 0 else {lines}:
+                        out.append((int(self.tokens[self.symbols[at] - 1]) if n == 1 else 0, int(self.hashes(np.array([at]), n)[0]), n, int(self.words[at + n] - self.words[at]), pages))
+            if size and (not open_runs or open_runs[-1][0] < size):
+                open_runs.append((size, start))
+        return out
+
+    def found(self, runs: np.ndarray, lines: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(lines, places, hashes) of the occurrences of the given runs."""
+        for n in np.unique(lines):
+            at = np.flatnonzero(self.room >= n)
+            hashed = self.hashes(at, int(n))
+            hit = np.isin(hashed, runs[lines == n])
+            yield int(n), at[hit], hashed[hit]
+
+
+def _stream(rows: pd.DataFrame) -> tuple[pd.DataFrame, Stream]:
+    rows = rows.sort_values(["page", "no"], kind="stable")
+    return rows, Stream(rows["page"].to_numpy(), rows["exact"].to_numpy(), rows["words"].to_numpy())
+
+
+RUNS = "tbl string, host string, key bigint, run bigint, lines int, words int, pages bigint"
+_COLUMNS = ["tbl", "host", "key", "run", "lines", "words", "pages"]
+
+
+def _counts(*columns: np.ndarray) -> dict[tuple, int]:
+    """How many distinct rows there are for each value of all columns but the last."""
+    pairs = np.unique(np.stack(columns), axis=1)
+    values, n = np.unique(pairs[:-1], axis=1, return_counts=True)
+    return dict(zip(map(tuple, values.T.tolist()), n.tolist()))
 
 
 def _chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["page", "no"], kind="stable")
-    # every line: a host's chunks are summed before MIN_PAGES applies
-    keys, pages = recurring_lines(rows["page"].to_numpy(), rows["key"].to_numpy(), 1)
-    return pd.DataFrame({"tbl": key[0], "host": key[1], "key": keys, "pages": pages})
+    """The lines (numbers masked) and the runs of several lines (word for word) that are on two pages or more; of a host of
+    several chunks all lines, as their pages are added up."""
+    rows, stream = _stream(rows)
+    lines = _counts(rows["key"].to_numpy(), rows["page"].to_numpy())
+    least = 2 if rows["chunks"].iloc[0] == 1 else 1
+    found = [(key[0], key[1], k, 0, 1, 0, n) for (k,), n in lines.items() if n >= least]
+    found += [(key[0], key[1], 0, run, size, words, n) for _, run, size, words, n in stream.repeated() if size > 1]
+    return pd.DataFrame(found, columns=_COLUMNS)
+
+
+def _count(key: tuple, rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+    if not len(rows) or not len(runs):
+        return pd.DataFrame(columns=_COLUMNS)
+    _, stream = _stream(rows)
+    values = {c: runs[c].to_numpy() for c in _COLUMNS[2:6]}
+    counted = {}
+    for lines, at, hashed in stream.found(values["run"], values["lines"]):
+        if len(at):
+            counted |= {(run, lines): n for (run,), n in _counts(hashed, stream.owner[at]).items()}
+    on = [counted.get(x, 0) for x in zip(values["run"].tolist(), values["lines"].tolist())]
+    return pd.DataFrame({"tbl": [key[0]] * len(runs), "host": [key[1]] * len(runs), **values, "pages": on})
+
+
+def streams(lines: DataFrame) -> DataFrame:
+    """tbl, host, total (distinct pages of the host), chunk, chunks, page, no, key, exact, words: of copies of a page one;
+    only numbers, chunked by page, so no host is one task."""
+    keys = ["tbl", "host"]
+    pages = lines.groupBy(*keys, "page").agg(F.min("rec").alias("rec"))
+    sizes = pages.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    chosen = pages.join(sizes, keys)
+    chunks = F.ceil(F.col("total") / PAGES_PER_CHUNK).cast("int")
+    joined = lines.select(*keys, "page", "rec", "no", "key", "exact", "words").join(chosen, [*keys, "page", "rec"])
+    return joined.select(*keys, "total", F.pmod(F.xxhash64("page"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"), "page", "no", "key", "exact", "words")
+
+
+def runs_of(stream: DataFrame) -> DataFrame:
+    """tbl, host, key (0 for more than one line), run, lines, words, pages, total, share: lines and runs of lines with the pages of
+    the host that hold them. Of a host of several chunks the lines are added up, and each run that any chunk has twice is
+    counted in all of them; a run that no chunk has twice is on less than `RUN_SHARE` of the pages, too few for any length."""
+    keys = ["tbl", "host"]
+    found = staged(stream.groupBy(*keys, "chunk").applyInPandas(_chunk, RUNS), "runs")
+    hosts = stream.select(*keys, "total", "chunks").distinct()
+    placed = found.join(hosts, keys)
+    added = placed.filter("chunks = 1 OR lines = 1").select(*found.columns)
+    wanted = placed.filter("chunks > 1 AND lines > 1").select(*[F.col(c).alias(c) for c in (*keys, "key", "run", "lines", "words")], F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).distinct()
+    large = stream.filter("chunks > 1").groupBy(*keys, "chunk").cogroup(wanted.groupBy(*keys, "chunk")).applyInPandas(_count, RUNS)
+    summed = added.unionByName(large).groupBy(*keys, "key", "run", "lines", "words").agg(F.sum("pages").alias("pages"))
+    return summed.filter(F.col("pages") >= MIN_PAGES).join(hosts, keys).select(*keys, "key", "run", "lines", "words", "pages", "total", (F.col("pages") / F.col("total")).alias("share"))
 
 
 def supports(lines: DataFrame) -> DataFrame:
-    """tbl, host, key, share: the lines of each host and the share of its pages that hold them, null for those that do not recur."""
-    sizes = lines.select("tbl", "host", "rec").distinct().groupBy("tbl", "host").agg(F.count(F.lit(1)).alias("total"))
-    # only numbers are shuffled: a host's pages go to chunks by hash, so none is one task
-    chunk = F.pmod(F.xxhash64("rec"), F.ceil(F.col("total") / PAGES_PER_CHUNK)).cast("int")
-    stream = lines.select("tbl", "host", "rec", "page", "no", "key").join(sizes, ["tbl", "host"]).select("tbl", "host", chunk.alias("chunk"), "page", "no", "key")
-    runs = stream.groupBy("tbl", "host", "chunk").applyInPandas(_chunk, "tbl string, host string, key bigint, pages bigint")
-    summed = runs.groupBy("tbl", "host", "key").agg(F.sum("pages").alias("pages"))
-    return summed.join(sizes, ["tbl", "host"]).select("tbl", "host", "key", F.when(F.col("pages") >= MIN_PAGES, F.col("pages") / F.col("total")).alias("share"))
+    """tbl, host, key, share: the lines that recur on each host and the share of its pages that hold them."""
+    return runs_of(streams(lines)).filter("lines = 1").select("tbl", "host", "key", "share")
+
+
+def covered_lines(stream: DataFrame, runs: DataFrame) -> DataFrame:
+    """tbl, host, page, no of the lines that a run of several lines covers, long enough for the pages that hold it."""
+    keys = ["tbl", "host"]
+    enough = runs.filter((F.col("lines") > 1) & (F.col("share") >= RUN_SHARE) & (F.col("words") >= LEAST_WORDS) & (F.col("share") * F.col("words") >= RUN_WEIGHT))
+    placed = enough.join(stream.select(*keys, "chunk").distinct(), keys).select(*[F.col(c).alias(c) for c in (*keys, "chunk", "run", "lines")])
+
+    def cover(key: tuple, rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame(columns=["tbl", "host", "page", "no"])
+        if not len(rows) or not len(runs):
+            return none
+        rows, s = _stream(rows)
+        edge = np.zeros(len(s.symbols) + 1, np.int64)
+        for lines, at, _ in s.found(runs["run"].to_numpy(), runs["lines"].to_numpy()):
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + lines, -1)
+        hit = np.cumsum(edge)[s.place] > 0
+        n = int(hit.sum())
+        return pd.DataFrame({"tbl": [key[0]] * n, "host": [key[1]] * n, "page": rows["page"].to_numpy()[hit], "no": rows["no"].to_numpy()[hit]}) if n else none
+
+    return stream.groupBy(*keys, "chunk").cogroup(placed.groupBy(*keys, "chunk")).applyInPandas(cover, "tbl string, host string, page bigint, no bigint")
 
 
 def _words(text: str) -> list[str]:
@@ -238,20 +373,26 @@ def furniture(pages: DataFrame) -> DataFrame:
     # what containers of any host say of a recurring line: 1 furniture, 0 body
     contained = lines.filter("label >= 0").groupBy("key").agg(F.max("label").alias("high"), F.min("label").alias("low"), F.count(F.lit(1)).alias("times")).filter("high = low")
     contained = staged(contained.select("key", F.col("high").alias("verdict"), "times"), "line-verdicts")
-    shared = supports(lines).join(contained.drop("times"), "key", "left").filter("share IS NOT NULL OR verdict IS NOT NULL")
-    shared = staged(shared, "line-supports")
-    known = lines.join(shared, ["tbl", "host", "key"], "left")
-    taught = known.withColumn("label", F.when(F.col("headline"), 0).when(F.col("label") >= 0, F.col("label")).when(F.col("share") >= TEACHING_SHARE, 1).when(F.col("share").isNull() & F.col("sentence"), 0))
+    stream = staged(streams(lines), "line-streams")
+    runs = staged(runs_of(stream), "line-runs")
+    shared = staged(runs.filter("lines = 1").select("tbl", "host", "key", "share"), "line-supports")
+    covered = staged(covered_lines(stream, runs), "covered-lines")
+    # evidence is joined to numbers; the texts are joined once, with what there is
+    place = ["tbl", "host", "page", "no"]
+    facts = stream.select(*place, "key").join(shared, ["tbl", "host", "key"], "left").join(contained.drop("times"), "key", "left")
+    facts = facts.join(covered.withColumn("covered", F.lit(True)), place, "left").filter("share IS NOT NULL OR verdict IS NOT NULL OR covered")
+    known = lines.join(staged(facts.select(*place, "share", "verdict", "covered"), "line-facts"), place, "left")
+    taught = known.withColumn("label", F.when(F.col("headline"), 0).when(F.col("label") >= 0, F.col("label")).when(F.col("covered") | (F.col("share") >= TEACHING_SHARE), 1).when(F.col("share").isNull() & F.col("sentence"), 0))
     weights = fit(taught)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, short = Judge(weights), {}
         for batch in batches:
-            rows = {c: batch.column(c).to_pylist() for c in ("text", "label", "headline", "share", "verdict")}
+            rows = {c: batch.column(c).to_pylist() for c in ("text", "label", "headline", "share", "verdict", "covered")}
             keep, firm = [], []
             if len(short) > 100_000:
                 short.clear()
-            for i, (text, label, headline, share, verdict) in enumerate(zip(rows["text"], rows["label"], rows["headline"], rows["share"], rows["verdict"])):
+            for i, (text, label, headline, share, verdict, run) in enumerate(zip(rows["text"], rows["label"], rows["headline"], rows["share"], rows["verdict"], rows["covered"])):
                 if headline:
                     continue
                 if len(text) < 64:
@@ -260,19 +401,19 @@ def furniture(pages: DataFrame) -> DataFrame:
                         value = short[text] = tool.odds(text)
                 else:
                     value = tool.odds(text)
-                needed = NEEDED[2] if share is None or share < MIN_SHARE else NEEDED[1] if share < TEACHING_SHARE else NEEDED[0]
-                if label == 0 or (verdict == 0 and (share is None or share < TEACHING_SHARE)):
+                needed = NEEDED[0] if run or (share or 0) >= TEACHING_SHARE else NEEDED[1] if (share or 0) >= MIN_SHARE else NEEDED[2]
+                if label == 0 or (verdict == 0 and needed > NEEDED[0]):
                     needed = NEEDED[3]
                 elif verdict == 1:
                     needed = -NEEDED[3]
                 if value > needed:
                     keep.append(i)
-                    firm.append(label == 1 or verdict == 1 or (share is not None and share >= TEACHING_SHARE))
+                    firm.append(label == 1 or verdict == 1 or needed == NEEDED[0])
             place = pa.array(keep, pa.int64())
             columns = [batch.column(c).take(place) for c in ("tbl", "rec", "no", "key")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(firm, pa.bool_())], names=["tbl", "rec", "no", "key", "firm"])
 
-    judged = known.select("tbl", "rec", "no", "key", "text", "label", "headline", "share", "verdict").mapInArrow(judge, "tbl string, rec bigint, no bigint, key bigint, firm boolean")
+    judged = known.select("tbl", "rec", "no", "key", "text", "label", "headline", "share", "verdict", "covered").mapInArrow(judge, "tbl string, rec bigint, no bigint, key bigint, firm boolean")
     judged = staged(judged, "judged-lines")
     # a line that containers of other hosts hold as body, time and again, is none on the model's word alone
     body = contained.filter((F.col("verdict") == 0) & (F.col("times") >= MIN_PAGES)).select("key")

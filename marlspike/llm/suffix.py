@@ -75,23 +75,15 @@ def longest_matches(text: np.ndarray, order: np.ndarray, patterns: np.ndarray, s
 
 
 def common_prefixes(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """lcp[i]: symbols that the suffixes order[i-1] and order[i] share at their start (lcp[0] = 0), by Kasai's rule."""
+    """lcp[i]: symbols that the suffixes order[i-1] and order[i] share at their start (lcp[0] = 0); all pairs at once, symbol by symbol."""
     n = len(symbols)
     lcp = np.zeros(n, np.int64)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    values, starts, places = symbols.tolist(), order.tolist(), place.tolist()
-    shared = 0
-    for i in range(n):
-        p = places[i]
-        if p == 0:
-            shared = 0
-            continue
-        j = starts[p - 1]
-        limit = n - max(i, j)
-        while shared < limit and values[i + shared] == values[j + shared]:
-            shared += 1
-        lcp[p] = shared
-        if shared:
-            shared -= 1
+    rows = np.arange(1, n)
+    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
+    while len(rows):
+        inside = np.maximum(a, b) < n
+        rows, a, b = rows[inside], a[inside], b[inside]
+        same = symbols[a] == symbols[b]
+        rows, a, b = rows[same], a[same] + 1, b[same] + 1
+        lcp[rows] += 1
     return lcp

@@ -73,6 +73,51 @@ def test_coverage_against_brute_force():
 # 7
 
 
+def test_runs_against_brute_force():
+    draw = random.Random(6)
+    for _ in range(40):
+        pages = [[draw.randrange(5) for _ in range(draw.randrange(1, 12))] for _ in range(draw.randrange(1, 8))]
+        page = np.concatenate([np.full(len(p), 100 + i) for i, p in enumerate(pages)])
+        key = np.concatenate([np.array(p, np.int64) * 7919 for p in pages])
+        stream = mainbody.Stream(page, key, key % 13)
+        got = {(lines, run): (k, words, n) for k, run, lines, words, n in stream.repeated()}
+        holders: dict = {}
+        for i, p in enumerate(pages):
+            for b in range(len(p)):
+                for e in range(b + 1, len(p) + 1):
+                    holders.setdefault(tuple(p[b:e]), []).append(i)
+        # runs of several lines only where no further line would keep all occurrences
+        wanted = {}
+        for run, on in holders.items():
+            longest = not any(len(o) == len(run) + 1 and o[:-1] == run and len(holders[o]) == len(on) for o in holders)
+            if len(set(on)) > 1 and (len(run) == 1 or longest):
+                wanted[run] = (run[0] * 7919 if len(run) == 1 else 0, sum(v * 7919 % 13 for v in run), len(set(on)))
+        assert sorted((len(r), *v) for r, v in wanted.items()) == sorted((lines, *v) for (lines, _), v in got.items())
+        for lines, at, hashed in stream.found(np.array([r for _, r in got]), np.array([n for n, _ in got])):
+            for value in set(hashed.tolist()):
+                assert len(set(stream.owner[at[hashed == value]])) == got[lines, value][2]
+
+
+def test_a_block_of_lines_is_covered_though_its_lines_are_not(spark, monkeypatch):
+    draw = random.Random(2)
+    block = ["Read the terms of use of this desk", "Write to the editor of this page", "Printed in the old harbour hall"]
+    pages = []
+    for i in range(60):
+        body = [f"The {draw.choice('red green blue old new'.split())} desk {chr(97 + i % 26)}{chr(97 + i // 26)} counted pages {'of ' * (k + 1)}the archive." for k in range(3)]
+        pages.append(("t", i, "h.test", None, "\n".join(body + (block if i < 4 else block[i % 3 : i % 3 + 1] if i < 7 else [])), False))
+    lines = mainbody.lines_of(spark.createDataFrame(pages, "tbl string, rec bigint, host string, title string, content string, markup boolean")).cache()
+
+    def covered():
+        stream = mainbody.streams(lines).cache()
+        return {(r.rec, r.no) for r in lines.join(mainbody.covered_lines(stream, mainbody.runs_of(stream)), ["tbl", "host", "page", "no"]).collect()}
+
+    # four pages in sixty are few for a line, not for a run of twenty words; a line of it alone is not covered
+    wanted = {(i, n) for i in range(4) for n in (3, 4, 5)}
+    assert covered() == wanted
+    monkeypatch.setattr(mainbody, "PAGES_PER_CHUNK", 25)
+    assert covered() == wanted
+
+
 def test_chunks_of_a_host_change_nothing(spark, monkeypatch):
     rows = [("t", i, "h.test", None, "\n".join(["on all pages", f"on page {chr(97 + i)}", *(["on a third"] if i % 3 == 0 else []), *(["on three"] if i in (1, 8, 20) else []), *(["on two"] if i in (2, 9) else [])]), False) for i in range(24)]
     lines = mainbody.lines_of(spark.createDataFrame(rows, "tbl string, rec bigint, host string, title string, content string, markup boolean")).cache()
