@@ -37,40 +37,54 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def _shared(text: np.ndarray, at: np.ndarray, patterns: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """How many bytes text[at:] and patterns[start:end] share at their begin, for each row."""
-    out = np.zeros(len(at), np.int64)
-    limit = np.minimum(ends - starts, len(text) - at)
-    open_rows = np.flatnonzero(limit > 0)
-    step = np.arange(32)
-    while len(open_rows):
-        done = out[open_rows]
-        left = (limit[open_rows] - done)[:, None]
-        a = text[np.minimum(at[open_rows, None] + done[:, None] + step, len(text) - 1)]
-        b = patterns[np.minimum(starts[open_rows, None] + done[:, None] + step, len(patterns) - 1)]
-        same = (a == b) & (step < left)
-        run = np.where(same.all(axis=1), 32, same.argmin(axis=1))
-        out[open_rows] = done + run
-        open_rows = open_rows[(run == 32) & (out[open_rows] < limit[open_rows])]
+def words_of_eight(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one big-endian number, with zeros after the end."""
+    padded = np.append(text, np.zeros(16, np.uint8))
+    out = np.zeros(len(text) + 8, np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | padded[k : k + len(out)]
     return out
 
 
+def _shared(text: np.ndarray, at: np.ndarray, patterns: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes the text from `at` and the pattern start..end share at their begin, and whether the text is less there."""
+    size = np.zeros(len(at), np.int64)
+    less = np.zeros(len(at), bool)
+    rows = np.arange(len(at))
+    while len(rows):
+        done = size[rows]
+        left = (ends[rows] - starts[rows] - done).clip(0, 8)
+        mask = np.where(left > 0, ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * left.astype(np.uint64)).clip(0, 63), np.uint64(0))
+        a = text[np.minimum(at[rows] + done, len(text) - 1)] & mask
+        b = patterns[np.minimum(starts[rows] + done, len(patterns) - 1)] & mask
+        differ = a ^ b
+        # leading bytes that agree
+        same = np.full(len(rows), 8)
+        for k in range(8):
+            same = np.where((same == 8) & ((differ >> np.uint64(56 - 8 * k)) & np.uint64(255) != 0), k, same)
+        size[rows] = done + np.minimum(same, left)
+        less[rows] = a < b
+        rows = rows[(same == 8) & (left == 8)]
+    return size, less
+
+
 def longest_matches(text: np.ndarray, order: np.ndarray, patterns: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Binary search of all patterns[start:end] at once in the suffix array `order` of `text`: (places, lengths), each with
-    two rows, of the suffix at or after the pattern's place and of the one before it; one of the two is its longest match."""
-    low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(order), np.int64)
-    while (open_rows := np.flatnonzero(low < high)).size:
-        middle = (low[open_rows] + high[open_rows]) // 2
-        at, s, e = order[middle].astype(np.int64), starts[open_rows], ends[open_rows]
-        size = _shared(text, at, patterns, s, e)
-        whole = size >= e - s
-        stops = at + size >= len(text)
-        # the suffix is less if it ends first, or by the first byte that differs
-        less = ~whole & (stops | (text[np.minimum(at + size, len(text) - 1)] < patterns[np.minimum(s + size, len(patterns) - 1)]))
-        low[open_rows[less]] = middle[less] + 1
-        high[open_rows[~less]] = middle[~less]
+    """Binary search of all patterns[start:end] at once in the suffix array `order` of `text` (bytes other than zero): (places,
+    lengths), each with two rows, of the suffix at or after the pattern's place and of the one before it; one of the two is
+    its longest match."""
+    text, patterns = words_of_eight(text), words_of_eight(patterns)
+    # suffixes by their first eight bytes narrow the search of patterns that have as many
+    ordered = text[order]
+    full = ends - starts >= 8
+    low = np.where(full, np.searchsorted(ordered, patterns[starts], "left"), 0)
+    high = np.where(full, np.searchsorted(ordered, patterns[starts], "right"), len(order))
+    while (rows := np.flatnonzero(low < high)).size:
+        middle = (low[rows] + high[rows]) // 2
+        _, less = _shared(text, order[middle].astype(np.int64), patterns, starts[rows], ends[rows])
+        low[rows[less]] = middle[less] + 1
+        high[rows[~less]] = middle[~less]
     places = np.stack([order[np.minimum(low, len(order) - 1)], order[np.maximum(low - 1, 0)]]).astype(np.int64)
-    lengths = np.stack([_shared(text, places[0], patterns, starts, ends), _shared(text, places[1], patterns, starts, ends)])
+    lengths = np.stack([_shared(text, p, patterns, starts, ends)[0] for p in places])
     return places, lengths
 
 
