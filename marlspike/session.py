@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,7 +35,6 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
-    import shutil
     from pathlib import Path
 
     package = Path(__file__).resolve().parent
@@ -61,7 +62,10 @@ def shared_dir(spark: SparkSession) -> str:
         hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = hadoop.get() if hadoop.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="marlspike-")
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -74,6 +78,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: the lineage ends there,
     so a lost executor costs no recomputation of what lies before it."""
+    ship(df.sparkSession)
     path = scratch(df.sparkSession, label)
     writer = df.write.mode("overwrite")
     if partition_by:
