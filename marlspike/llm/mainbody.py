@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from marlspike.llm.sampling import least_hashed
 from marlspike.llm.suffix import common_prefixes, suffix_array
-from marlspike.session import staged, table
+from marlspike.session import ship, staged, table
 
 PAGES_PER_CHUNK = 4000
 #: A line recurs once it is on so many pages of a host.
@@ -124,6 +124,7 @@ def lines_of(pages: DataFrame) -> DataFrame:
                 names=["tbl", "rec", "no", "page", "host", "key", "exact", "label", "headline", "sentence", "words", "text"],
             )
 
+    ship(pages.sparkSession)
     return pages.mapInArrow(run, LINES)
 
 

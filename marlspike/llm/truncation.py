@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlspike.session import staged, table
+from marlspike.session import ship, staged, table
 
 #: Texts under this length are compared by prefixes of 1, 2, 4, ... characters, others by one of this length.
 SHORT = 64
@@ -262,6 +262,7 @@ def ends(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> D
             if len(lexicon) > 300_000:
                 lexicon.reset()
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, ENDS)
 
 
