@@ -380,20 +380,22 @@ def furniture(pages: DataFrame) -> DataFrame:
     covered = staged(covered_lines(stream, runs), "covered-lines")
     # evidence is joined to numbers; the texts are joined once, with what there is
     place = ["tbl", "host", "page", "no"]
-    facts = stream.select(*place, "key").join(shared, ["tbl", "host", "key"], "left").join(contained.drop("times"), "key", "left")
+    # a line that containers of other hosts hold as body, time and again, is none on the model's word alone
+    contained = contained.select("key", "verdict", ((F.col("verdict") == 0) & (F.col("times") >= MIN_PAGES)).alias("held"))
+    facts = stream.select(*place, "key").join(shared, ["tbl", "host", "key"], "left").join(contained, "key", "left")
     facts = facts.join(covered.withColumn("covered", F.lit(True)), place, "left").filter("share IS NOT NULL OR verdict IS NOT NULL OR covered")
-    known = lines.join(staged(facts.select(*place, "share", "verdict", "covered"), "line-facts"), place, "left")
+    known = lines.join(staged(facts.select(*place, "share", "verdict", "held", "covered"), "line-facts"), place, "left")
     taught = known.withColumn("label", F.when(F.col("headline"), 0).when(F.col("label") >= 0, F.col("label")).when(F.col("covered") | (F.col("share") >= TEACHING_SHARE), 1).when(F.col("share").isNull() & F.col("sentence"), 0))
     weights = fit(taught)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, short = Judge(weights), {}
         for batch in batches:
-            rows = {c: batch.column(c).to_pylist() for c in ("text", "label", "headline", "share", "verdict", "covered")}
-            keep, firm = [], []
+            rows = {c: batch.column(c).to_pylist() for c in ("text", "label", "headline", "share", "verdict", "held", "covered")}
+            keep = []
             if len(short) > 100_000:
                 short.clear()
-            for i, (text, label, headline, share, verdict, run) in enumerate(zip(rows["text"], rows["label"], rows["headline"], rows["share"], rows["verdict"], rows["covered"])):
+            for i, (text, label, headline, share, verdict, held, run) in enumerate(zip(*rows.values())):
                 if headline:
                     continue
                 if len(text) < 64:
@@ -407,18 +409,12 @@ def furniture(pages: DataFrame) -> DataFrame:
                     needed = NEEDED[3]
                 elif verdict == 1:
                     needed = -NEEDED[3]
-                if value > needed:
+                if value > needed and not (held and label != 1 and verdict != 1 and needed != NEEDED[0]):
                     keep.append(i)
-                    firm.append(label == 1 or verdict == 1 or needed == NEEDED[0])
             place = pa.array(keep, pa.int64())
-            columns = [batch.column(c).take(place) for c in ("tbl", "rec", "no", "key")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(firm, pa.bool_())], names=["tbl", "rec", "no", "key", "firm"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(place) for c in ("tbl", "rec", "no")], names=["tbl", "rec", "no"])
 
-    judged = known.select("tbl", "rec", "no", "key", "text", "label", "headline", "share", "verdict", "covered").mapInArrow(judge, "tbl string, rec bigint, no bigint, key bigint, firm boolean")
-    judged = staged(judged, "judged-lines")
-    # a line that containers of other hosts hold as body, time and again, is none on the model's word alone
-    body = contained.filter((F.col("verdict") == 0) & (F.col("times") >= MIN_PAGES)).select("key")
-    return judged.filter("firm").select("tbl", "rec", "no").unionByName(judged.filter("NOT firm").join(body, "key", "left_anti").select("tbl", "rec", "no"))
+    return known.select("tbl", "rec", "no", "text", "label", "headline", "share", "verdict", "held", "covered").mapInArrow(judge, "tbl string, rec bigint, no bigint")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
