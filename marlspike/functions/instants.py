@@ -6,7 +6,7 @@ projections, because one nested expression would repeat its inner parts many tim
 
 Rules
 -----
-* blank, null and unusable texts, dates that do not exist and instants outside 2010..2100: null.
+* blank, null and unusable texts, dates that do not exist and instants outside the years asked for (2010..2100): null.
 * a clock time without zone is in `zone` (null or unknown zone: UTC); a date alone is its midnight there.
 * an offset in the text prevails over a region name in brackets beside it.
 * a clock time that occurs twice is the first of the two, a skipped one moves on by the gap
@@ -105,8 +105,8 @@ def _once(column: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, column)
 
 
-def with_instants(df: DataFrame, raw: str, zone: str, month_first: str, out: str) -> DataFrame:
-    """`df` with the timestamp column `out`. The columns may have any name; clashing helper names are avoided."""
+def with_instants(df: DataFrame, raw: str, zone: str, month_first: str, out: str, years: tuple[int, int] = YEARS, latest: Column | None = None) -> DataFrame:
+    """`df` with the timestamp column `out`, null outside `years` or after `latest`. The columns may have any name; clashing helper names are avoided."""
     from marlspike.session import free_name
 
     text, parts, got, at = (free_name(df, x) for x in ("_text", "_parts", "_got", "_at"))
@@ -161,7 +161,9 @@ def with_instants(df: DataFrame, raw: str, zone: str, month_first: str, out: str
     size = F.abs(value)
     counted = F.floor(F.when(size < 10**11, value * 1_000_000).when(size < 10**14, value * 1000).when(size < 10**17, value)).try_cast("bigint")
     step = step.select(*keep, _once(F.when(F.col(parts).isNotNull(), spelled).otherwise(counted)).alias(at))
-    inside = (a >= _micros(YEARS[0])) & (a < _micros(YEARS[1] + 1))
+    inside = (a >= _micros(years[0])) & (a < _micros(years[1] + 1))
+    if latest is not None:
+        inside = inside & (a <= F.unix_micros(latest))
     return step.select(*keep, F.timestamp_micros(F.when(inside, a)).alias(out))
 
 

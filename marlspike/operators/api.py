@@ -47,7 +47,8 @@ def map_items(responses: DataFrame, spec: ApiSpec) -> tuple[DataFrame, DataFrame
     is_object = F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False))
     raw_time = _field(item, spec.time_path) if spec.time_path else F.lit(None).cast("string")
     mapped = rows.select("query", "ord", F.when(is_object, url).alias("url"), _field(item, spec.title_path).alias("title"), raw_time.alias("raw"), F.lit(spec.zone).alias("zone"), F.lit(spec.month_first).alias("month_first"))
-    timed = with_instants(mapped, "raw", "zone", "month_first", "published_at")
+    # publishing times from 1990 to a day from now are plausible
+    timed = with_instants(mapped, "raw", "zone", "month_first", "published_at", (1990, 2261), F.current_timestamp() + F.expr("INTERVAL 1 DAY"))
     usable = timed.filter("url IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("ord")))
     kept = usable if spec.max_items is None else usable.filter(F.col("n") <= spec.max_items)
     counts = timed.groupBy("query").agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("url").isNull()).alias("skipped"), F.count_if(F.col("url").isNotNull() & F.col("published_at").isNull() & F.lit(spec.time_path is not None)).alias("no_time"))

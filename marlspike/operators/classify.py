@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlspike.functions import html as H
+
 #: Phrases of challenge pages that no ordinary page has, searched in the whole text (fixed values).
 STRONG_CHALLENGE = ["verifying your browser", "just a moment", "checking your browser", "attention required", "challenge-platform", "cf-chl", "不是机器人", "拖动滑块", "slide to verify", "drag the slider", "are you a robot", "robot check"]
 STRONG_BLOCK = ["unusual traffic", "automated access", "access from your network", "we have been receiving a large volume"]
 HEAD = 8000
+#: Words of paging and counts, and of result headings (fixed values).
+COUNT_WORDS = r"下一页|下页|尾页|共\s*\d+\s*页|共\s*\d+\s*条|找到\s*\d+|约\s*\d+\s*条"
+RESULT_WORDS = r"搜索?结果|检索结果|(?i:search\s+results?)"
 
 
 def _any(text: Column, phrases: list[str]) -> Column:
@@ -59,11 +64,11 @@ def tool_zero_shape(has_text: Column, parse_ok: Column, raw: Column, kept: Colum
 
 def looks_like_results(markup: Column, term: Column, baseline: Column) -> Column:
     """Whether a page answers a search: not the page without search, and an echo, a list, paging or result words."""
-    ratio = F.try_divide(F.length(markup), F.length(baseline))
-    same = (F.left(markup, F.lit(400)) == F.left(baseline, F.lit(400))) & (ratio > 0.9) & (ratio < 1.1)
-    listed = F.size(F.regexp_extract_all(markup, F.lit("(?i)(<li)"), 1)) >= 5
-    signs = F.lower(markup).contains(F.lower(term)) | listed | markup.rlike(r"(?i)下一页|上一页|next\s*page|page=\d|搜索结果|共\s*\d+\s*条|results?\s+found|search\s+results")
-    return ~F.coalesce(same, F.lit(False)) & signs
+    body, base = H.strip_tags(markup), H.strip_tags(baseline)
+    ratio = F.try_divide(F.length(body), F.length(base))
+    same = (body != "") & (F.left(body, F.lit(400)) == F.left(base, F.lit(400))) & (ratio > 0.9) & (ratio < 1.1)
+    listed = F.size(F.regexp_extract_all(markup, F.lit(r"(?i)(<li\b)"), 1)) >= 5
+    return ~F.coalesce(same, F.lit(False)) & (body.contains(term) | listed | body.rlike(COUNT_WORDS) | body.rlike(RESULT_WORDS))
 
 
 def rate_limited(status: Column, body: Column) -> Column:

@@ -62,8 +62,11 @@ def ranked_with_domain_cap(merged: DataFrame, per_domain: int = 2, want: int = 1
 
 
 def merge_discovered(rows: DataFrame) -> DataFrame:
-    """One row per discovered address (url, source, mime, ord): first source, set of sources, first type that is not empty."""
+    """One row per discovered address (url, source, ord; mime, status, ts where there are): first source, set of sources, first
+    type, status and time that is not empty."""
+    later = [F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("ord"))).alias(c) for c in ("status", "ts") if c in rows.columns]
     return rows.filter("url IS NOT NULL").groupBy(U.discovered_key(F.col("url")).alias("key")).agg(
+        *later,
         F.min_by("source", F.when(F.col("source").isNotNull(), F.col("ord"))).alias("source"),
         F.array_sort(F.collect_set("source")).alias("sources"),
         F.min_by("mime", F.when(F.coalesce(F.col("mime"), F.lit("")) != "", F.col("ord"))).alias("mime"),
@@ -76,9 +79,8 @@ def channel_contribution(merged: DataFrame) -> DataFrame:
     return merged.select(F.explode("engines").alias("engine")).groupBy("engine").agg(F.count(F.lit(1)).alias("results"))
 
 
-def fallback(*channels: DataFrame) -> DataFrame:
-    """Rows of the first channel that has any: the others are not read further than their first row."""
-    for channel in channels[:-1]:
-        if not channel.isEmpty():
-            return channel
-    return channels[-1]
+def fallback(*channels: DataFrame, key: str = "query") -> DataFrame:
+    """For each query the rows of the first channel that has any for it; null is a query of its own."""
+    rows = union_channels(*channels)
+    first = rows.groupBy(F.col(key).alias("_of")).agg(F.min("src_ord").alias("_first"))
+    return rows.join(first, F.col(key).eqNullSafe(F.col("_of")) & (F.col("src_ord") == F.col("_first")), "left_semi").drop("src_ord")

@@ -79,10 +79,12 @@ def digest_view(view: DataFrame, per_target: int) -> DataFrame:
 def template_batches(view: DataFrame, min_owners: int = 5, hours: float = 24) -> DataFrame:
     """Bursts of one template: unread repositories of one target that differ only in spelling or word order,
     of `min_owners` owners or more, found within `hours`. Columns: target_id, repo, owners, ids, span_hours."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(F.col("url"), r"[?#].*$", ""), r"/+$", ""), "/")
-    title_pair = F.regexp_extract("title", r"^\s*([\w.-]+)/([\w.-]+)", 0) != ""
-    owner = F.when(title_pair, F.regexp_extract("title", r"^\s*([\w.-]+)/([\w.-]+)", 1)).otherwise(F.try_element_at(parts, F.lit(-2)))
-    repo = F.when(title_pair, F.regexp_extract("title", r"^\s*([\w.-]+)/([\w.-]+)", 2)).otherwise(F.try_element_at(parts, F.lit(-1)))
+    parts = F.split(F.regexp_replace(F.col("url"), r"/+$", ""), "/")
+    # a title names owner and repository only if that is all it says
+    pair = r"^\s*([^/\s]+)/([^/\s]+)\s*$"
+    named = F.coalesce(F.col("title").rlike(pair), F.lit(False))
+    owner = F.when(named, F.regexp_extract("title", pair, 1)).otherwise(F.try_element_at(parts, F.lit(-2)))
+    repo = F.when(named, F.regexp_extract("title", pair, 2)).otherwise(F.try_element_at(parts, F.lit(-1)))
     rows = view.filter("coalesce(status, 'new') = 'new'").select("target_id", "id", F.lower(owner).alias("owner"), repo_key(repo).alias("repo"), F.unix_micros(F.coalesce("published_ts", "found_ts")).alias("at"))
     grouped = rows.filter("owner <> '' AND repo <> ''").groupBy("target_id", "repo").agg(
         F.array_sort(F.collect_set("owner")).alias("owners"), F.array_sort(F.collect_set("id")).alias("ids"), ((F.max("at") - F.min("at")) / 3_600_000_000).alias("span_hours"), F.count("at").alias("timed")
@@ -112,6 +114,3 @@ def scan_summary(outcomes: DataFrame) -> DataFrame:
     ok = F.col("state") == "ok"
     return outcomes.agg(F.count_if(ok).alias("ok"), F.count_if(F.col("state") == "failed").alias("failed"), F.count_if(F.col("partial")).alias("partial"), F.sum(F.when(ok, F.col("found"))).alias("found"), F.sum(F.when(ok, F.col("new_count"))).alias("new_count"))
 
-
-def running_totals(rows: DataFrame, group: str, order: str, value: str, out: str) -> DataFrame:
-    return rows.withColumn(out, F.sum(value).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from marlspike.operators import instants
-from marlspike.plans import monitoring, search, tpch
+from marlspike.plans import monitoring, search, surfaces, tpch
 
 
 def queries() -> dict:
-    return {"p2_found": instants.p2_found} | search.QUERIES | monitoring.QUERIES | tpch.QUERIES
+    return {"p2_found": instants.p2_found} | search.QUERIES | monitoring.QUERIES | surfaces.QUERIES | tpch.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return search.ORACLES | monitoring.ORACLES | tpch.ORACLES
+    return search.ORACLES | monitoring.ORACLES | surfaces.ORACLES | tpch.ORACLES

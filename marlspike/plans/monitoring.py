@@ -83,9 +83,13 @@ def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On this log bursts of five owners are rare, so two owners within ninety days count here."""
+    """With the operator's own bounds, five owners within a day. The log has few such bursts, so to each target's items some of
+    six owners are added: five within a day of the first, and of the targets of odd length a day too late."""
     view = monitor.latest_view(_log(spark, sf_dir).select("id", "seq", "target_id", "url", "title", "status", "found_ts", "published_ts"))
-    found = monitor.template_batches(view, min_owners=2, hours=24 * 90)
+    late = F.expr("timestamp '2026-08-01 00:00:00' + make_interval(0, 0, 0, 0, if(length(target_id) % 2 = 0, 5, 7) * CAST(k AS int))")
+    added = table(spark, sf_dir, "intel_target").select(F.col("id").alias("target_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    added = added.select(F.concat_ws("#", "target_id", "k").alias("id"), F.lit(-1).cast("bigint").alias("seq"), "target_id", F.lit(None).cast("string").alias("url"), F.concat(F.lit("Owner"), F.col("k").cast("string"), F.expr("if(k % 2 = 0, '/Burst_Tool', '/tool-burst')")).alias("title"), F.lit("new").alias("status"), late.alias("found_ts"), F.lit(None).cast("timestamp").alias("published_ts"))
+    found = monitor.template_batches(view.select(*added.columns).unionByName(added))
     return found.select("target_id", "repo", F.array_join("owners", ",").alias("owners"), F.size("ids").alias("items"), "span_hours")
 
 
@@ -109,7 +113,8 @@ def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = table(spark, sf_dir, "intel_target").select(F.col("last_scan_state").alias("state"), F.col("last_scan_error").isNotNull().alias("partial"), F.col("found_total").alias("found"), F.lit(1).alias("new_count"))
+    new = table(spark, sf_dir, "intel_item").filter("batch_no > 0").groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("new_count"))
+    outcomes = table(spark, sf_dir, "intel_target").join(new, "id", "left").select(F.col("last_scan_state").alias("state"), F.col("last_scan_error").isNotNull().alias("partial"), F.col("found_total").alias("found"), F.coalesce("new_count", F.lit(0)).alias("new_count"))
     return monitor.scan_summary(outcomes)
 
 
@@ -192,11 +197,12 @@ _ATTACHMENT = f"(NOT {_META} AND {_EXT} IN ('pdf','doc','docx','xls','xlsx','ppt
 _VIEW = "WITH view AS (SELECT * FROM intel_item QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)"
 _TIMED = r""", timed AS (SELECT *, CASE WHEN regexp_matches(found_at, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$') THEN try_cast(replace(found_at, 'Z', '') AS TIMESTAMP) END AS found_ts,
  CASE WHEN regexp_matches(published_at, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$') THEN try_cast(replace(published_at, 'Z', '') AS TIMESTAMP) END AS published_ts FROM view)"""
-_BATCHES = r""", parts AS (SELECT target_id, id, seq, lower(CASE WHEN regexp_matches(title, '^\s*([\w.-]+)/([\w.-]+)') THEN regexp_extract(title, '^\s*([\w.-]+)/([\w.-]+)', 1) ELSE p[-2] END) AS owner,
- array_to_string(list_sort(list_filter(string_split_regex(lower(CASE WHEN regexp_matches(title, '^\s*([\w.-]+)/([\w.-]+)') THEN regexp_extract(title, '^\s*([\w.-]+)/([\w.-]+)', 2) ELSE p[-1] END), '[-_\s]+'), lambda w: w <> '')), '-') AS repo,
- epoch_us(coalesce(published_ts, found_ts)) AS moment FROM (SELECT *, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/') AS p FROM timed WHERE coalesce(status, 'new') = 'new')),
+_BATCHES = r""", parts AS (SELECT target_id, id, seq, lower(CASE WHEN regexp_matches(title, '^\s*([^/\s]+)/([^/\s]+)\s*$') THEN regexp_extract(title, '^\s*([^/\s]+)/([^/\s]+)\s*$', 1) ELSE p[-2] END) AS owner,
+ array_to_string(list_sort(list_filter(string_split_regex(lower(CASE WHEN regexp_matches(title, '^\s*([^/\s]+)/([^/\s]+)\s*$') THEN regexp_extract(title, '^\s*([^/\s]+)/([^/\s]+)\s*$', 2) ELSE p[-1] END), '[-_\s]+'), lambda w: w <> '')), '-') AS repo,
+ epoch_us(coalesce(published_ts, found_ts)) AS moment FROM (SELECT *, string_split(regexp_replace(url, '/+$', ''), '/') AS p FROM timed WHERE coalesce(status, 'new') = 'new')),
 batches AS (SELECT target_id, repo, list_sort(list(DISTINCT owner)) AS owners, list_sort(list(DISTINCT id)) AS ids, (max(moment) - min(moment)) / 3600000000 AS span_hours FROM parts WHERE owner <> '' AND repo <> ''
  GROUP BY 1, 2 HAVING count(DISTINCT owner) >= 2 AND count(moment) >= 2 AND (max(moment) - min(moment)) / 3600000000 <= 2160)"""
+_PLANTED = """ UNION ALL SELECT id, id || '#' || k, -1, NULL, 'Owner' || k || CASE WHEN k % 2 = 0 THEN '/Burst_Tool' ELSE '/tool-burst' END, 'new', (TIMESTAMP '2026-08-01 00:00:00' + to_hours(CASE WHEN length(id) % 2 = 0 THEN 5 ELSE 7 END * k)), NULL FROM intel_target, (SELECT unnest([0, 1, 2, 3, 4]) AS k)"""
 ORACLES = {
     "item_kinds": f"""SELECT seq, sort AS kind, structural,
  CASE WHEN NOT regexp_matches({_U}, '^(?i)https?://') THEN false WHEN {_META} THEN false WHEN structural THEN false WHEN src = 'api' THEN true WHEN batch_no = 0 THEN sort IN ('attachment','paper','api') ELSE true END AS worthy,
@@ -217,11 +223,11 @@ UNION ALL SELECT 'read', CASE WHEN status <> 'new' THEN 'yes' ELSE 'no' END, cou
     + _TIMED
     + """, l AS (SELECT *, CASE WHEN kind IN ('attachment','paper','api') THEN 0 WHEN kind = 'page' THEN 1 ELSE 2 END AS level, count(*) OVER (PARTITION BY target_id) AS total FROM timed)
 SELECT target_id, id, row_number() OVER (PARTITION BY target_id ORDER BY level, coalesce(published_ts, found_ts) DESC NULLS LAST, seq DESC)::INTEGER AS rank, level::INTEGER AS level, total FROM l QUALIFY rank <= 10""",
-    "template_batches": _VIEW + _TIMED + _BATCHES + "SELECT target_id, repo, array_to_string(owners, ',') AS owners, len(ids)::INTEGER AS items, span_hours FROM batches",
+    "template_batches": _VIEW + _TIMED + _BATCHES.replace("FROM timed WHERE", "FROM (SELECT target_id, id, seq, url, title, status, found_ts, published_ts FROM timed" + _PLANTED + ") WHERE").replace(">= 2 AND count(moment)", ">= 5 AND count(moment)").replace("<= 2160", "<= 24") + "SELECT target_id, repo, array_to_string(owners, ',') AS owners, len(ids)::INTEGER AS items, span_hours FROM batches",
     "suppressed": _VIEW + _TIMED + _BATCHES + ", out AS (SELECT DISTINCT unnest(ids) AS id FROM batches) SELECT target_id, count(*) AS n, v.id NOT IN (SELECT id FROM out) AS kept FROM view v GROUP BY 1, 3",
     "due_targets": f"SELECT id FROM intel_target WHERE last_scan_at IS NULL OR (epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_scan_at)) / 60000000 >= CASE WHEN scan_minutes > 0 THEN scan_minutes ELSE 60 END",
     "backfill": "SELECT id, arg_min(published_at, seq) AS published_at FROM intel_item WHERE batch_no > 0 AND published_at IS NOT NULL AND id IN (SELECT id FROM intel_item WHERE batch_no = 0 AND published_at IS NULL) GROUP BY id",
-    "scan_outcomes": "SELECT count(*) FILTER (WHERE last_scan_state = 'ok') AS ok, count(*) FILTER (WHERE last_scan_state = 'failed') AS failed, count(*) FILTER (WHERE last_scan_error IS NOT NULL) AS partial, sum(found_total) FILTER (WHERE last_scan_state = 'ok')::BIGINT AS found, count(*) FILTER (WHERE last_scan_state = 'ok') AS new_count FROM intel_target",
+    "scan_outcomes": "SELECT count(*) FILTER (WHERE last_scan_state = 'ok') AS ok, count(*) FILTER (WHERE last_scan_state = 'failed') AS failed, count(*) FILTER (WHERE last_scan_error IS NOT NULL) AS partial, sum(found_total) FILTER (WHERE last_scan_state = 'ok')::BIGINT AS found, sum(coalesce(n, 0)) FILTER (WHERE last_scan_state = 'ok')::BIGINT AS new_count FROM intel_target LEFT JOIN (SELECT target_id, count(*) AS n FROM intel_item WHERE batch_no > 0 GROUP BY 1) ON id = target_id",
     "auto_count": "SELECT count(*) AS n FROM intel_item WHERE target_id IN (SELECT id FROM intel_target WHERE kind = 'arxiv')",
     "api_items": "SELECT record_id, title FROM (SELECT record_id, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.' || coalesce(t.spec.title_path, 'title')) END AS title FROM api_record r JOIN intel_target t ON r.target_id = t.id) WHERE title IS NOT NULL",
     "api_epochs": r"""WITH raw AS (SELECT record_id, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.' || regexp_replace(t.spec.time_path, '\.(\d+)', '[\1]', 'g')) END AS raw FROM api_record r JOIN intel_target t ON r.target_id = t.id WHERE t.spec.time_path IS NOT NULL)

@@ -132,8 +132,10 @@ def sha1_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def published_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, day: the full date in an item's address, where it exists."""
-    p = U.path(F.col("url"))
+    """seq, day: the full date in an item's address, where it exists. Few addresses of the log hold one, so every second gets
+    a path of three numbers, some of which are no date."""
+    dated = F.expr("if(seq % 2 = 0, concat('https://d.test', printf(element_at(array('/%04d/%02d/%02d/', '/%04d-%02d-%02d.html'), CAST(seq DIV 2 % 2 AS int) + 1), CAST(1995 + seq % 31 AS int), CAST(1 + seq % 13 AS int), CAST(1 + seq % 32 AS int)), 'x?d=20240506'), url)")
+    p = U.path(dated)
     y, m, d = (F.regexp_extract(p, r"/(\d{4})[-/]?(\d{2})[-/]?(\d{2})(?:/|$|\.)", n) for n in (1, 2, 3))
     rows = table(spark, sf_dir, "intel_item").select("seq", F.try_to_timestamp(F.nullif(F.concat(y, m, d), F.lit("")), F.lit("yyyyMMdd")).cast("date").alias("day"))
     return rows.filter("day IS NOT NULL")
@@ -155,9 +157,9 @@ def extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """term, n: the Latin words of titles that are no stop words."""
+    """term, n: the terms of titles, Latin words and parts of Chinese runs, that are no stop words."""
     terms = table(spark, sf_dir, "search_result").filter("title IS NOT NULL").select(F.explode(T.terms(F.col("title"))).alias("term"))
-    return terms.filter(F.col("term").rlike("^[A-Za-z]")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def shared_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +244,10 @@ SELECT host, CASE WHEN regexp_matches(u, '(?i)(rss|atom|feed)[^/]*(\\.xml)?$|/fe
  WHEN regexp_matches(lower(regexp_replace(u, '[?#].*$', '')), '/[^/]+\\.(pdf|doc|docx|xls|xlsx|ppt|pptx|csv|txt|rtf|odt|ods|odp|zip|rar|7z|epub|wps|et|dps)$') THEN 'attachment' ELSE 'page' END AS class, count(*) AS n FROM found WHERE u IS NOT NULL GROUP BY 1, 2""",
     "html_main": f"SELECT fetch_id, trim(regexp_replace(regexp_extract(content, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\s\\x0B ]+', ' ', 'g')) AS title, CASE WHEN length(t) > 8000 THEN t[1:8000] || '…' ELSE t END AS main FROM (SELECT fetch_id, content, {_sql(_TEXT, c=_MAIN)} AS t FROM fetch_result WHERE mode = 'raw' AND content IS NOT NULL)",
     "extension_counts": "SELECT lower(regexp_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '^.+\\.([A-Za-z0-9]{1,8})$', 1)) AS ext, count(*) AS n, count(DISTINCT target_id) AS targets FROM intel_item WHERE url IS NOT NULL GROUP BY 1",
-    "title_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9-]{{2,}}')) AS term FROM search_result WHERE title IS NOT NULL) WHERE lower(term) NOT IN ({_STOP}) GROUP BY 1",
+    "title_terms": f"""WITH runs AS (SELECT unnest(regexp_extract_all(title, '[一-龥]{{2,}}')) AS run FROM search_result WHERE title IS NOT NULL),
+terms AS (SELECT unnest(regexp_extract_all(title, '[A-Za-z][A-Za-z0-9-]{{2,}}')) AS term FROM search_result WHERE title IS NOT NULL
+ UNION ALL SELECT run[i:i + n - 1] FROM (SELECT run, n, unnest(range(1, length(run) - n + 2)) AS i FROM runs, (VALUES (2), (3), (4)) AS sizes(n)))
+SELECT term, count(*) AS n FROM terms WHERE lower(term) NOT IN ({_STOP}) GROUP BY 1""",
     "shared_domains": f"SELECT domain, domain IN (SELECT {_sql(_DOMAIN, u='url')} FROM fetch_result WHERE url IS NOT NULL) AS fetched FROM (SELECT DISTINCT {_sql(_DOMAIN, u='trim(url)')} AS domain FROM search_result)",
     "sources_by_language": "SELECT source, lang, grouping_id(source, lang) AS level, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY CUBE (source, lang)",
     "url_canonical": f"SELECT result_id, {_sql(_NORMAL, u=_TRIMMED)} AS url FROM search_result",
@@ -290,7 +295,7 @@ edges AS (SELECT DISTINCT a.site AS src, b.site AS dst FROM rows_of a JOIN rows_
 walk AS (SELECT min(site) AS node, 0 AS depth FROM rows_of UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 3)
 SELECT node, min(depth)::INTEGER AS depth FROM walk GROUP BY node""",
     "sha1_ranges": "WITH h AS (SELECT doc_id, upper(sha1(text)) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, h[1:5] AS prefix FROM h WHERE h IN (SELECT h FROM h WHERE doc_id % 50 = 0)",
-    "published_from_url": r"SELECT seq, day FROM (SELECT seq, try_strptime(regexp_extract(regexp_replace(url, '[?#].*$', ''), '/(\d{4})[-/]?(\d{2})[-/]?(\d{2})(?:/|$|\.)', 1) || regexp_extract(regexp_replace(url, '[?#].*$', ''), '/(\d{4})[-/]?(\d{2})[-/]?(\d{2})(?:/|$|\.)', 2) || regexp_extract(regexp_replace(url, '[?#].*$', ''), '/(\d{4})[-/]?(\d{2})[-/]?(\d{2})(?:/|$|\.)', 3), '%Y%m%d')::DATE AS day FROM intel_item) WHERE day IS NOT NULL",
+    "published_from_url": r"SELECT seq, day FROM (SELECT seq, try_strptime(regexp_extract(regexp_replace(u, '[?#].*$', ''), '/(\d{4})[-/]?(\d{2})[-/]?(\d{2})(?:/|$|\.)', 1) || regexp_extract(regexp_replace(u, '[?#].*$', ''), '/(\d{4})[-/]?(\d{2})[-/]?(\d{2})(?:/|$|\.)', 2) || regexp_extract(regexp_replace(u, '[?#].*$', ''), '/(\d{4})[-/]?(\d{2})[-/]?(\d{2})(?:/|$|\.)', 3), '%Y%m%d')::DATE AS day FROM (SELECT seq, CASE WHEN seq % 2 = 0 THEN 'https://d.test' || printf(CASE WHEN seq // 2 % 2 = 0 THEN '/%04d/%02d/%02d/' ELSE '/%04d-%02d-%02d.html' END, 1995 + seq % 31, 1 + seq % 13, 1 + seq % 32) || 'x' ELSE url END AS u FROM intel_item)) WHERE day IS NOT NULL",
     "discovered": """SELECT regexp_replace(regexp_replace(url, '#.*$', ''), '^(?i)http://', 'https://') AS key, arg_min(source, seq) AS source, coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (WHERE source IS NOT NULL)), '+'), '') AS sources,
  arg_min(meta['mime'], seq) FILTER (WHERE coalesce(meta['mime'], '') <> '') AS mime, min(seq) AS ord FROM intel_item WHERE url IS NOT NULL GROUP BY 1""",
     "discover_stats": r"""SELECT source, count(*) AS n, count(*) FILTER (WHERE regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '/[^/]+\.(pdf|doc|docx|xls|xlsx|ppt|pptx|csv|txt|rtf|odt|ods|odp|zip|rar|7z|epub|wps|et|dps)$')
