@@ -16,8 +16,8 @@ a sign, are mentions and no damage.
 from __future__ import annotations
 
 import html
-import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -45,6 +45,8 @@ SEED_LINES = [
     "Größe und Übersicht der Gebühren für das nächste Jahr – früher als geplant.", "Synthèse des résultats d’été à la mairie, déjà publiée « en août ».",
     "La página añade una versión según el índice público: 5 € por año.", "Реестр объявлений описывает полный перечень на втором этапе.",
     "附件列表确认了上一轮的结果，共重试三次。", "The reader’s “first pass” costs 20 € – a rare outcome…", "Søk på «ærlig» ga Ø, Å og Æ.", "Cena: 40 zł – źródło ćwiczeń.",
+    "Το γραφείο δημοσίευσε τον κατάλογο των τελών για το επόμενο έτος.", "Реєстр оголошень містить повний перелік, їх опубліковано вчора.", "نشر المكتب قائمة الرسوم للعام القادم.", "המשרד פרסם את רשימת האגרות לשנה הבאה.",
+    "사무소는 내년 수수료 목록을 발표했다.", "事務所は来年の手数料の一覧を公開しました。", "कार्यालय ने अगले वर्ष की शुल्क सूची प्रकाशित की।", "Văn phòng công bố danh sách lệ phí năm tới.",
 ]
 
 LOST = "�"
@@ -97,16 +99,11 @@ def reread(text: str, right: str, wrong: str) -> str | None:
         return None
 
 
+@cache
 def plausible(ch: str) -> bool:
-    """Characters a repaired text may hold: letters and signs of the languages that are read here."""
-    o = ord(ch)
-    return (
-        0xA0 <= o <= 0x17F or o in (0x218, 0x219, 0x21A, 0x21B) or 0x2010 <= o <= 0x203A or o in (0x20AC, 0x2116, 0x2122) or 0x2190 <= o <= 0x22FF or o in (0x401, 0x451) or 0x410 <= o <= 0x44F
-        or 0x1EA0 <= o <= 0x1EF9 or 0x1A0 <= o <= 0x1B0 or 0x3000 <= o <= 0x30FF or 0x4E00 <= o <= 0x9FFF or 0xFF01 <= o <= 0xFF5E or 0x1F300 <= o <= 0x1FAFF or o == LOST_ORD
-    )
-
-
-LOST_ORD = ord(LOST)
+    """Whether a repaired text may hold the character: any that is assigned and no control. Which language it belongs to
+    does not matter; the classifier has named the chain, and the inverse must decode strictly."""
+    return ch in "\t\u200b\u200c\u200d\ufeff\u00ad" or unicodedata.category(ch) not in ("Cc", "Cn", "Co", "Cs")
 
 
 @cache
@@ -141,12 +138,13 @@ def repair(line: str, chain: tuple[str, str, int]) -> str | None:
     """The line with the chain inverted wherever it decodes strictly to plausible characters; None if nowhere."""
     right, wrong, times = chain
     mended = False
-    for _ in range(times):
+    for left in range(times - 1, -1, -1):
         if right == "utf-8" and not _is_multibyte(wrong):
             def mend(match: re.Match) -> str:
                 nonlocal mended
                 restored = reread(match[0], right, wrong)
-                if restored is None or not all(map(plausible, restored)):
+                # what is still misread once may hold controls
+                if restored is None or not (left or all(map(plausible, restored))):
                     return match[0]
                 mended = True
                 return restored

@@ -204,3 +204,35 @@ def test_a_limit_of_the_null_source(spark):
     cut = [(10, None, "Nothing was lost. A clerk sends the whole l"), (11, None, "It came too late. Zwei Tage danach brachten")]
     df = spark.createDataFrame([(d, s, t) for d, s, t in rows[:4]] + [(8, "x", rows[4][2])] + cut, "doc bigint, source string, text string")
     assert {r.doc: r.reason for r in truncation.cut_off(df, "doc", "text", "source").collect()} == {10: "prefix", 11: "at the limit"}
+
+
+# 3
+
+
+def test_languages_without_a_list():
+    from marlspike.llm import encodings
+
+    texts = ["Το γραφείο άνοιξε χθες.", "사무소가 문을 열었다.", "Їх опубліковано вчора, є перелік.", "نشر المكتب قائمة جديدة.", "המשרד נפתח אתמול.", "कार्यालय खुला है।"]
+    for text in texts:
+        for chain in (("utf-8", "cp1252", 1), ("utf-8", "latin-1", 1), ("utf-8", "cp1252", 2), ("utf-8", "mac_roman", 1)):
+            garbled = encodings.misread(text, *chain)
+            assert encodings.repair(garbled, chain) == text, (text, chain)
+
+
+def test_share_of_repaired_texts_that_are_right(spark):
+    """Lines of the corpus garbled by each chain: what the classifier and the inverse give back, counted per chain."""
+    from marlspike.llm import encodings
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/doc_extract.parquet").select("text").collect()
+    lines = sorted({x for r in rows for x in (r.text or "").split("\n") if not x.isascii() and len(x) > 30 and encodings._seems_sound(x)})
+    model = encodings.train(spark.createDataFrame([(x,) for x in lines], "line string"))
+    right, all_of = 0, 0
+    for line in lines:
+        for chain in encodings.CHAINS:
+            garbled = encodings.misread(line, *chain)
+            # strict inversion is possible and the damage is more than a sign or two
+            if chain[0] == "utf-8" and garbled and garbled != line and encodings.LOST not in garbled:
+                all_of += 1
+                right += encodings.judge(garbled, model)[1] == line
+    print("repaired right", right, "of", all_of)
+    assert right / all_of >= 0.95
