@@ -1,27 +1,31 @@
 """Filling fixed-capacity containers with documents (problem 9).
 
-Method: lexical retrieval packing. Documents are hashed to shards of about `DOCUMENTS_PER_SHARD`; each
-shard holds a BM25 inverted index over token ids (document frequencies are those of the whole corpus).
-The largest document left seeds a container; its nearest neighbours that are unused and still fit fill
-it in order of their score, and what shares no term with the seed follows by size. A container closes
-only when nothing left in the shard fits.
+Method: lexical retrieval packing. Documents are sharded by their content: by the term that weighs most in them (of those
+that another document has as well), so the neighbours of a document, its copies above all, lie in its shard. A shard holds at
+most about `TOKENS_PER_SHARD`: rarer terms share one, a hot term is split by the terms that weigh next, and what is then
+still too large (many copies) by id. Each shard holds a BM25 inverted index over token ids (document frequencies are those
+of the whole corpus). The largest document left seeds a container; its nearest neighbours that are unused and still fit
+fill it in order of their score, and what shares no term with the seed follows by size. A container closes only when
+nothing left in the shard fits.
 
 Defined cases: null and empty texts are left out; a document larger than the capacity is cut into full
 containers of its own, and only its last piece is packed with others; ties go to the larger, then to the
-smaller id; a shard never holds more than a hash's share of the rows, whatever the source or host.
+smaller id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlspike.llm.tokens import TOKENIZERS, encoded
 from marlspike.session import staged, table
 
-DOCUMENTS_PER_SHARD = 2000
+TOKENS_PER_SHARD = 1_000_000
 K1, B = 1.2, 0.75
 CONTAINERS = "spec_id int, container_id bigint, doc_id bigint, piece int, tokens int"
 
@@ -88,7 +92,64 @@ def pack(sizes: np.ndarray, scores, capacity: int) -> list[list[int]]:
     return containers
 
 
-def containers(documents: DataFrame, specs: list[tuple[int, int]], id_col: str, text_col: str, vocabulary: str, folder: str = TOKENIZERS, per_shard: int = DOCUMENTS_PER_SHARD) -> DataFrame:
+def leading_terms(ids: np.ndarray, idf: np.ndarray, shared: np.ndarray, mean_length: float, n: int = 3) -> list[int]:
+    """The `n` terms that weigh most in a document, of those that another document has (`shared`); -1 where there are fewer."""
+    term, count = np.unique(ids, return_counts=True)
+    weight = np.where(shared[term], idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(ids) / mean_length)), -1.0)
+    best = term[np.lexsort((term, -weight))[:n]]
+    return [int(t) if shared[t] else -1 for t in best] + [-1] * (n - len(best))
+
+
+def wide_enough(df: np.ndarray, mean_length: float, per_shard: int) -> np.ndarray:
+    """Which terms so many documents hold that these fill a shard: rarer ones would join documents that have one name in common."""
+    return df >= max(2.0, min(per_shard / mean_length, df.max(initial=0) / 2))
+
+
+def sharded(tokens: DataFrame, idf: np.ndarray, shared: np.ndarray, mean_length: float, per_shard: int) -> DataFrame:
+    """`tokens` (doc_id, ids) with their shard."""
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            leads = [leading_terms(np.asarray(x, np.int64), idf, shared, mean_length) for x in batch["ids"]]
+            yield pd.DataFrame({"term": [t[0] for t in leads], "next": [(t[1] * 50_021 + t[2]) % 1_000_003 for t in leads], "n": [len(x) for x in batch["ids"]]}).astype({"term": "int32", "next": "int32", "n": "int64"})
+
+    sizes = staged(tokens.select("ids").mapInPandas(cells, "term int, next int, n bigint").groupBy("term", "next").agg(F.sum("n").alias("n")), "leading-terms")
+    # at most as many rows as the vocabulary has tokens
+    by_term = dict(sizes.groupBy("term").agg(F.sum("n").alias("n")).toPandas().sort_values("term").itertuples(index=False, name=None))
+    ways = {t: 2 * -(-n // per_shard) for t, n in by_term.items() if n > per_shard}
+    # in proportion to the shards: a row a part of a hot term
+    hot = spark_map(ways)
+    parts = sizes.select("term", F.pmod("next", hot[F.col("term")]).alias("part"), "n").filter("part IS NOT NULL").groupBy("term", "part").agg(F.sum("n").alias("n")).toPandas() if ways else pd.DataFrame({"term": [], "part": [], "n": []})
+    cell_sizes = {(t, 0): n for t, n in by_term.items() if t not in ways} | {(int(t), int(p)): int(n) for t, p, n in parts.itertuples(index=False, name=None)}
+    place: dict[tuple[int, int], tuple[int, int]] = {}
+    shard, filled = 0, 0
+    for cell, n in sorted(cell_sizes.items()):
+        split = -(-n // per_shard)
+        if filled and filled + n > per_shard:
+            shard, filled = shard + 1, 0
+        place[cell] = (shard, split)
+        if split > 1:
+            shard, filled = shard + split, 0
+        else:
+            filled += n
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, x in zip(batch["doc_id"], batch["ids"]):
+                lead = leading_terms(np.asarray(x, np.int64), idf, shared, mean_length)
+                first, split = place[lead[0], (lead[1] * 50_021 + lead[2]) % 1_000_003 % ways.get(lead[0], 1)]
+                out.append(first + (int(doc_id) * 0x9E3779B1 >> 7) % split)
+            yield batch.assign(shard=np.array(out, np.int32))
+
+    return tokens.mapInPandas(assign, f"{', '.join(f'{n} {t}' for n, t in tokens.dtypes)}, shard int")
+
+
+def spark_map(values: dict[int, int]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair]) if values else F.create_map().cast("map<int,int>")
+
+
+def containers(documents: DataFrame, specs: list[tuple[int, int]], id_col: str, text_col: str, vocabulary: str, folder: str = TOKENIZERS, per_shard: int = TOKENS_PER_SHARD) -> DataFrame:
     """spec_id, container_id, doc_id, piece, tokens: one row a document and container. `specs`: (spec_id, capacity)."""
     tokens = staged(encoded(documents.filter(F.length(text_col) > 0), text_col, id_col, vocabulary=vocabulary, folder=folder).withColumnRenamed(id_col, "doc_id"), "tokens")
     sized = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ids")).alias("mean")).first()
@@ -120,8 +181,7 @@ def containers(documents: DataFrame, specs: list[tuple[int, int]], id_col: str,
                 number += 1
         return pd.DataFrame(out, columns=["spec_id", "container_id", "doc_id", "piece", "tokens"])
 
-    shards = max(1, -(-total // per_shard))
-    return tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(fill, CONTAINERS)
+    return sharded(tokens, idf, wide_enough(df, mean, per_shard), mean, per_shard).groupBy("shard").applyInPandas(fill, CONTAINERS)
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.session import table
+from marlspike.session import ship, table
 
 #: Where the vocabulary files lie; a parameter of every function that needs one.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -30,6 +30,8 @@ VOCABULARY = "byte_bpe_50k"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces remembered per worker; beyond it the memory is emptied, which changes no result.
 REMEMBERED = 200_000
+#: Pairs of tokens remembered per worker, likewise.
+REMEMBERED_PAIRS = 2_000_000
 #: Longer pieces are not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -91,9 +93,11 @@ class Encoder:
     def fits(self, left: int, right: int) -> bool:
         """Whether merging by rank can leave `left` and `right` side by side: no merge across their border
         may come before the merges that make the two."""
-        key = left * 131_072 + right
+        key = left << 32 | right
         answer = self.compatible.get(key)
         if answer is None:
+            if len(self.compatible) >= REMEMBERED_PAIRS:
+                self.compatible.clear()
             answer = self.compatible[key] = self._fits(left, right)
         return answer
 
@@ -180,25 +184,48 @@ class Encoder:
         return out.tolist()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+class Library:
+    """A vocabulary that is no byte-level BPE in ranks, encoded by its own public library."""
+
+    def __init__(self, path: str):
+        if path.endswith(".json"):
+            from tokenizers import Tokenizer
+
+            tool = Tokenizer.from_file(path)
+            tool.encode_special_tokens = True
+            self.ids = lambda text: tool.encode(text, add_special_tokens=False).ids
+        else:
+            from sentencepiece import SentencePieceProcessor
+
+            self.ids = SentencePieceProcessor(model_file=path).encode
+
+    def extend(self, out: array, text: str) -> None:
+        out.extend(self.ids(text))
+
+
+_ENCODERS: dict[str, Encoder | Library] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a process and vocabulary."""
+def encoder(folder: str, vocabulary: str) -> Encoder | Library:
+    """One encoder a process and vocabulary: ranks (whose pattern of pieces is the same for all), else its library's file."""
+    path = f"{folder}/{vocabulary}"
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        ending = next((e for e in (".tiktoken", ".json", ".model") if os.path.exists(path + e)), None)
+        if ending is None:
+            raise FileNotFoundError(f"no vocabulary file {path}.tiktoken, .json or .model")
+        _ENCODERS[path] = Encoder(path + ending) if ending == ".tiktoken" else Library(path + ending)
     return _ENCODERS[path]
 
 
 def encoded(rows: DataFrame, text_col: str, *keep: str, out: str = "ids", vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
     """The columns `keep` and `out`, the ids of the text: one narrow pass, no shuffle."""
-    path = f"{folder}/{vocabulary}.tiktoken"
+    ship(rows.sparkSession)
     source = rows.select(*keep, F.col(text_col).alias("_text_"))
     kept = [f for f in source.schema.fields if f.name != "_text_"]
     schema = source.select(*[f.name for f in kept]).withColumn(out, F.array().cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
+        tool = encoder(folder, vocabulary)
         for batch in batches:
             flat, ends = array("i"), array("i", [0])
             for text in batch.column(batch.num_columns - 1):

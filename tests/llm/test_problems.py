@@ -231,7 +231,7 @@ def test_containers_hold_everything(spark):
     draw = random.Random(2)
     rows = [(i, " ".join(draw.choice(["harbour", "tariff", "ledger", "meadow"]) for _ in range(draw.randrange(1, 60)))) for i in range(300)] + [(900, "word " * 400), (901, ""), (902, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    packed = packing.containers(df, [(1, 64), (2, 500)], "doc_id", "text", "byte_bpe_50k", per_shard=100).toPandas()
+    packed = packing.containers(df, [(1, 64), (2, 500)], "doc_id", "text", "byte_bpe_50k", per_shard=4000).toPandas()
     sizes = {r.doc_id: len(r.ids) for r in tokens.encoded(df, "text", "doc_id").collect()}
     for spec, capacity in ((1, 64), (2, 500)):
         part = packed[packed.spec_id == spec]

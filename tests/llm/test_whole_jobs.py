@@ -236,3 +236,50 @@ def test_share_of_repaired_texts_that_are_right(spark):
                 right += encodings.judge(garbled, model)[1] == line
     print("repaired right", right, "of", all_of)
     assert right / all_of >= 0.95
+
+
+# 9
+
+
+def test_neighbours_share_a_shard(spark):
+    from pyspark.sql import functions as F
+
+    from marlspike.llm import packing, tokens
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("length(text) > 0")
+    copies = spark.range(400).select((F.col("id") + 10_000).alias("doc_id"), F.lit("The harbour office counts the same crane twice, twice.").alias("text"))
+    encoded = tokens.encoded(rows.unionByName(copies), "text", "doc_id").cache()
+    ids = {r.doc_id: np.array(r.ids) for r in encoded.collect()}
+    order = sorted(ids)
+    size = max(int(x.max()) for x in ids.values()) + 1
+    df = np.zeros(size)
+    for x in ids.values():
+        df[np.unique(x)] += 1
+    mean = float(np.mean([len(x) for x in ids.values()]))
+    idf = np.log(1 + (len(ids) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    total = sum(map(len, ids.values()))
+    shard = {r.doc_id: r.shard for r in packing.sharded(encoded, idf, packing.wide_enough(df, mean, total // 6), mean, total // 6).collect()}
+    held: dict = {}
+    for d, s in shard.items():
+        held[s] = held.get(s, 0) + len(ids[d])
+    longest = max(map(len, ids.values()))
+    # no shard is much larger than asked for, not even that of the copies
+    assert len(held) > 4 and max(held.values()) <= total // 6 * 1.3 + longest
+    index = packing.Index([ids[d] for d in order], idf, mean)
+    near = 0
+    for i, d in enumerate(order[:100]):
+        scores = index.scores(i).copy()
+        scores[i] = -1
+        near += shard[order[int(scores.argmax())]] == shard[d]
+    print("nearest neighbour in the same shard", near / 100)
+    # by chance it would be a sixth
+    assert near / 100 > 0.3
+
+
+def test_other_vocabularies(spark):
+    from marlspike.llm import packing
+
+    df = spark.createDataFrame([(i, "Harbour dues rise again. " * (i + 1)) for i in range(20)], "doc_id bigint, text string")
+    for vocabulary in ("byte_bpe_multi_50k", "word_bpe_49k", "piece_bpe_32k"):
+        rows = packing.containers(df, [(1, 64)], "doc_id", "text", vocabulary).toPandas()
+        assert set(rows.doc_id) == set(range(20)) and rows.groupby("container_id").tokens.sum().max() <= 64
