@@ -6,7 +6,7 @@ most about `TOKENS_PER_SHARD`: rarer terms share one, a hot term is split by the
 still too large (many copies) by id. Each shard holds a BM25 inverted index over token ids (document frequencies are those
 of the whole corpus). The largest document left seeds a container; its nearest neighbours that are unused and still fit
 fill it in order of their score, and what shares no term with the seed follows by size. A container closes only when
-nothing left in the shard fits.
+nothing left in the shard fits; those that a shard cannot fill are packed again, together with those of other shards.
 
 Defined cases: null and empty texts are left out; a document larger than the capacity is cut into full
 containers of its own, and only its last piece is packed with others; ties go to the larger, then to the
@@ -27,6 +27,8 @@ from marlspike.session import staged, table
 
 TOKENS_PER_SHARD = 1_000_000
 K1, B = 1.2, 0.75
+#: A container filled to less than this share is packed again with those of other shards.
+LOOSE = 0.9
 CONTAINERS = "spec_id int, container_id bigint, doc_id bigint, piece int, tokens int"
 
 
@@ -181,7 +183,33 @@ def containers(documents: DataFrame, specs: list[tuple[int, int]], id_col: str,
                 number += 1
         return pd.DataFrame(out, columns=["spec_id", "container_id", "doc_id", "piece", "tokens"])
 
-    return sharded(tokens, idf, wide_enough(df, mean, per_shard), mean, per_shard).groupBy("shard").applyInPandas(fill, CONTAINERS)
+    packed = sharded(tokens, idf, wide_enough(df, mean, per_shard), mean, per_shard).groupBy("shard").applyInPandas(fill, CONTAINERS)
+    return _tails_together(staged(packed, "containers"), dict(specs), per_shard)
+
+
+def _tails_together(packed: DataFrame, capacities: dict[int, int], per_shard: int) -> DataFrame:
+    """The containers that a shard could not fill, a few each, are emptied and their documents packed together by size."""
+    room = spark_map(capacities)[F.col("spec_id")]
+    loose = packed.groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("filled")).filter(F.col("filled") < LOOSE * room)
+    loose = staged(loose.select("spec_id", "container_id", "filled"), "loose")
+    groups = {r["spec_id"]: -(-r["n"] // per_shard) for r in loose.groupBy("spec_id").agg(F.sum("filled").alias("n")).collect()}  # a row a capacity
+    if not groups:
+        return packed
+    rows = packed.join(loose.drop("filled"), ["spec_id", "container_id"]).withColumn("group", F.pmod(F.xxhash64("container_id"), spark_map(groups)[F.col("spec_id")]).cast("int"))
+
+    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
+        capacity, rooms, out = capacities[key[0]], [], []
+        for n in rows["tokens"]:
+            # the fullest container that it fits into
+            at = min((i for i, r in enumerate(rooms) if r >= n), key=rooms.__getitem__, default=len(rooms))
+            if at == len(rooms):
+                rooms.append(capacity)
+            rooms[at] -= n
+            out.append((1 << 61) + (int(key[1]) << 32) + at)
+        return rows.assign(container_id=out)[["spec_id", "container_id", "doc_id", "piece", "tokens"]]
+
+    return packed.join(loose, ["spec_id", "container_id"], "left_anti").unionByName(rows.groupBy("spec_id", "group").applyInPandas(fill, CONTAINERS))
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
