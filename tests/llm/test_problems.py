@@ -126,7 +126,7 @@ def test_residue_cases(spark):
 def test_blocks_join_neighbours(spark):
     pages = [(i, "a.test", "Share this\nFollow us 1\nbody " + "abcdefghijklmnopqrstuvwxyz"[i]) for i in range(8)] + [(50, "b.test", "Share this")] + [(60 + i, "a.test", None) for i in range(2)]
     df = spark.createDataFrame(pages, "id bigint, domain string, content string")
-    blocks = {r.key: r.block for r in repeated_lines.blocks(df, "id", "domain", "content").collect()}
+    blocks = {r.key: r.block for r in repeated_lines.named_blocks(df, "id", "domain", "content").collect()}
     assert set(blocks) == {"sharethis", "followus"} and len(set(blocks.values())) == 1
     assert {r.id: r.clean for r in repeated_lines.without_repeated(df, "id", "domain", "content").collect()}[3] == "body d"
 
