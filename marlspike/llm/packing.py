@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from marlspike.llm.tokens import TOKENIZERS, encoded
 from marlspike.session import staged, table
 
-TOKENS_PER_SHARD = 1_000_000
+TOKENS_PER_SHARD = 700_000
 K1, B = 1.2, 0.75
 #: A container filled to less than this share is packed again with those of other shards.
 LOOSE = 0.9
