@@ -178,3 +178,31 @@ def encode_paper_query(query: Column) -> Column:
     for was, now in (("+", "%2B"), ('"', "%22"), ("&", "%26"), ("#", "%23"), (" ", "+")):
         out = F.replace(out, F.lit(was), F.lit(now))
     return out
+
+
+def encode_component(text: Column) -> Column:
+    """Percent-encoded as a component of an address: letters, digits and -_.!~*'() stay."""
+    out = F.url_encode(text)
+    for was, now in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(was), F.lit(now))
+    return out
+
+
+def search_url(base: Column, template: Column, term: Column) -> Column:
+    """A site's search address: its base without final slashes and its template with the term for `{q}` (the first only)."""
+    parts = F.split(template, r"\{q\}", 2)
+    return F.concat(F.regexp_replace(base, r"/+$", ""), parts[0], F.when(template.contains("{q}"), F.concat(encode_component(term), F.get(parts, F.lit(1)))).otherwise(""))
+
+
+def meta_search_url(base: Column, query: Column, categories: Column | None = None, language: Column | None = None) -> Column:
+    """The address of a meta search that answers in JSON; empty categories and languages are left out."""
+    out = F.concat(F.regexp_replace(base, r"/+$", ""), F.lit("/search?q="), F.url_encode(query), F.lit("&format=json&safesearch=0"))
+    for name, value in (("categories", categories), ("language", language)):
+        if value is not None:
+            out = F.concat(out, F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"&{name}="), F.url_encode(value))).otherwise(""))
+    return out
+
+
+def kind_tag(kind: Column) -> Column:
+    """The tag that a list shows before an item (fixed values)."""
+    return F.when(kind == "attachment", "[附件]").when(kind == "paper", "[论文]").when(kind == "api", "[公告]").otherwise("[页面]")

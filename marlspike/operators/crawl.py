@@ -41,3 +41,12 @@ def coverage(sites: DataFrame) -> DataFrame:
     gaps = F.array_compact(F.array(F.when(~F.col("sitemap"), "no sitemap"), F.when(~F.col("robots"), "no robots"), F.when(F.col("queued") > 0, "queue not empty"), F.when(rate > 0.3, "many failures")))
     sure = (F.col("sitemap") & F.col("robots")) | ((F.col("depth") >= F.col("max_depth")) & (F.col("queued") == 0))
     return sites.withColumn("fail_rate", rate).withColumn("gaps", gaps).withColumn("confidence", F.when((F.col("fetched") == 0) | (rate > 0.3), "low").when(sure, "high").otherwise("medium"))
+
+
+def as_discovered(pages: DataFrame, attachments: DataFrame, feeds: DataFrame) -> DataFrame:
+    """A walk's addresses (url, ord) as discovered ones, of the sources crawl, crawl-attachment and crawl-feed, merged."""
+    from marlspike.operators.merge import merge_discovered
+
+    sources = ((pages, "crawl"), (attachments, "crawl-attachment"), (feeds, "crawl-feed"))
+    parts = [d.select("url", F.struct(F.lit(n).alias("part"), "ord").alias("ord"), F.lit(s).alias("source"), F.lit(None).cast("string").alias("mime")) for n, (d, s) in enumerate(sources)]
+    return merge_discovered(parts[0].unionByName(parts[1]).unionByName(parts[2]))

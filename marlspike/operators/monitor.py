@@ -114,3 +114,39 @@ def scan_summary(outcomes: DataFrame) -> DataFrame:
     ok = F.col("state") == "ok"
     return outcomes.agg(F.count_if(ok).alias("ok"), F.count_if(F.col("state") == "failed").alias("failed"), F.count_if(F.col("partial")).alias("partial"), F.sum(F.when(ok, F.col("found"))).alias("found"), F.sum(F.when(ok, F.col("new_count"))).alias("new_count"))
 
+
+
+def ranked_batches(batches: DataFrame) -> DataFrame:
+    """Bursts with their place, the largest first."""
+    return batches.withColumn("place", F.row_number().over(Window.orderBy(F.size("ids").desc(), F.col("target_id"), F.col("repo"))))
+
+
+def backfill_papers(view: DataFrame, papers: DataFrame) -> DataFrame:
+    """id, published_at: times from papers that were looked up (url, extra) for items (id, published_at) without one."""
+    times = papers.select(U.fingerprint(F.col("url")).alias("id"), F.nullif(F.col("extra")["published"], F.lit("")).alias("published_at")).filter("published_at IS NOT NULL")
+    first = times.groupBy("id").agg(F.min("published_at").alias("published_at"))
+    return first.join(view.filter("published_at IS NULL").select("id").distinct(), "id", "left_semi")
+
+
+#: What each kind of target must name, and the channel it is scanned by (fixed values).
+KINDS = {"site": ("spec.url", "crawl"), "domain": ("spec.domain", "index"), "arxiv": ("spec.query", "arxiv"), "api": ("spec.url", "api")}
+
+
+def scan_plan(targets: DataFrame) -> DataFrame:
+    """id, channel, subject, error: by which channel each target is scanned, or what it lacks; an unknown kind is an error."""
+    kind, rows = F.col("kind"), []
+    for name, (member, by) in KINDS.items():
+        needed = [member, "spec.items_path"] if name == "api" else [member]
+        lacks = F.coalesce(*[F.when(F.coalesce(F.trim(F.col(m)), F.lit("")) == "", F.lit(f"{name} target lacks {m}")) for m in needed])
+        rows.append(F.when(kind == name, F.struct(F.lit(by).alias("channel"), F.col(member).alias("subject"), lacks.alias("error"))))
+    unknown = F.struct(F.lit(None).cast("string").alias("channel"), F.lit(None).cast("string").alias("subject"), F.concat(F.lit("unknown kind "), F.coalesce(kind, F.lit("null"))).alias("error"))
+    plan = targets.select("id", F.coalesce(*rows, unknown).alias("p")).select("id", "p.*")
+    return plan.select("id", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("channel", "subject")], "error")
+
+
+def result_state(results: DataFrame) -> DataFrame:
+    """id, last_scan_state, last_scan_error of scans (id, found, error, source_errors): failed where nothing came and something went
+    wrong, partial where something came nevertheless, else ok, which clears an old error; the error is cut to 200."""
+    detail = F.coalesce(F.nullif(F.col("error"), F.lit("")), F.nullif(F.array_join("source_errors", " | "), F.lit("")))
+    state = F.when(detail.isNull(), "ok").when(F.coalesce("found", F.lit(0)) > 0, "partial").otherwise("failed")
+    return results.select("id", state.alias("last_scan_state"), F.when(state == "failed", F.left(detail, F.lit(200))).alias("last_scan_error"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marlspike import tools
 from marlspike.functions import url as U
-from marlspike.operators import api, classify, crawl, merge
+from marlspike.operators import api, classify, crawl, merge, monitor
 from marlspike.plans.search import _DOMAIN, _HOST, _NORMAL, _TRIMMED, _sql
 from marlspike.session import table
 from marlspike.sources import responses as R
@@ -376,3 +376,91 @@ def tool_robust_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     filler = F.expr("repeat('a', n)")
     attempts = rows.select("url", F.lit(1).alias("rung"), F.lit("plain").alias("channel"), F.lit("waf").alias("challenge"), filler.alias("content")).unionByName(rows.select("url", F.lit(2).alias("rung"), F.lit("reader").alias("channel"), F.lit("none").alias("challenge"), filler.alias("content")))
     return R.best_attempt(attempts).select(F.col("url").cast("bigint").alias("robust_id"), "channel", "trail")
+
+
+@query("SELECT result_id, 'https://s.test/find?k=' || url_encode(query) || '&p=1' AS site, 'https://m.test/search?q=' || replace(url_encode(query), '%20', '+') || '&format=json&safesearch=0' || coalesce('&language=' || nullif(source, ''), '') AS meta FROM search_result WHERE query IS NOT NULL AND NOT regexp_matches(query, '[!~*()'']')")
+def search_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signs on which the two engines' encoders differ are tested apart."""
+    q = F.col("query")
+    rows = table(spark, sf_dir, "search_result").filter("query IS NOT NULL").filter(~q.rlike(r"[!~*()']"))
+    return rows.select("result_id", U.search_url(F.lit("https://s.test//"), F.lit("/find?k={q}&p=1"), q).alias("site"), U.meta_search_url(F.lit("https://m.test/"), q, None, F.col("source")).alias("meta"))
+
+
+@query("SELECT seq, CASE kind WHEN 'attachment' THEN '[附件]' WHEN 'paper' THEN '[论文]' WHEN 'api' THEN '[公告]' ELSE '[页面]' END AS tag FROM intel_item")
+def kind_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "intel_item").select("seq", U.kind_tag(F.col("kind")).alias("tag"))
+
+
+@query("""SELECT extract_id, CASE WHEN bytes IS NULL THEN 'about 1 MB' WHEN bytes <= 0 THEN bytes::VARCHAR WHEN v >= 100 THEN printf('%.0f', v) || ' ' || u ELSE printf('%.1f', v) || ' ' || u END AS size FROM
+ (SELECT extract_id, bytes, CASE WHEN bytes < 1024 THEN bytes::DOUBLE WHEN bytes < 1048576 THEN bytes / 1024.0 WHEN bytes < 1073741824 THEN bytes / 1048576.0 ELSE bytes / 1073741824.0 END AS v, CASE WHEN bytes < 1024 THEN 'B' WHEN bytes < 1048576 THEN 'KB' WHEN bytes < 1073741824 THEN 'MB' ELSE 'GB' END AS u FROM (SELECT extract_id, bytes * (1 + extract_id % 3 * 997) AS bytes FROM doc_extract))""")
+def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.coalesce((F.col("bytes") * (1 + F.col("extract_id") % 3 * 997)).cast("string"), F.lit("about 1 MB"))
+    return table(spark, sf_dir, "doc_extract").select("extract_id", R.format_bytes(raw).alias("size"))
+
+
+@query("SELECT result_id, CASE result_id % 4 WHEN 0 THEN 'first' WHEN 1 THEN 'third' WHEN 2 THEN 'second' END AS body, CASE result_id % 4 WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS attempts, CASE WHEN result_id % 4 = 3 THEN 'http-error' END AS error FROM search_result")
+def retried_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three attempts: good at once; a gateway's page and a limit first; a timeout first; never good."""
+    attempts = table(spark, sf_dir, "search_result").selectExpr("cast(result_id AS string) AS request_url", "result_id % 4 AS k", "explode(sequence(1, 3)) AS attempt")
+    status = F.expr("CASE WHEN k = 3 THEN 500 WHEN k = 1 AND attempt = 2 THEN 429 WHEN k = 2 AND attempt = 1 THEN 504 ELSE 200 END")
+    body = F.expr("if(k = 1 AND attempt = 1, '<h1>504 Gateway Time-out</h1>', element_at(array('first', 'second', 'third'), attempt))")
+    return R.first_usable(attempts.withColumn("status", status).withColumn("body", body)).select(F.col("request_url").cast("bigint").alias("result_id"), "body", "attempts", "error")
+
+
+@query("SELECT id, coalesce('(' || (spec).query || ') AND submittedDate:[' || strftime(last_scan_at - INTERVAL 24 HOUR, '%Y%m%d%H%M') || ' TO 202609010000]', (spec).query) AS query FROM intel_target WHERE (spec).query IS NOT NULL")
+def paper_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "intel_target").filter("spec.query IS NOT NULL")
+    return rows.select("id", R.paper_window(F.col("spec.query"), F.col("last_scan_at").cast("timestamp"), F.lit("2026-09-01 00:00:00").cast("timestamp")).alias("query"))
+
+
+@query("SELECT result_id, CASE WHEN ord * 500 > 2000 THEN 2000 WHEN ord * 500 > 900 THEN ord * 500 END AS more, ord * 500 > 2000 AS truncated FROM search_result WHERE result_id % 2 = 0 UNION ALL SELECT result_id, NULL, false FROM search_result WHERE result_id % 2 = 1")
+def paper_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An odd row's total is unknown."""
+    more, truncated = R.paper_request(F.expr("if(result_id % 2 = 0, ord * 500, NULL)"), F.lit(900))
+    return table(spark, sf_dir, "search_result").select("result_id", more.alias("more"), truncated.alias("truncated"))
+
+
+@query("""WITH ids AS (SELECT target_id, nullif(regexp_extract(u, '/abs/([^/?#]+)$', 1), '') AS paper, min(seq) AS seq FROM (SELECT target_id, seq, published_at, coalesce(url, id) AS u FROM intel_item) WHERE published_at IS NULL GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY seq) AS n FROM ids WHERE paper IS NOT NULL)
+ SELECT target_id, 'https://export.arxiv.org/api/query?id_list=' || string_agg(paper, ',' ORDER BY n) || '&max_results=' || count(*) AS url FROM p WHERE n <= 50 GROUP BY 1""")
+def paper_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.paper_lookup(table(spark, sf_dir, "intel_item").select("target_id", "seq", F.coalesce("url", "id").alias("url"), "published_at"))
+
+
+@query(r"SELECT DISTINCT id, '2024-05-06' AS published_at FROM intel_item WHERE published_at IS NULL AND regexp_matches(id, '^https://[^/?#\s]+/abs/[^/?#]+$')")
+def paper_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paper of the log is looked up; the answer names it by http and gives its day."""
+    log = table(spark, sf_dir, "intel_item")
+    papers = log.filter(F.col("id").rlike(r"^https://[^/?#\s]+/abs/[^/?#]+$")).select("id").distinct()
+    body = F.concat(F.lit("<feed><entry><title>P</title><id>"), F.regexp_replace("id", "^https", "http"), F.lit("</id><summary>s</summary><published>2024-05-06T00:00:00Z</published></entry></feed>"))
+    found = R.parse_blocks(papers.select(F.col("id").alias("query"), F.lit(200).alias("status"), body.alias("body")), "arxiv")
+    return monitor.backfill_papers(log, found)
+
+
+@query("""SELECT id, CASE WHEN e IS NULL THEN CASE kind WHEN 'site' THEN 'crawl' WHEN 'domain' THEN 'index' ELSE kind END END AS channel, CASE WHEN e IS NULL THEN CASE kind WHEN 'domain' THEN (spec).domain WHEN 'arxiv' THEN (spec).query ELSE (spec).url END END AS subject, e AS error FROM
+ (SELECT *, CASE WHEN kind NOT IN ('site', 'domain', 'arxiv', 'api') THEN 'unknown kind ' || kind WHEN kind = 'site' AND (spec).url IS NULL THEN 'site target lacks spec.url' WHEN kind = 'domain' AND (spec).domain IS NULL THEN 'domain target lacks spec.domain' WHEN kind = 'arxiv' AND (spec).query IS NULL THEN 'arxiv target lacks spec.query' WHEN kind = 'api' AND (spec).url IS NULL THEN 'api target lacks spec.url' WHEN kind = 'api' AND (spec).items_path IS NULL THEN 'api target lacks spec.items_path' END AS e
+ FROM (SELECT id, kind, spec FROM intel_target UNION ALL SELECT id || '#', CASE kind WHEN 'site' THEN 'domain' WHEN 'domain' THEN 'arxiv' WHEN 'arxiv' THEN 'api' ELSE 'feed' END, spec FROM intel_target))""")
+def scan_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets, and each once more under a kind whose members it lacks."""
+    targets = table(spark, sf_dir, "intel_target").select("id", "kind", "spec")
+    wrong = targets.select(F.concat("id", F.lit("#")).alias("id"), F.expr("CASE kind WHEN 'site' THEN 'domain' WHEN 'domain' THEN 'arxiv' WHEN 'arxiv' THEN 'api' ELSE 'feed' END").alias("kind"), "spec")
+    return monitor.scan_plan(targets.unionByName(wrong))
+
+
+@query("SELECT id, CASE WHEN last_scan_error IS NULL THEN 'ok' WHEN found_total > 0 THEN 'partial' ELSE 'failed' END AS last_scan_state, CASE WHEN last_scan_error IS NOT NULL AND coalesce(found_total, 0) <= 0 THEN repeat(last_scan_error, 40)[1:200] END AS last_scan_error FROM (SELECT id, nullif(last_scan_error, '') AS last_scan_error, CASE WHEN length(id) % 2 = 0 THEN found_total ELSE 0 END AS found_total FROM intel_target)")
+def scan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = table(spark, sf_dir, "intel_target").selectExpr("id", "if(length(id) % 2 = 0, found_total, 0) AS found", "repeat(last_scan_error, 40) AS error")
+    return monitor.result_state(results.withColumn("source_errors", F.array().cast("array<string>")))
+
+
+@query("SELECT regexp_replace(regexp_replace(url, '#.*$', ''), '^(?i)http://', 'https://') AS key, arg_min(s, (n, o)) AS source FROM (SELECT url, 0 AS n, 'crawl' AS s, fetch_id AS o FROM fetch_result UNION ALL SELECT url, 1, 'crawl-attachment', source_id FROM deep_source UNION ALL SELECT url, 2, 'crawl-feed', doc_id FROM documents) WHERE url IS NOT NULL GROUP BY 1")
+def walked_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t).select("url", F.col(c).alias("ord")) for t, c in (("fetch_result", "fetch_id"), ("deep_source", "source_id"), ("documents", "doc_id"))]
+    return crawl.as_discovered(*parts).select("key", "source")
+
+
+@query(f"SELECT result_id, {_N} AS url, CASE WHEN result_id % 2 = 0 THEN 'searxng' || coalesce(':' || source, '') ELSE 'searxng' END AS source FROM search_result WHERE {_N} <> ''")
+def meta_search_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd rows' first search is empty; the search for the simplified query, which names no engine, answers."""
+    first = _captured(spark, sf_dir, "searxng", f"if(result_id % 2 = 0, {_JSON['searxng'][0]}, '{{\"results\":[]}}')")
+    again = _captured(spark, sf_dir, "searxng-simple", "concat('{\"results\":[', to_json(named_struct('title', title, 'url', url)), ']}')")
+    return tools.meta_with_retry({"responses": first.unionByName(again)}).select(F.col("query").cast("bigint").alias("result_id"), "url", "source")

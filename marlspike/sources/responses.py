@@ -305,3 +305,49 @@ def silent_engines(responses: DataFrame) -> DataFrame:
     listed = F.coalesce(F.try_variant_get(doc, "$.unresponsive_engines", "array<variant>"), F.array().cast("array<variant>"))
     name = lambda e: F.coalesce(F.try_variant_get(e, "$[0]", "string"), F.try_variant_get(e, "$", "string"))
     return usable(responses).select("query", F.coalesce(F.size(F.try_variant_get(doc, "$.results", "array<variant>")), F.lit(0)).alias("results"), F.transform(listed, name).alias("silent"))
+
+
+def format_bytes(raw: Column) -> Column:
+    """A size in the largest unit below 1024 of it (B to TB), with a decimal below 100; what is no positive number stays."""
+    n = raw.try_cast("double")
+    step = F.when(n >= 2.0**40, 4).when(n >= 2.0**30, 3).when(n >= 2.0**20, 2).when(n >= 2.0**10, 1).otherwise(0)
+    value = n / F.pow(F.lit(1024.0), step)
+    shown = F.when(value >= 100, F.format_string("%.0f", value)).otherwise(F.format_string("%.1f", value))
+    return F.when(F.coalesce(n > 0, F.lit(False)), F.concat_ws(" ", shown, F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), step + 1))).otherwise(raw)
+
+
+def first_usable(attempts: DataFrame) -> DataFrame:
+    """request_url, body, attempts, error: of each request's attempts (request_url, attempt, status, body) the first usable one and how
+    many it took; a gateway's page that came as a good response is a failure too; without any, the last error."""
+    head = F.lower(F.left("body", F.lit(200)))
+    gateway = F.coalesce(head.contains("gateway time-out") | head.contains("504 gateway"), F.lit(False))
+    judged = attempts.withColumn("error", F.coalesce(error_class(F.col("status"), F.col("body")), F.when(gateway, "timeout")))
+    best = judged.groupBy("request_url").agg(F.min_by(F.struct("attempt", "body"), F.when(F.col("error").isNull(), F.col("attempt"))).alias("best"), F.max("attempt").alias("last"), F.max_by("error", "attempt").alias("error"))
+    return best.select("request_url", "best.body", F.coalesce("best.attempt", "last").alias("attempts"), F.when(F.col("best").isNull(), F.col("error")).alias("error"))
+
+
+#: What the paper interface gives at most in one answer, and the hours by which its index lags (fixed values).
+PAPER_CAP, PAPER_LAG_HOURS = 2000, 24
+
+
+def paper_window(query: Column, since: Column, now: Column) -> Column:
+    """The query restricted to what was submitted since the last scan, less the lag of the index; without a last scan the query."""
+    stamp = lambda t: F.date_format(t, "yyyyMMddHHmm")
+    window = F.concat(F.lit("("), query, F.lit(") AND submittedDate:["), stamp(since - F.expr(f"INTERVAL {PAPER_LAG_HOURS} HOUR")), F.lit(" TO "), stamp(now), F.lit("]"))
+    return F.coalesce(window, query)
+
+
+def paper_request(total: Column, got: Column) -> tuple[Column, Column]:
+    """(how many to ask for in a second request, or null; whether the cap cuts): an unknown total is no reason to ask again."""
+    return F.when(total > PAPER_CAP, PAPER_CAP).when(total > got, total), F.coalesce(total > PAPER_CAP, F.lit(False))
+
+
+def paper_lookup(items: DataFrame, at_most: int = 50) -> DataFrame:
+    """target_id, url: the request that looks up by id the papers (target_id, seq, url, published_at) without a time, the first `at_most`."""
+    from pyspark.sql import Window
+
+    ids = items.filter("published_at IS NULL").select("target_id", "seq", U.paper_id(F.col("url")).alias("paper")).filter("paper IS NOT NULL")
+    first = ids.groupBy("target_id", "paper").agg(F.min("seq").alias("seq"))
+    placed = first.withColumn("n", F.row_number().over(Window.partitionBy("target_id").orderBy("seq"))).filter(F.col("n") <= at_most)
+    listed = placed.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("n", "paper"))).alias("papers"))
+    return listed.select("target_id", F.concat(F.lit("https://export.arxiv.org/api/query?id_list="), F.array_join("papers.paper", ","), F.lit("&max_results="), F.size("papers").cast("string")).alias("url"))

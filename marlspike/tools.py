@@ -56,6 +56,13 @@ def search_web(spark: SparkSession, tables: Tables, query: str | None = None, en
     return _distinct(_channels(tables, engines, query, per_engine))
 
 
+def meta_with_retry(tables: Tables, query: str | None = None, limit: int = 10) -> DataFrame:
+    """Results of the meta search; for a query without any, those of the captured search for its simplified form (source `searxng-simple`)."""
+    first = _channel(tables, "searxng", query, limit)
+    again = tables["responses"].filter("source = 'searxng-simple'")
+    return merge.fallback(first, R.parse_json(again if query is None else again.filter(F.col("query") == query), "searxng", limit))
+
+
 @tool
 def channel_errors(spark: SparkSession, tables: Tables) -> DataFrame:
     return tables["responses"].select("source", "query", R.error_class(F.col("status"), F.col("body")).alias("error")).filter("error IS NOT NULL")
