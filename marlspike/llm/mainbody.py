@@ -316,12 +316,17 @@ def features(text: str) -> list[int]:
     return [crc32(p.encode()) % BUCKETS for p in ["w\x1f" + w for w in words] + _frame(text, words)]
 
 
-def fit(examples: DataFrame, bound: int = TRAINING_LINES) -> np.ndarray:
-    """Weights of a logistic model (furniture against body) per bucket, and the bias at the end, fitted on
-    at most `bound` examples of each label, those of least hash; a host's line counts once as furniture,
-    or the most frequent lines would be all there is to learn."""
-    labelled = examples.filter("label IS NOT NULL").select("tbl", "host", "key", "label", "text")
-    rows = least_hashed(labelled, ["tbl", "host", "key"], bound, "label").select("text", "label").distinct().toPandas().sort_values(["label", "text"])
+def sampled(labelled: DataFrame, lines: DataFrame, bound: int = TRAINING_LINES) -> pd.DataFrame:
+    """text, label of at most `bound` examples of each label, those of least hash; a host's line counts once, or the most
+    frequent lines would be all there is to learn. They are drawn from numbers (tbl, host, key, label); only then are texts read."""
+    drawn = staged(least_hashed(labelled.filter("label IS NOT NULL").select("tbl", "host", "key", "label"), ["tbl", "host", "key"], bound, "label"), "sample")
+    # twice the bound at most
+    texts = lines.select("tbl", "host", "key", "text").join(F.broadcast(drawn), ["tbl", "host", "key"])
+    return texts.groupBy("tbl", "host", "key", "label").agg(F.min("text").alias("text")).select("text", "label").distinct().toPandas().sort_values(["label", "text"])
+
+
+def fit(rows: pd.DataFrame) -> np.ndarray:
+    """Weights of a logistic model (furniture against body) per bucket, and the bias at the end, fitted on examples (text, label)."""
     found = [np.unique(features(t)) for t in rows["text"]]
     labels = rows["label"].to_numpy(float)
     weights, squares = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-6)
@@ -384,9 +389,11 @@ def furniture(pages: DataFrame) -> DataFrame:
     contained = contained.select("key", "verdict", ((F.col("verdict") == 0) & (F.col("times") >= MIN_PAGES)).alias("held"))
     facts = stream.select(*place, "key").join(shared, ["tbl", "host", "key"], "left").join(contained, "key", "left")
     facts = facts.join(covered.withColumn("covered", F.lit(True)), place, "left").filter("share IS NOT NULL OR verdict IS NOT NULL OR covered")
-    known = lines.join(staged(facts.select(*place, "share", "verdict", "held", "covered"), "line-facts"), place, "left")
-    taught = known.withColumn("label", F.when(F.col("headline"), 0).when(F.col("label") >= 0, F.col("label")).when(F.col("covered") | (F.col("share") >= TEACHING_SHARE), 1).when(F.col("share").isNull() & F.col("sentence"), 0))
-    weights = fit(taught)
+    facts = staged(facts.select(*place, "share", "verdict", "held", "covered"), "line-facts")
+    numbers = lines.select(*place, "key", "label", "headline", "sentence").join(facts, place, "left")
+    label = F.when(F.col("headline"), 0).when(F.col("label") >= 0, F.col("label")).when(F.col("covered") | (F.col("share") >= TEACHING_SHARE), 1).when(F.col("share").isNull() & F.col("sentence"), 0)
+    weights = fit(sampled(numbers.withColumn("label", label), lines))
+    known = lines.join(facts, place, "left")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, short = Judge(weights), {}
