@@ -24,6 +24,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,7 @@ _WINDOW = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
 #: A few characters between quotation marks: the text speaks of them.
 _MENTION = re.compile(r"[“\"'«‘„]([^\x00-\x7f“”«»„]{1,6})[”\"'»’“]")
 _NAMED_SIGN = re.compile(r"(?i)\b(?:sign|character|symbol|mark|glyph|letter|zeichen|signe|caractère|signo|símbolo|carácter|знак|символ)s?[\s:]+[“\"'«]?�[”\"'»]?(?!\w)|[“\"'«]�[”\"'»]")
+_TWO_ALPHABETS = regex.compile(r"\p{Latin}[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}]\p{Latin}")
 _REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 
 
@@ -220,6 +222,15 @@ def train(lines: DataFrame, bound: int = TRAINING_LINES) -> np.ndarray:
     return (np.log(counts) - np.log(counts.sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+def _sounder(restored: str, found: list[int], model: np.ndarray) -> bool:
+    """Whether the restored line reads more like sound text than the line did, whose bigrams are `found`, and has no word of two
+    alphabets: between encodings of one byte a character every reading decodes, so strictness alone proves nothing."""
+    now = features(restored)
+    if _TWO_ALPHABETS.search(restored):
+        return False
+    return not now or model[0, now].mean() > model[0, found].mean()
+
+
 def judge(line: str, model: np.ndarray) -> tuple[str | None, str]:
     """(chain, repaired line); chain is None for a sound line and `lost` where characters are gone."""
     shown = _REFERENCE.sub(lambda m: html.unescape(m[0]), line) if "&" in line else line
@@ -237,7 +248,8 @@ def judge(line: str, model: np.ndarray) -> tuple[str | None, str]:
             # one lone character is no ground to reread a whole line from one single-byte encoding to another
             if chain[0] != "utf-8" and scores[label] - scores[0] < 12:
                 continue
-            if repair(plain, chain) is not None:
+            restored = repair(plain, chain)
+            if restored is not None and (chain[0] == "utf-8" or _sounder(restored, found, model)):
                 right, wrong, times = chain
                 return f"{right}>{wrong}" + f"*{times}" * (times > 1), repair(shown, chain) or line
     return ("lost", line) if lost else (None, line)

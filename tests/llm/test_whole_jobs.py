@@ -283,3 +283,13 @@ def test_other_vocabularies(spark):
     for vocabulary in ("byte_bpe_multi_50k", "word_bpe_49k", "piece_bpe_32k"):
         rows = packing.containers(df, [(1, 64)], "doc_id", "text", vocabulary).toPandas()
         assert set(rows.doc_id) == set(range(20)) and rows.groupby("container_id").tokens.sum().max() <= 64
+
+
+def test_a_sound_line_is_not_read_as_another_script(spark):
+    from marlspike.llm import encodings
+
+    lines = ["La fonction «âge» accepte ±0,5 °C, soit ½ point.", "Größe: 5 µm × 3 µm", "Реестр объявлений описывает полный перечень."] * 3
+    model = encodings.train(spark.createDataFrame([(x,) for x in lines], "line string"))
+    assert [encodings.judge(x, model)[0] for x in lines[:3]] == [None] * 3
+    garbled = encodings.misread(lines[2], "cp1251", "latin-1")
+    assert encodings.judge(garbled, model)[1] == lines[2]
