@@ -28,6 +28,11 @@ def text(item: Column, path: str) -> Column:
     return F.try_variant_get(item, path, "string")
 
 
+def string(item: Column, path: str) -> Column:
+    """The value if it is a string; lists, objects and numbers are none."""
+    return F.when(F.schema_of_variant(F.try_variant_get(item, path, "variant")) == "STRING", text(item, path))
+
+
 def number(item: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(item, path, "double"), F.lit(0.0)).cast("bigint")
 
@@ -81,7 +86,7 @@ JSON_SOURCES: dict[str, JsonSource] = {
     "parallel": JsonSource("$.results", lambda i: or_else(text(i, "$.title"), text(i, "$.url")), lambda i: U.normalize_url(text(i, "$.url")), lambda i: cut(F.when(F.size(texts(i, "$.excerpts")) > 0, F.array_join(texts(i, "$.excerpts"), " … ")).otherwise(text(i, "$.snippet")), 600)),
     "searxng": JsonSource("$.results", lambda i: or_else(text(i, "$.title"), text(i, "$.url")), lambda i: U.normalize_url(text(i, "$.url")), lambda i: cut(F.regexp_replace(text(i, "$.content"), r"\s+", " "), 400), source=lambda i: F.when(F.size(texts(i, "$.engines")) > 0, F.concat(F.lit("searxng:"), F.array_join(texts(i, "$.engines"), "+"))).otherwise("searxng")),
     "semantic-scholar": JsonSource("$.data", lambda i: text(i, "$.title"), lambda i: or_else(text(i, "$.url"), _label("https://api.semanticscholar.org/paper/", text(i, "$.paperId"))), lambda i: or_else(cut(text(i, "$.abstract"), 300), _label("venue: ", text(i, "$.venue"), " · citations: ", number(i, "$.citationCount").cast("string"), " · year: ", text(i, "$.year"))), {"year": lambda i: text(i, "$.year"), "citations": lambda i: number(i, "$.citationCount").cast("string")}),
-    "crossref": JsonSource("$.message.items", lambda i: or_else(text(i, "$.title[0]"), text(i, "$.title")), lambda i: or_else(text(i, "$.URL"), _label("https://doi.org/", text(i, "$.DOI"))), lambda i: _label("DOI: ", text(i, "$.DOI"), " · year: ", text(i, "$.issued['date-parts'][0][0]"), " · container: ", or_else(text(i, "$['container-title'][0]"), text(i, "$['container-title']"))), {"doi": lambda i: text(i, "$.DOI")}),
+    "crossref": JsonSource("$.message.items", lambda i: F.coalesce(string(i, "$.title[0]"), string(i, "$.title")), lambda i: or_else(text(i, "$.URL"), _label("https://doi.org/", text(i, "$.DOI"))), lambda i: _label("DOI: ", text(i, "$.DOI"), " · year: ", text(i, "$.issued['date-parts'][0][0]"), " · container: ", string(i, "$['container-title'][0]")), {"doi": lambda i: text(i, "$.DOI")}),
     "openalex": JsonSource("$.results", lambda i: text(i, "$.display_name"), lambda i: F.coalesce(text(i, "$.primary_location.landing_page_url"), _label("https://openalex.org/", text(i, "$.id"))), lambda i: _label("cited_by: ", number(i, "$.cited_by_count").cast("string"), " · year: ", text(i, "$.publication_year")), {"cited_by": lambda i: number(i, "$.cited_by_count").cast("string")}),
     "github-repo": JsonSource("$.items", lambda i: text(i, "$.full_name"), lambda i: text(i, "$.html_url"), lambda i: _label("★", number(i, "$.stargazers_count").cast("string"), " · ", cut(text(i, "$.description"), 200)), {"stars": lambda i: number(i, "$.stargazers_count").cast("string"), "lang": lambda i: text(i, "$.language")}),
     "github-issue": JsonSource("$.items", lambda i: text(i, "$.title"), lambda i: text(i, "$.html_url"), lambda i: _label(text(i, "$.repository.full_name"), " · state: ", text(i, "$.state"))),

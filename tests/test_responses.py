@@ -37,6 +37,13 @@ def test_json_sources(spark):
     assert rows(R.parse_json(captured(spark, papers), "crossref"))[0] | {"extra": 0} == {"query": "q", "source": "crossref", "ord": 1, "title": "T", "url": "https://doi.org/10.1/x", "snippet": "DOI: 10.1/x · year: 2020 · container: J", "extra": 0}
 
 
+def test_a_list_of_an_empty_title_is_no_title(spark):
+    items = [{"DOI": "1", "title": [""], "container-title": [""]}, {"DOI": "2", "title": [], "container-title": []}, {"DOI": "3", "title": "T", "container-title": ["J", "K"]}, {"DOI": "4", "title": [7]}, {"DOI": "5", "title": None}]
+    found = rows(R.parse_json(captured(spark, json.dumps({"message": {"items": items}})), "crossref"))
+    assert [r["title"] for r in found] == ["", "", "T", "", ""]
+    assert [r["snippet"].split("container: ")[1] for r in found] == ["", "", "J", "", ""]
+
+
 def test_block_sources(spark):
     page = '<div class="result r"><a class="result__a" href="//x.test/l/?uddg=https%3A%2F%2Fgood.test%2Fa%3Fref%3D1">A <b>t</b></a><a class="result__snippet">S &amp; t</a></div><div class="result ad"><a class="result__a" href="https://duckduckgo.com/y.js?ad_domain=z">Ad</a></div>'
     assert [(r["title"], r["url"], r["snippet"]) for r in rows(R.parse_blocks(captured(spark, page), "duckduckgo"))] == [("A t", "https://good.test/a", "S & t")]
