@@ -5,8 +5,8 @@ Whole texts: those that can have a longer copy (see `copies_continue`) are range
 that a text stands right before its longer copies, and one scan of neighbours finds every such text. Most
 cut texts have no copy; for these the windows that end the text (its last words, names and numbers replaced
 by their kind) are hashed by all but their last word, every text's windows with the same hash are counted,
-and the last words are sorted and scanned in the same way: a window that goes on elsewhere, or whose last
-word is the strict prefix of a word that stands there elsewhere, was cut; one that ends other lines was not.
+and the last words are sorted and scanned: a window that goes on elsewhere, or whose last word is the strict
+prefix of a word that stands there elsewhere, was cut; one that ends a share of the other lines was not.
 
 What has no prefix elsewhere is no case, unless the text shows the cut itself: a mark added at its end, half
 a character, a code fence that is never closed, or a size that is its source's limit.
@@ -331,31 +331,74 @@ def window_counts(documents: DataFrame, text_col: str, keys: DataFrame) -> DataF
     return once.groupBy("context", "word").agg(*counted, F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by context and word: adds in how many texts words stand that begin with the word and are longer."""
+    # the rows not yet given out, and those of them that the next word may begin with: [word, place in `pending`]
+    opened: list[tuple[str, int]] = []
+    pending: list[list] = []
+    context = None
+
+    def given() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pending), _WINDOW_TYPES)], names=_WINDOW_NAMES)
+        pending.clear()
+        return out
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            word = row[1]
+            if row[0] != context:
+                opened.clear()
+                context = row[0]
+            while opened and not word.startswith(opened[-1][0]):
+                opened.pop()
+            # rows are given out only where no word is left that a later one may begin with
+            if not opened and len(pending) >= 10_000:
+                yield given()
+            texts = row[2] + row[3]
+            for _, at in opened:
+                pending[at][7] += texts
+            opened.append((word, len(pending)))
+            pending.append([*row, 0])
+    if pending:
+        yield given()
+
+
+_WINDOW_NAMES = ["context", "word", "on", "ending", "inside", "low", "high", "longer"]
+_WINDOW_TYPES = [pa.int64(), pa.string(), *[pa.int64()] * 6]
+
+
+def with_longer(counts: DataFrame) -> DataFrame:
+    """`window_counts` with longer: in how many texts a longer word that begins with `word` follows the same context. Words
+    that begin alike lie in one task: at most the distinct words of one context with one first letter, which are streamed."""
+    rows = counts.select(*_WINDOW_NAMES[:-1])
+    placed = rows.repartition("context", F.substring("word", 1, 1)).sortWithinPartitions("context", "word")
+    return placed.mapInArrow(_longer, "context bigint, word string, on bigint, ending bigint, inside bigint, low bigint, high bigint, longer bigint")
+
+
 def cut_off(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """doc, source, reason of each document whose text was cut."""
     found = staged(ends(documents, id_col, text_col, source_col), "ends")
     opened = found.filter("open AND word IS NOT NULL")
     tails = opened.select("doc", "whole", "word", F.posexplode("contexts").alias("level", "context")).filter("context <> 0")
     counts = staged(window_counts(documents, text_col, tails.select("context")), "windows")
-    # last words sorted below what stands before them: the strict prefixes of other words
-    spelled = counts.select(F.concat(F.lpad(F.hex("context"), 16, "0"), "word").alias("value"))
-    begins = strict_prefixes(spelled, "value").select(F.conv(F.substring("value", 1, 16), 16, -10).cast("bigint").alias("context"), F.expr("substring(value, 17)").alias("word")).distinct().withColumn("begins", F.lit(True))
-    known = staged(counts.join(begins, ["context", "word"], "left"), "window-kinds")
+    known = staged(with_longer(counts), "window-kinds")
     own = F.coalesce((F.col("whole") == F.col("low")) | (F.col("whole") == F.col("high")), F.lit(False)).cast("int")
     # a text is no evidence for itself
     weighed = tails.join(known, ["context", "word"]).select(
-        "doc", "level", F.greatest(F.col("on") - own, F.lit(0)).alias("on"), (F.col("ending") - 1).alias("ending"), (F.col("inside") - own).alias("inside"), F.coalesce("begins", F.lit(False)).alias("begins")
+        "doc", "level", F.greatest(F.col("on") - own, F.lit(0)).alias("on"), (F.col("ending") - 1).alias("ending"), (F.col("inside") - own).alias("inside"), "longer"
     )
-    goes_on = (F.col("on") > 0) | F.col("begins")
+    goes_on = (F.col("on") > 0) | (F.col("longer") > 0)
     line = F.lit(len(WINDOWS))
     verdicts = weighed.groupBy("doc").agg(
         # the longest window that any other text holds decides
-        F.min(F.when((F.col("level") < line) & (goes_on | (F.col("ending") > 0)), F.struct("level", "on", "ending", "begins"))).alias("best"),
+        F.min(F.when((F.col("level") < line) & (goes_on | (F.col("ending") > 0)), F.struct("level", "on", "ending", "longer"))).alias("best"),
         F.max(F.when(F.col("level") == line, F.struct("inside", "ending"))).alias("line"),
     )
-    best_on = (F.col("best.on") > 0) | F.col("best.begins")
+    # where the word is cut, the texts that go on are those that hold a longer one; other texts cut at the same place end alike
+    ways_on = F.col("best.on") + F.col("best.longer")
+    best_on = ways_on > 0
     whole_line = (F.coalesce("line.inside", F.lit(0)) >= MIN_COMPLETE) | ((F.coalesce("line.ending", F.lit(0)) >= MIN_COMPLETE) & ~best_on)
-    few = (F.col("best.ending") < MIN_COMPLETE) | (F.col("best.ending") * COMPLETE_SHARE < F.col("best.on"))
+    few = (F.col("best.ending") < MIN_COMPLETE) | (F.col("best.ending") * COMPLETE_SHARE < ways_on)
     # true: cut; false: complete; null: nothing like it elsewhere
     cut = F.when(F.col("best").isNull(), F.lit(None)).when(whole_line, False).when(best_on, few).when(F.col("best.ending") >= MIN_COMPLETE, False)
     verdicts = verdicts.select("doc", cut.alias("cut"))

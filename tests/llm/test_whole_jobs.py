@@ -148,6 +148,24 @@ def test_a_cut_text_is_no_evidence_for_itself(spark):
     assert {r.doc for r in truncation.cut_off(df, "doc", "text", "source").collect()} == {d for d, *_ in cut}
 
 
+def test_many_texts_cut_inside_the_same_word(spark):
+    # in a large corpus several texts are cut at one place, which does not make the place an end
+    whole = [(i, "a", f"Round {i} began.\nThe review desk counted {i} pages before noon.") for i in range(90)]
+    cut = [(100 + i, "a", f"Table {i} is new.\nThe review desk coun") for i in range(4)]
+    # a word that ends lines often is whole, though a longer one begins with it
+    whole += [(200 + i, "a", f"Note {i} is new.\nkept by the port") for i in range(9)] + [(220 + i, "a", f"Note {i} is old.\nkept by the ports of call") for i in range(20)]
+    df = spark.createDataFrame(whole + cut, "doc bigint, source string, text string").repartition(3)
+    assert {r.doc for r in truncation.cut_off(df, "doc", "text", "source").collect()} == {d for d, *_ in cut}
+
+
+def test_longer_words_against_brute_force(spark):
+    draw = random.Random(5)
+    rows = {(draw.randrange(3), "".join(draw.choice("ab") for _ in range(draw.randrange(1, 6)))): draw.randrange(1, 9) for _ in range(150)}
+    df = spark.createDataFrame([(c, w, n, 1, 0, 0, 0) for (c, w), n in rows.items()], "context bigint, word string, on bigint, ending bigint, inside bigint, low bigint, high bigint").repartition(5)
+    got = {(r.context, r.word): r.longer for r in truncation.with_longer(df).collect()}
+    assert got == {(c, w): sum(n + 1 for (d, v), n in rows.items() if d == c and v != w and v.startswith(w)) for c, w in rows}
+
+
 def test_complete_texts_unlike_any_other(spark):
     ends = ["— Ann Other, editor", "Opening hours and fees", "Phone: +49 30 5550 17", "#harbour #survey", "- two spare lamps"]
     whole = [(i, "a", f"The desk counted {i} pages.\n{e}") for i, e in enumerate(ends)]
