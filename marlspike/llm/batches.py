@@ -3,15 +3,14 @@
 Method: each batch leaves an immutable segment. A segment holds, per shard, the page keys that the batch brought as
 one concatenated text, the suffix array of that text and the first seq of each key. A new batch is reduced to its
 distinct keys; each shard binary-searches them in the suffix arrays of the segments. A match from delimiter to
-delimiter is the same page. Of every other key all substrings of `LEAST_MATCH` bytes or more that a segment holds are
-sought from each of its positions, their coverage is summed by record of the history, and a key that one record covers
-by `NEAR` or more is a near-duplicate of it. Segments are merged with their elder neighbour once that is no more than
-twice as large, so there are logarithmically many.
+delimiter is the same page. A key is a near-duplicate of the record of the history that covers it best, by `NEAR` or more,
+with the substrings of `LEAST_MATCH` bytes or more that they share. Segments are merged with their elder neighbour once that
+is no more than twice as large, so there are logarithmically many.
 
-Shards are ranges of keys, so near-duplicates (which share their beginning) lie together and a host, however hot, is
-many shards; a key is sought in every shard that can hold a key with the same first `NEAR` of its characters. Bounds
-are drawn anew once the index has grown fourfold. Near-duplicates that differ at their beginning are found
-only where they lie in the same shard.
+Shards are ranges of keys, so a host, however hot, is many shards, and a key is the same as one in its own shard only. What
+covers a new key may differ from it at any place, so every new key is held against every shard (see `covering`, which skips
+the shards and records that cannot reach `NEAR`); where only known pages are asked for, this is left out. Bounds are drawn anew once
+the index has grown fourfold.
 
 The index is a folder on any file system that Spark writes: bucketed Parquet tables, one a segment, and a manifest that
 names them with their sizes. A later session opens it again; a segment that is missing or short is an error. A batch
@@ -36,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.llm.suffix import longest_matches, suffix_array
+from marlspike.llm.suffix import longest_matches, suffix_array, words_of_eight
 from marlspike.session import scratch, ship, staged, table
 
 #: Parameters that say how a reader came, not which page it is; names ending in `_` are prefixes.
@@ -100,7 +99,8 @@ def _least_alias(pairs: DataFrame) -> DataFrame:
 
 
 SEGMENT = "shard int, text binary, suffixes binary, starts binary, firsts binary"
-CHECKED = "key string, known bigint, near bigint, coverage double"
+CHECKED = "key string, known bigint"
+COVERED = "key string, near bigint, coverage double"
 MANIFEST = "name string, size bigint, shards int, kind string, bound string, place int"
 
 
@@ -155,34 +155,93 @@ class Segment:
         return who[fresh], record[fresh], np.bincount(group, added).astype(np.int64)
 
 
-def sought(keys: list[str], segments: list[Segment]) -> pd.DataFrame:
-    """key, known (least first seq of the same key), near and coverage (the record that covers most of a key that is not known)."""
-    if not keys:
-        return pd.DataFrame({"key": [], "known": [], "near": [], "coverage": []}).astype({"key": str, "known": "Int64", "near": "Int64", "coverage": float})
+def _grams(text: np.ndarray) -> np.ndarray:
+    """A hash of the `LEAST_MATCH` bytes (8 to 16) from each place on."""
+    words, n = words_of_eight(text), max(len(text) - LEAST_MATCH + 1, 0)
+    first = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    first = (first ^ (first >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return first ^ (first >> np.uint64(29)) ^ words[LEAST_MATCH - 8 : LEAST_MATCH - 8 + n]
+
+
+def _pattern(keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, starts and sizes of the keys with a delimiter on both sides."""
     raw = [k.encode() for k in keys]
-    text = np.frombuffer(b"".join(b"\n" + k + b"\n" for k in raw), np.uint8)
     sizes = np.array([len(k) + 2 for k in raw], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    known = np.full(len(raw), np.iinfo(np.int64).max)
+    return np.frombuffer(b"".join(b"\n" + k + b"\n" for k in raw), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def sought(keys: list[str], segments: list[Segment]) -> pd.DataFrame:
+    """key, known (least first seq of the same key)."""
+    if not keys:
+        return pd.DataFrame({"key": [], "known": []}).astype({"key": str, "known": "Int64"})
+    text, starts, sizes = _pattern(keys)
+    known = np.full(len(keys), np.iinfo(np.int64).max)
     for s in segments:
         found = s.exact(text, starts, starts + sizes)
         known = np.where(found >= 0, np.minimum(known, found), known)
-    new = np.flatnonzero(known == np.iinfo(np.int64).max)
-    near, share = np.full(len(raw), -1, np.int64), np.zeros(len(raw))
-    # every position of a new key from which a long match can begin
-    room = np.maximum(sizes[new] - LEAST_MATCH + 1, 0)
-    owner = np.repeat(new, room)
-    begins = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room) + np.repeat(starts[new], room)
-    for s in segments if len(owner) else []:
-        who, record, size = s.covered(text, owner, begins, (starts + sizes)[owner])
-        part = size / sizes[who]
-        for i in np.lexsort((-s.firsts[record], part)):
-            if part[i] > share[who[i]] or (part[i] == share[who[i]] and s.firsts[record[i]] < near[who[i]]):
-                near[who[i]], share[who[i]] = s.firsts[record[i]], part[i]
-    out = pd.DataFrame({"key": keys, "known": pd.array(known, "Int64"), "near": pd.array(near, "Int64"), "coverage": share})
-    out.loc[new, "known"] = pd.NA
-    out.loc[near < 0, "near"] = pd.NA
-    return out
+    return pd.DataFrame({"key": keys, "known": pd.array(known, "Int64").copy()}).assign(known=lambda d: d["known"].mask(known == np.iinfo(np.int64).max))
+
+
+class Records:
+    """The records of a shard's text by the `LEAST_MATCH` bytes from each of their places on."""
+
+    def __init__(self, text: bytes, starts: np.ndarray, firsts: np.ndarray):
+        self.grams = _grams(np.frombuffer(text, np.uint8))
+        self.order = np.argsort(self.grams, kind="stable")
+        self.sorted = self.grams[self.order]
+        self.starts, self.firsts, self.ends = starts, firsts, np.append(starts[1:], len(text))
+
+    def shared(self, own: np.ndarray, records: np.ndarray) -> np.ndarray:
+        """How many bytes of a key, whose grams are `own`, each of the records covers."""
+        begin, end = np.minimum(self.starts[records], len(self.grams)), np.minimum(self.ends[records], len(self.grams))
+        size = end - begin
+        row = np.repeat(np.arange(len(records)), size)
+        theirs = self.grams[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)]
+        kinds, place = np.unique(own, return_inverse=True)
+        at = np.minimum(np.searchsorted(kinds, theirs), len(kinds) - 1)
+        same = kinds[at] == theirs
+        has = np.zeros((len(records), len(kinds)), bool)
+        has[row[same], at[same]] = True
+        # a byte is covered if one of the grams that end with it or later, and begin with it or before, is shared
+        hits = np.zeros((len(records), len(own) + 2 * LEAST_MATCH - 1), np.int32)
+        hits[:, LEAST_MATCH : LEAST_MATCH + len(own)] = has[:, place]
+        until = hits.cumsum(axis=1)
+        return (until[:, LEAST_MATCH:] > until[:, :-LEAST_MATCH]).sum(axis=1)
+
+
+def covering(keys: list[str], records: Records) -> tuple[np.ndarray, np.ndarray]:
+    """(near, coverage) of each key: first seq of the record that covers most of it, if that is `NEAR` or more, else -1 and 0.
+
+    Exact: a key of which all records together cover less than `NEAR` is left; of the others a stretch of bytes is chosen that
+    is so long that a record must cover one of them, where the fewest places match, and all records of these places are compared."""
+    near, share = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
+    text, starts, sizes = _pattern(keys)
+    own = _grams(text)
+    if not len(own) or not len(records.sorted):
+        return near, share
+    kinds, place = np.unique(own, return_inverse=True)
+    low, high = np.searchsorted(records.sorted, kinds, "left")[place], np.searchsorted(records.sorted, kinds, "right")[place]
+    inside = (np.arange(len(text)) - np.repeat(starts, sizes) <= np.repeat(sizes, sizes) - LEAST_MATCH)[: len(own)]
+    matches = np.where(inside, high - low, 0)
+    hit = np.flatnonzero(matches)
+    covered = np.cumsum(np.bincount(hit, minlength=len(text)) - np.bincount(hit + LEAST_MATCH, minlength=len(text) + 1)[: len(text)]) > 0
+    least = np.ceil(NEAR * sizes - 1e-9).astype(np.int64)
+    for i in np.flatnonzero(np.add.reduceat(covered.astype(np.int64), starts) >= least):
+        at, size, room = starts[i], sizes[i], sizes[i] - LEAST_MATCH + 1
+        stretch = size - least[i] + 1
+        until = np.append(0, np.cumsum(matches[at : at + room]))
+        begin = np.arange(size - stretch + 1)
+        first, last = np.maximum(begin - LEAST_MATCH + 1, 0), np.minimum(begin + stretch, room)
+        best = int(np.argmin(until[last] - until[first]))
+        places = [records.order[low[p] : high[p]] for p in range(at + first[best], at + last[best]) if matches[p]]
+        if not places:
+            continue
+        found = np.unique(np.searchsorted(records.starts, np.concatenate(places), "right") - 1)
+        size_of = records.shared(own[at : at + room], found)
+        top = int(size_of.max())
+        if top >= least[i]:
+            near[i], share[i] = records.firsts[found[size_of == top]].min(), top / size
+    return near, share
 
 
 def _merged(segments: list[Segment]) -> Segment:
@@ -197,8 +256,9 @@ def _merged(segments: list[Segment]) -> Segment:
 class BatchIndex:
     """The accepted history: segments that are never changed once written, and their manifest."""
 
-    def __init__(self, spark: SparkSession, folder: str, keys_per_shard: int = KEYS_PER_SHARD):
-        """Opens the index in `folder`, or starts one there if it holds none."""
+    def __init__(self, spark: SparkSession, folder: str, keys_per_shard: int = KEYS_PER_SHARD, near: bool = True):
+        """Opens the index in `folder`, or starts one there if it holds none. `near`: whether near-duplicates are sought."""
+        self.near = near
         self.spark, self.folder, self.keys_per_shard = spark, folder.rstrip("/"), keys_per_shard
         ship(spark)
         self.segments: list[tuple[str, int, DataFrame]] = []
@@ -262,21 +322,15 @@ class BatchIndex:
         self.bounds = [b.decode() for b in sorted({sample[len(sample) * i // shards] for i in range(1, shards)})] if sample else []
         self.drawn_at = size
 
-    def _shards(self, keys: DataFrame, near: bool) -> DataFrame:
-        """`keys` with their shard, or with each shard that can hold a near-duplicate."""
+    def _shards(self, keys: DataFrame) -> DataFrame:
+        """`keys` with their shard."""
         bounds = [b.encode() for b in self.bounds]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from bisect import bisect_right
 
             for batch in batches:
-                places = []
-                for key in batch["key"]:
-                    raw = key.encode()
-                    stem = raw[: int(len(raw) * NEAR)]
-                    low, high = (bisect_right(bounds, stem), bisect_right(bounds, stem + b"\xff")) if near else (bisect_right(bounds, raw),) * 2
-                    places.append(list(range(low, high + 1)))
-                yield batch.assign(shard=places).explode("shard").astype({"shard": "int32"})
+                yield batch.assign(shard=np.array([bisect_right(bounds, key.encode()) for key in batch["key"]], np.int32))
 
         return keys.mapInPandas(run, f"{', '.join(f'{n} {t}' for n, t in keys.dtypes)}, shard int")
 
@@ -288,7 +342,7 @@ class BatchIndex:
             return keys.select("key", F.lit(None).cast("bigint").alias("known"), F.lit(None).cast("bigint").alias("near"), F.lit(0.0).alias("coverage"))
         found = None
         # one segment after the other, as bucketed tables are joined where they lie
-        placed = self._shards(keys, True)
+        placed = self._shards(keys)
         if len(self.segments) > 1:
             placed = staged(placed, "placed")
         for _, _, stored in self.segments:
@@ -298,14 +352,45 @@ class BatchIndex:
 
             part = placed.groupBy("shard").cogroup(stored.groupBy("shard")).applyInPandas(run, CHECKED)
             found = part if found is None else found.unionByName(part)
-        best = F.max(F.when(F.col("near").isNotNull(), F.struct("coverage", (-F.col("near")).alias("order"))))
-        return found.groupBy("key").agg(F.min("known").alias("known"), best.alias("best")).select("key", "known", (-F.col("best.order")).alias("near"), F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"))
+        known = found.groupBy("key").agg(F.min("known").alias("known"))
+        if not self.near:
+            return known.select("key", "known", F.lit(None).cast("bigint").alias("near"), F.lit(0.0).alias("coverage"))
+        known = staged(known, "known")
+        covered = self._covered(known.filter("known IS NULL").select("key"))
+        return known.join(covered, "key", "left").select("key", "known", "near", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+
+    def _covered(self, keys: DataFrame) -> DataFrame:
+        """key, near, coverage of the `keys` that a record of any shard covers by `NEAR` or more."""
+
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield pd.DataFrame({"keys": ["\n".join(batch["key"])]})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last, records = None, None
+            for batch in batches:
+                for text, starts, firsts, packed in batch.itertuples(index=False):
+                    if text != last:
+                        last, records = text, Records(bytes(text), np.frombuffer(starts, np.int64), np.frombuffer(firsts, np.int64))
+                    names = packed.split("\n")
+                    near, share = covering(names, records)
+                    yield pd.DataFrame({"key": names, "near": near, "coverage": share})[near >= 0]
+
+        # every packet of new keys meets every shard; neither is shuffled
+        packets = staged(keys.mapInPandas(pack, "keys string"), "near-keys")
+        found = None
+        for _, _, stored in self.segments:
+            part = stored.select("text", "starts", "firsts").crossJoin(packets).mapInPandas(run, COVERED)
+            found = part if found is None else found.unionByName(part)
+        best = F.max(F.struct("coverage", (-F.col("near")).alias("order")))
+        return found.groupBy("key").agg(best.alias("best")).select("key", (-F.col("best.order")).alias("near"), F.col("best.coverage").alias("coverage"))
 
     def _segment(self, entries: DataFrame, size: int) -> None:
         """Append a segment of entries (key, first), then merge while the elder neighbour is small."""
         if not size:
             return
-        shards = self._shards(entries.select("key", "first"), False).repartition(self._buckets(), "shard")
+        shards = self._shards(entries.select("key", "first")).repartition(self._buckets(), "shard")
         rows = shards.groupBy("shard").applyInPandas(lambda key, rows: Segment.of([k.encode() for k in rows["key"]], rows["first"].tolist()).row(int(key[0])), SEGMENT)
         name, stored = self._store(rows)
         self.segments.append((name, size, stored))
@@ -364,13 +449,13 @@ class BatchIndex:
         return checked.select("key", "first_seq", F.when(F.col("known").isNull() & (F.col("coverage") >= NEAR), F.col("near")).alias("near"), "coverage")
 
 
-def against_history(items: DataFrame, keys_per_shard: int = KEYS_PER_SHARD, folder: str | None = None) -> DataFrame:
+def against_history(items: DataFrame, keys_per_shard: int = KEYS_PER_SHARD, folder: str | None = None, near: bool = True) -> DataFrame:
     """first_seq, dup_seq, near_seq, coverage, batch of each row after the first batch whose page occurs in a row before it
-    (first_seq), or, where its page is new, of which a page of the history is a near-duplicate (near_seq)."""
+    (first_seq), or, where its page is new, of which a page of the history is a near-duplicate (near_seq, if `near`)."""
     spark = items.sparkSession
     rows = staged(keyed(items), "batches", "batch")
     odd = {r["batch"]: r["odd"] for r in rows.groupBy("batch").agg(F.max((F.col("id_key") != F.col("key")).cast("int")).alias("odd")).collect()}  # one row a batch
-    index = BatchIndex(spark, folder or scratch(spark, "history"), keys_per_shard)
+    index = BatchIndex(spark, folder or scratch(spark, "history"), keys_per_shard, near)
     found = None
     for number, batch in enumerate(sorted(odd)):
         current = rows.filter(F.col("batch") == batch).select("key", "seq", "id_key")
@@ -402,7 +487,7 @@ ORACLES = {
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return against_history(table(spark, sf_dir, "intel_item")).filter("first_seq IS NOT NULL").select("first_seq", "dup_seq")
+    return against_history(table(spark, sf_dir, "intel_item"), near=False).filter("first_seq IS NOT NULL").select("first_seq", "dup_seq")
 
 
 def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,6 +498,6 @@ def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """batch_no, offered, accepted: what each later batch brought and what of it was new."""
     items = table(spark, sf_dir, "intel_item")
-    dups = against_history(items).filter("first_seq IS NOT NULL").groupBy(F.col("batch").alias("batch_no")).agg(F.count(F.lit(1)).alias("dups"))
+    dups = against_history(items, near=False).filter("first_seq IS NOT NULL").groupBy(F.col("batch").alias("batch_no")).agg(F.count(F.lit(1)).alias("dups"))
     offered = items.filter("batch_no > 0").groupBy("batch_no").agg(F.count(F.lit(1)).alias("offered"))
     return offered.join(dups, "batch_no", "left").select("batch_no", "offered", (F.col("offered") - F.coalesce("dups", F.lit(0))).alias("accepted"))

@@ -70,6 +70,35 @@ def test_coverage_against_brute_force():
             assert not any(w == i for w, _ in got)
 
 
+def _coverage(key: str, record: str) -> float:
+    pattern, whole = f"\n{key}\n", f"\n{record}\n"
+    covered = {p + k for p in range(len(pattern) - batches.LEAST_MATCH + 1) if pattern[p : p + batches.LEAST_MATCH] in whole for k in range(batches.LEAST_MATCH)}
+    return len(covered) / len(pattern)
+
+
+def test_near_duplicates_by_brute_force():
+    draw = random.Random(13)
+    words = ["harbour", "office", "tariff", "notice", "a", "2024", "quay", "/"]
+    keys = sorted({"-".join(draw.choice(words) for _ in range(draw.randrange(1, 14))) for _ in range(150)})
+    text = b"\n" + b"".join(k.encode() + b"\n" for k in keys)
+    sizes = np.array([len(k) + 1 for k in keys])
+    new = ["".join(draw.choice(["x", "yy", ""]) if draw.random() < 0.02 else c for c in draw.choice(keys) + draw.choice(["", "-end", draw.choice(keys)])) for _ in range(150)]
+    near, share = batches.covering(new, batches.Records(text, np.cumsum(sizes) - sizes, np.arange(len(keys))))
+    for key, got, part in zip(new, near.tolist(), share.tolist()):
+        top, first = min((-_coverage(key, k), i) for i, k in enumerate(keys))
+        assert (got, part) == ((first, -top) if -top >= batches.NEAR else (-1, 0.0))
+    assert 20 < (near >= 0).sum() < 130
+
+
+def test_near_duplicates_that_differ_at_their_beginning(spark):
+    index = batches.BatchIndex(spark, scratch(spark, "near-begin"), keys_per_shard=10)
+    tail = "notices/of/the/harbour/office/2024"
+    index.accept(_batch(spark, *[(i, f"https://{'abcdefgh'[i % 8]}.test/{tail}/{i:03}-tariff-{i * 7919 % 1000}") for i in range(80)]))
+    assert len(index.bounds) > 3
+    got = {r.key: r.near for r in index.accept(_batch(spark, (100, f"https://z.test/{tail}/007-tariff-433"), (101, f"https://0.test/{tail}/072-tariff-168"), (102, "https://z.test/quite/another/page/of/this/office"))).collect()}
+    assert got == {f"z.test\t{tail}/007-tariff-433\t": 7, f"0.test\t{tail}/072-tariff-168\t": 72, "z.test\tquite/another/page/of/this/office\t": None}
+
+
 # 7
 
 
