@@ -7,8 +7,8 @@ values and around placeholders that a text explains decide whether a value is mi
 
 What the models are fitted on: status texts of the standard library and sentences put together by rule, in several
 languages; public-domain filler; and, learned from the corpus itself, the windows that recur on pages which hold little
-else (`recurring`), against at most `TRAINING_LINES` of its other lines. The corpus is counted whole; the rule's sentences
-are so broad that a corpus too small to learn from is judged by them alone.
+else (`recurring`), against all its other lines. The corpus is counted whole, for both sides and in every round; the rule's
+sentences are so broad that a corpus too small to learn from is judged by them alone.
 
 Defined cases: null, empty and blank contents are none; side remarks and mentions inside real content
 stay below the coverage; markup is stripped before; a page of chrome alone (menu, footer) is none.
@@ -28,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlspike.llm.sampling import least_hashed
-from marlspike.session import ship, table
+from marlspike.session import ship, staged, table
 
-TRAINING_LINES = 6000
+#: Lines of fewer characters are labels, no prose.
+LEAST_LINE = 20
+#: Weights of windows are whole numbers of this unit, so their sums are the same whatever the partitions.
+UNIT = 1 << 20
+#: Characters that are hashed at once.
+CHARACTERS = 1 << 20
 #: A window recurs from this share of all pages on, and on this many; so there are at most windows-a-page / share of them.
 COMMON_SHARE, COMMON_PAGES = 0.0005, 5
 #: A page is made of recurring windows if they cover so much of it; a window is residue if most pages that hold it are so made.
@@ -131,6 +135,8 @@ _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title>", re.S | re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])\s*")
 #: Hosts and tokens with digits or joining signs tell nothing of the kind of text.
 _HOST = re.compile(r"\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|org|net|io)\b")
+_HOST_END = re.compile(r"\.(?:example|test|invalid|com|org|net|io)\b")
+_TOKEN_SIGN = re.compile(r"[0-9/_-]")
 _TOKEN = re.compile(r"(?<![^\W\d_])[\w./-]*(?:\d|[a-z][-_/][a-z])[\w./-]*(?![^\W\d_])", re.I | re.A)
 #: Syntaxes of values that a template should have filled in.
 PLACEHOLDER = re.compile(
@@ -211,22 +217,15 @@ def slot_ratios() -> np.ndarray:
 
 
 def _shape(text: str) -> str:
-    plain = _TOKEN.sub("0", _HOST.sub("example.test", text))
+    # the searches only tell where there is nothing to replace
+    plain = _HOST.sub("example.test", text) if _HOST_END.search(text) else text
+    plain = _TOKEN.sub("0", plain) if _TOKEN_SIGN.search(plain) else plain
     return " " + " ".join(plain.lower().split()) + " "
 
 
-def grams(text: str) -> list[int]:
+def grams(text: str) -> np.ndarray:
     """Hashed character n-grams of one window, n = 2 to 5."""
-    shape = _shape(text)
-    codes = np.fromiter(map(ord, shape), np.int64, len(shape))
-    out = []
-    for n in (2, 3, 4, 5):
-        if len(codes) >= n:
-            value = np.full(len(codes) - n + 1, n, np.int64)
-            for k in range(n):
-                value = (value * 1_000_003 + codes[k : k + len(value)]) & 0x7FFFFFFF
-            out.append((value ^ (value >> 13)) % BUCKETS)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    return _hashed([text])[0]
 
 
 def _counts(windows: list[str]) -> np.ndarray:
@@ -245,10 +244,6 @@ def windows(line: str) -> list[str]:
     return list(dict.fromkeys(s for s in _SENTENCE.split(line) if s.strip())) or [line]
 
 
-def _script(text: str) -> str:
-    return "cjk" if re.search("[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]", text) else "cyrillic" if re.search("[\u0400-\u04ff]", text) else "latin"
-
-
 SCRIPTS = ("latin", "cyrillic", "cjk")
 
 
@@ -293,22 +288,24 @@ def _ratios(prose: dict[str, np.ndarray], learned: list[str] = ()) -> np.ndarray
 
 def _hashed(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, window) of every n-gram of the windows, hashed in one pass."""
-    shapes = [_shape(p) for p in parts]
-    lengths = np.array([len(s) for s in shapes], np.int64)
-    codes = np.frombuffer("".join(shapes).encode("utf-32-le"), np.uint32).astype(np.int64)
-    window = np.repeat(np.arange(len(parts)), lengths)
-    room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
-    buckets, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    return _hashed_shapes([_shape(p) for p in parts])
+
+
+def _hashed_shapes(shapes: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, shapes), np.int64, len(shapes))
+    codes = np.frombuffer("".join(shapes).encode("utf-32-le", "surrogatepass"), np.uint32)
+    window = np.repeat(np.arange(len(shapes), dtype=np.int32), lengths)
+    buckets, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    # the n-gram's polynomial modulo 2**32, each from the one a character shorter
+    value, factor = codes, np.uint32(1_000_003)
     for n in (2, 3, 4, 5):
-        size = len(codes) - n + 1
-        if size <= 0:
+        if len(codes) < n:
             break
-        value = np.full(size, n, np.int64)
-        for k in range(n):
-            value = (value * 1_000_003 + codes[k : k + size]) & 0x7FFFFFFF
-        inside = room[:size] >= n
-        buckets.append(((value ^ (value >> 13)) % BUCKETS)[inside])
-        owners.append(window[:size][inside])
+        value = value[:-1] * factor + codes[n - 1 :]
+        seeded = (value + np.uint32(n * pow(1_000_003, n, 1 << 32) % (1 << 32))) & np.uint32(0x7FFFFFFF)
+        inside = window[: len(value)] == window[n - 1 :]
+        buckets.append(((seeded ^ (seeded >> np.uint32(13))) % np.uint32(BUCKETS)).astype(np.int32)[inside])
+        owners.append(window[: len(value)][inside])
     return np.concatenate(buckets), np.concatenate(owners)
 
 
@@ -377,25 +374,57 @@ def recurring(contents: DataFrame, column: str) -> list[str]:
     return sorted(r["window"] for r in found.filter(F.col("share") >= MOST).collect())
 
 
-def train(contents: DataFrame, column: str, bound: int = TRAINING_LINES) -> np.ndarray:
-    """The log ratios. The prose model is fitted on at most `bound` distinct lines, those of least hash, less the windows that
-    the models fitted before take for residue."""
-    lines = least_hashed(contents.select(F.explode(F.split(column, "\n")).alias("line")).filter(F.length("line").between(20, 2000)), ["line"], bound)
-    sample = sorted(r["line"] for r in lines.select("line").collect())
-    parts = [w for line in sample for text in visible_lines(line) for w in windows(text) if not PLACEHOLDER.search(w)]
+def prose_windows(contents: DataFrame, column: str) -> DataFrame:
+    """shape, script of the windows of every distinct line; those with a placeholder are no prose."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [w for line in batch.column(0) for text in visible_lines(line.as_py()) for w in windows(text) if not PLACEHOLDER.search(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([_shape(w) for w in found], pa.string()), pa.array([SCRIPTS.index(_script(w)) for w in found], pa.int32())], names=["shape", "script"])
+
+    ship(contents.sparkSession)
+    lines = contents.select(F.explode(F.split(column, "\n")).alias("line")).filter(F.length("line") >= LEAST_LINE).distinct()
+    return lines.mapInArrow(run, "shape string, script int")
+
+
+def prose_counts(prose: DataFrame, ratios: np.ndarray | None = None, known: set[str] = frozenset()) -> dict[str, np.ndarray]:
+    """Weighted counts of the n-grams of all windows by script; with `ratios`, without the windows that these take for residue
+    and without those known. A task adds its own up, so no more rows leave it than there are buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(SCRIPTS) * BUCKETS, np.int64)
+        for batch in batches:
+            shapes, scripts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            ends = np.cumsum([len(s) for s in shapes]) // CHARACTERS
+            for part in np.split(np.arange(len(shapes)), np.flatnonzero(np.diff(ends)) + 1):
+                own = [shapes[i] for i in part]
+                bucket, owner = _hashed_shapes(own)
+                sizes = np.bincount(owner, minlength=len(own))
+                weight = np.rint(UNIT * np.maximum(sizes, 1) ** -0.5)
+                if ratios is not None:
+                    weight *= _means(bucket, owner, len(own), ratios) < DOUBTFUL
+                    weight *= [s not in known for s in own]
+                total += np.bincount(bucket + scripts[part][owner] * BUCKETS, weights=weight[owner], minlength=len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
+
+    ship(prose.sparkSession)
+    out = np.zeros(len(SCRIPTS) * BUCKETS)
+    summed = prose.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out[summed["bucket"].to_numpy()] = summed["n"].to_numpy() / UNIT
+    return {script: out[k * BUCKETS : (k + 1) * BUCKETS] for k, script in enumerate(SCRIPTS)}
+
+
+def train(contents: DataFrame, column: str) -> np.ndarray:
+    """The log ratios. The prose model is fitted on every distinct line, less the windows that the models fitted before take for
+    residue."""
+    prose = staged(prose_windows(contents, column), "prose-windows")
     shapes = recurring(contents, column)
-    bucket, owner = _hashed(parts)
-    scripts = np.array([SCRIPTS.index(_script(w)) for w in parts], np.int64)
-    names = [_shape(w) for w in parts]
-    taken, learned = np.ones(len(parts), bool), []
-    for number in range(ROUNDS + 1):
-        ratios = _ratios({script: _summed(bucket, owner, taken & (scripts == k)) for k, script in enumerate(SCRIPTS)}, learned)
-        if number == 0:
-            # against all windows, itself included, what recurs must not look like prose
-            learned = [w for w, ok in zip(shapes, residues(shapes, ratios, PLAUSIBLE)) if ok]
-            known = set(learned)
-            other = np.array([n not in known for n in names], bool)
-        taken = (_means(bucket, owner, len(parts), ratios) < DOUBTFUL) & other
+    # against all windows, itself included, what recurs must not look like prose
+    ratios = _ratios(prose_counts(prose))
+    learned = [w for w, ok in zip(shapes, residues(shapes, ratios, PLAUSIBLE)) if ok]
+    for _ in range(ROUNDS):
+        ratios = _ratios(prose_counts(prose, ratios, set(learned)), learned)
     return ratios
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
-from marlspike.llm import batches, mainbody, truncation
+from marlspike.llm import batches, mainbody, residue, truncation
 from marlspike.session import scratch
 
 # 6
@@ -99,6 +99,24 @@ def test_near_duplicates_that_differ_at_their_beginning(spark):
     assert got == {f"z.test\t{tail}/072-tariff-168\t": 72, f"0.test\t{tail}/007-tariff-433\t": 7, "z.test\tquite/another/page/of/this/office\t": None}
 
 
+# 4
+
+
+def test_every_line_counts_in_the_prose_model(spark):
+    draw = random.Random(4)
+    words = "harbour ledger winter copper meadow signal carpet lantern orchard kettle bridge market".split()
+    lines = [" ".join(draw.choices(words, k=7)) + "." for _ in range(9000)]
+    # made-up words, each in one line only; the last line is longer than any sentence
+    rare = ["".join(draw.choices("qxzjvwk", k=9)) for _ in range(30)]
+    lines += [" ".join(draw.choices(words, k=9)) + f" {word}." for word in rare[:-1]] + [" ".join(draw.choices(words, k=500)) + f" {rare[-1]}."]
+    pages = spark.createDataFrame([("\n".join(lines[i : i + 10]),) for i in range(0, len(lines), 10)], "content string")
+    ratios = residue.train(pages.repartition(1), "content")
+    seen = {b for line in lines[:9000] for b in residue.grams(line)} | {b for group in (residue.CICERO, residue.FILLER, residue.ERRORS, residue.NOTICES, residue.ABOUT) for t in group for b in residue.grams(t)}
+    # what neither side has seen counts 0
+    assert [w for w in rare if any(ratios[b] == 0 for b in residue.grams(f"{w}.") if b not in seen)] == []
+    assert (residue.train(pages.repartition(7), "content") == ratios).all()
+
+
 # 7
 
 
