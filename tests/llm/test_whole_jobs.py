@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -178,6 +179,42 @@ def test_chunks_of_a_host_change_nothing(spark, monkeypatch):
     assert shares() == wanted
 
 
+def test_no_text_is_shuffled_and_chunks_and_copies_change_nothing(spark, monkeypatch):
+    draw = random.Random(7)
+    words = "harbour ledger winter copper meadow signal carpet lantern orchard kettle bridge market".split()
+    pages = []
+    for i in range(60):
+        body = [f"The {draw.choice(words)} of the {draw.choice(words)} was counted {chr(97 + i % 26)}{chr(97 + i // 26)} times in the {draw.choice(words)} {k}." for k in range(3)]
+        lines = ["Home | News | Contact us", f"Title {i}", *body, "We use cookies to improve your visit."]
+        markup = f"<header>\n<p>{lines[0]}</p>\n</header>\n<article>\n" + "\n".join(f"<p>{b}</p>" for b in lines[1:5]) + f"\n</article>\n<footer>\n<p>{lines[5]}</p>\n</footer>"
+        pages.append(("t", i, f"h{i % 2}.test", f"Title {i}", markup if i % 3 == 0 else "\n".join(lines), i % 3 == 0))
+    pages += [(t, rec + 100, *rest) for t, rec, *rest in pages[:7]]
+    df = spark.createDataFrame(pages, "tbl string, rec bigint, host string, title string, content string, markup boolean")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mainbody.furniture(df)
+        plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*?)\]", plan)
+        assert moved and not any("text#" in columns for columns in moved)
+        found = {(r.rec, r.no) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == {(rec, n) for _, rec, _, _, _, markup in pages for n in ((1, 10) if markup else (0, 5))}
+    monkeypatch.setattr(mainbody, "PAGES_PER_CHUNK", 7)
+    assert {(r.rec, r.no) for r in mainbody.furniture(df).collect()} == found
+
+
+def test_a_line_scores_the_sum_of_its_features():
+    weights = np.random.default_rng(5).normal(size=mainbody.BUCKETS + 1).astype(np.float32)
+    tool = mainbody.Judge(weights)
+    for text in ("Share: this page with your friends", "12. Of 7 days and 8 nights", "联系我们：电话 123", "One two one two one", "…", "By A. Writer | 3 min"):
+        words = mainbody._words(text)
+        found = mainbody.features(text)
+        found = sorted(set(found[: len(words)])) + found[len(words) :]
+        assert tool.odds(text) == tool.odds(text) == pytest.approx((weights[found].sum() + weights[-1]) * (len(found) + 1) ** -0.5, rel=1e-4)
+
+
 # 10
 
 
